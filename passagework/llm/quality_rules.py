@@ -118,9 +118,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' own columns (a text column is needed)."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").alias("_text"))
-    # a filter isn't pushed below a column that isn't deterministic, so the measures are computed once
-    m = measure(row, "_text").withColumn("_bad", base_failed() | (F.size(verdict(rules)) > 0)).withColumn("_once", F.rand(0) >= 0)
-    return m.where(F.col("_once") & ~F.col("_bad")).select("_row.*")
+    m = measure(row, "_text")
+    # a filter on plain aliases would be pushed to the scan with the measures written out in it, many times over;
+    # it can't go below a generator, so each measure is computed once
+    m = m.select("_row", F.explode(F.array(F.struct(*(c for c in m.columns if c.startswith("_q_"))))).alias("_m")).select("_row", "_m.*")
+    return m.where(~base_failed() & (F.size(verdict(rules)) == 0)).select("_row.*")
 
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
