@@ -22,11 +22,15 @@ _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
-@F.pandas_udf("string")
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def nfkc(text: Column) -> Column:
     """Unicode NFKC, which Spark has no function for."""
-    for s in texts:
-        yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf("string")
+    def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return composed(text)
 
 
 def strip(text: Column) -> Column:

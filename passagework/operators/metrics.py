@@ -103,8 +103,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-@F.pandas_udf("double")
-def _rouge(pred: pd.Series, answers: pd.Series) -> pd.Series:
+def _best_lcs(pred: pd.Series, answers: pd.Series) -> pd.Series:
     out = []
     for p, many in zip(pred, answers):
         best, p = 0.0, list(p)
@@ -118,7 +117,8 @@ def _rouge(pred: pd.Series, answers: pd.Series) -> pd.Series:
 def rouge_l(samples: DataFrame, answers: DataFrame) -> DataFrame:
     """LCS F1, the best of the answers; the only answer metric that runs as an Arrow batch, since the table is quadratic."""
     rows = _answered(samples, answers)
-    return _long(rows, {"rouge_l": _rouge(tokens(F.col("pred")), F.transform("answers", lambda a: tokens(a)))})
+    rouge = F.pandas_udf(_best_lcs, "double")
+    return _long(rows, {"rouge_l": rouge(tokens(F.col("pred")), F.transform("answers", lambda a: tokens(a)))})
 
 
 def _contexts(samples: DataFrame, hits: DataFrame) -> DataFrame:
