@@ -7,6 +7,8 @@ number follows the input's size, so a bucket's size stays the same at any size.
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,15 +58,30 @@ def unpack(blobs: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, ["<u4", *dtypes])]
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's folder, or one of our own where none is set (tests on one machine)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, or one of our own where none is set (tests on one machine)."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside drop their shuffle files when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed and kept in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written as a table in the shared checkpoint folder and read again: the lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.blobs import BLOB_ARROW, BLOB_SCHEMA, bucket_bits, cut, pack, unpack
+from passagework.llm.blobs import BLOB_ARROW, BLOB_SCHEMA, bucket_bits, cut, pack, tidy, unpack
 from passagework.llm.components import components
 from passagework.llm.words import BLANK, set_node, shingle_sets, slabs
 
@@ -207,6 +207,16 @@ def _cross(percent: int):
     return run
 
 
+def _forty(s: np.ndarray) -> bytes:
+    """The high 40 bits of each hash: two tokens of a pair share them with a chance below n^2 / 2^40, and it only matters at the very threshold."""
+    return (s >> np.uint64(32)).astype("<u4").tobytes() + (s >> np.uint64(24)).astype("u1").tobytes()
+
+
+def _of_forty(blob) -> np.ndarray:
+    n = len(blob) // 5
+    return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(blob, "u1", n, 4 * n)
+
+
 def _fetch(n: int, bloom):
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
 
@@ -219,7 +229,7 @@ def _fetch(n: int, bloom):
             sets = [s for s in sets if len(s)]
             for k in range(0, len(sets), 256):
                 part = sets[k : k + 256]
-                yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in part], pa.int64()), pa.array([s.tobytes() for s in part], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in part], pa.int64()), pa.array([_forty(s) for s in part], pa.binary())], schema=schema)
 
     return run
 
@@ -231,7 +241,7 @@ def _checked(percent: int):
         for batch in batches:
             left, right, keep = batch.column(2), batch.column(3), []
             for i in range(len(batch)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
+                x, y = _of_forty(left[i].as_buffer()), _of_forty(right[i].as_buffer())
                 z = np.concatenate([x, y])
                 z.sort()
                 common = int(np.count_nonzero(z[1:] == z[:-1]))
@@ -250,7 +260,8 @@ def _verify(docs: DataFrame, meta: DataFrame, pairs: DataFrame, n: int, percent:
     bloom = np.zeros(1 << (BLOOM_BITS - 5), np.uint32)
     bloom[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     held = docs.sparkSession.sparkContext.broadcast(bloom)
-    sets = cut(docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_fetch(n, held), "node long, tokens binary").join(nodes, "node", "left_semi"))
+    # what the filter lets through without need finds no pair below; both joins read one exchange of the sets
+    sets = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_fetch(n, held), "node long, tokens binary")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
     return cut(both.mapInArrow(_checked(percent), "a long, b long").distinct())
 
@@ -271,7 +282,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = meta.where("node is not null")
 
     counted = docs.mapInArrow(_counted(n, bits), BLOB_SCHEMA).groupBy("bucket").applyInArrow(_heavy(bits), "token long, df long")
-    heavy = np.sort(counted.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toPandas()["token"].to_numpy(np.int64))
+    with tidy(spark):
+        heavy = np.sort(counted.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toPandas()["token"].to_numpy(np.int64))
     index = docs.mapInArrow(_postings(n, percent, bits, spark.sparkContext.broadcast(heavy)), BLOB_SCHEMA)
     lists = cut(index.groupBy("bucket").applyInArrow(_lists(bits), "token long, node long, pos int, leader long"))
 
@@ -289,6 +301,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.where(f"c >= least(1 + n_a div 50, 1 + n_b div 50) and (100 + {percent}) * (c + greatest(0, least(n_a - i - 1, n_b - j - 1))) >= {percent} * (n_a + n_b)")
     rest = _verify(docs, named, cut(found.select("a", "b")), n, percent)
 
+
     groups = components(near.unionByName(rest))
     first = named.groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = first.join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
