@@ -27,9 +27,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest id; rows with a null id stay unless they are similar to another."""
+    docs = docs.select(*COLUMNS)
     found = cut(ngram_join.similar_groups(docs))
     goes = found.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(goes, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*COLUMNS)
+    kept = docs.join(goes, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
     again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if again else kept
 
@@ -37,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window; one that has any goes as a whole."""
     items = table(spark, sf_dir, "benchmark")
-    marked = docs.select(*COLUMNS).join(decontaminate.find_benchmark(docs, items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
-    return marked.select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    marked = docs.join(decontaminate.find_benchmark(docs, items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
+    return marked
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,21 +45,22 @@ def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", sit
     A line (between \\n, outer blanks aside) goes if it is on min_sites distinct sites
     or more; the rest is joined by \\n. Blank lines stay and null sites aren't
     counted. A null text stays null with 0 lines, an empty one has one line. Repeated
-    rows each keep a row. Other columns pass through.
+    rows each keep a row. Other columns pass through, but for older n_lines and n_removed.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text_col), F.col(site_col)))
-    plain = keyed.select(F.col("_key").alias("key"), F.col(site_col).alias("site"), F.col(text_col).alias("text"))
+    # the row is one struct, so that its columns' names can't meet those used here
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    field = lambda c: F.col("_row").getField(c)
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")).withColumn("_key", F.xxhash64(field(text_col), field(site_col)))
+    plain = keyed.select(F.col("_key").alias("key"), field(site_col).alias("site"), field(text_col).alias("text"))
     # equal texts of a site have the same lines: one of them tells which to remove
     bad = _lines(plain).join(boilerplate(plain, min_sites), "line").groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_bad"))
-    joined = keyed.join(bad, "_key", "left")
-    lines = F.split(F.col(text_col), "\n")
     kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _line_hash(x)))
-    out = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("long")
-    removed = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
-    text = F.when(F.col("_bad").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n"))
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    out = keyed.join(bad, "_key", "left").withColumn("_lines", F.split(field(text_col), "\n")).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
+    null = field(text_col).isNull()
+    n_lines = F.when(null, F.lit(0)).otherwise(F.size("_lines")).cast("long")
+    removed = F.when(null, F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
+    text = F.when(F.col("_bad").isNull(), field(text_col)).otherwise(F.array_join("_kept", "\n"))
+    return out.select(*((text if c == text_col else field(c)).alias(c) for c in names), n_lines.alias("n_lines"), removed.alias("n_removed"))
 
 
 def oracle_sql(min_sites: int) -> str:

@@ -78,9 +78,11 @@ def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str
     leaf's rest. Tokens are words between ASCII white space. Null domain, lang and
     source count as "". Rows of one id share their place (null ids too) and go
     together. Texts without words cost nothing and go with their place. An empty
-    table gives none. Other columns are ignored (keep: pass through).
+    table gives none. Other columns are ignored (keep: pass through, but for an older copies).
     """
-    rows = docs.withColumns({"_domain": F.coalesce(domain, F.lit("")), "_lang": F.coalesce(F.col("lang"), F.lit("")), "_source": F.coalesce(F.col("source"), F.lit("")), "_tokens": _words(F.col("text"))})
+    leaf_of = {"_domain": domain, "_lang": F.col("lang"), "_source": F.col("source")}
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")).alias("_row")] * keep
+    rows = docs.select(*row, F.col("doc_id").alias("_id"), *(F.coalesce(c, F.lit("")).alias(k) for k, c in leaf_of.items()), _words(F.col("text")).alias("_tokens"))
     named = [F.col("_" + c).alias(c) for c in LEVELS]
     leaves = rows.groupBy(*named).agg(F.sum("_tokens").alias("tokens"))
     plan = budgets(leaves, total, weights, epochs)
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str
     plan = plan.select(*(F.col(c).alias("_" + c) for c in LEVELS), "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest"))
     leaf = ["_" + c for c in LEVELS]
     # the tree is small beside the rows, but nothing bounds it: Spark decides at run time how to join
-    placed = rows.join(plan, leaf).withColumn("_at", _draw(seed, F.col("full"), F.col("doc_id")))
+    placed = rows.join(plan, leaf).withColumn("_at", _draw(seed, F.col("full"), F.col("_id")))
     placed = placed.withColumn("_range", F.shiftright("_at", 52 - (RANGES.bit_length() - 1)).cast("int"))
     sums = placed.groupBy(*leaf, "_range", "rest").agg(F.sum("_tokens").alias("sum"))
     run = Window.partitionBy(*leaf).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
@@ -103,8 +105,8 @@ def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str
     part = F.col("_end").isNull() & (F.col("rest") > 0) | (F.col("_range") < F.col("_end")) | (F.col("_range") == F.col("_end")) & (F.col("_at") <= F.coalesce("_last", F.lit(-1)))
     out = chosen.withColumn("copies", F.col("full") + F.when(part, 1).otherwise(0)).where("copies > 0")
     if keep:
-        return out.select(*(F.col(f"`{c}`") for c in docs.columns), "copies")
-    return out.select("doc_id", *(F.col("_" + c).alias(c) for c in LEVELS), F.col("_tokens").alias("n_tokens"), "copies")
+        return out.select("_row.*", "copies")
+    return out.select(F.col("_id").alias("doc_id"), *(F.col("_" + c).alias(c) for c in LEVELS), F.col("_tokens").alias("n_tokens"), "copies")
 
 
 def oracle_sql(domain: str, total: int, weights: dict[str, dict[str, int]], epochs: int = 2, seed: int = 17) -> str:
