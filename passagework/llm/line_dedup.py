@@ -70,4 +70,4 @@ l as (select rid, doc_id, source, unnest(string_split(text, chr(10))) line, gene
 b as (select trim(line) t from l where trim(line) <> '' group by 1 having count(distinct source) >= {min_sites}),
 k as (select rid, p, line, trim(line) in (select t from b) bad from l),
 r as (select rid, count(*) n_lines, count(*) filter (where bad) n_removed, coalesce(string_agg(line, chr(10) order by p) filter (where not bad), '') kept from k group by rid)
-select doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed, sha256(kept) kept_sha256 from d left join r using (rid)"""
+select doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed, sha256(coalesce(kept, '')) kept_sha256 from d left join r using (rid)"""

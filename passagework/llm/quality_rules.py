@@ -70,7 +70,10 @@ def measure(docs: DataFrame, text_col: str = "text", window: int = 8, stop_words
         "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long"),
         "n_lines": lines,
     }
-    return d.select(*docs.columns, *(c.alias(f"_q_{k}") for k, c in found.items()))
+    # a filter on plain aliases would be pushed to the scan with the measures written out in it, many times over;
+    # it can't go below a generator, so each measure is computed once
+    measured = d.select(*docs.columns, *(c.alias(f"_q_{k}") for k, c in found.items()))
+    return measured.select(*docs.columns, F.explode(F.array(F.struct(*(f"_q_{k}" for k in found)))).alias("_q")).select(*docs.columns, "_q.*")
 
 
 def _shares() -> dict[str, Column]:
@@ -119,9 +122,6 @@ def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that judge() keeps, with docs' own columns (a text column is needed)."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").alias("_text"))
     m = measure(row, "_text")
-    # a filter on plain aliases would be pushed to the scan with the measures written out in it, many times over;
-    # it can't go below a generator, so each measure is computed once
-    m = m.select("_row", F.explode(F.array(F.struct(*(c for c in m.columns if c.startswith("_q_"))))).alias("_m")).select("_row", "_m.*")
     return m.where(~base_failed() & (F.size(verdict(rules)) == 0)).select("_row.*")
 
 
