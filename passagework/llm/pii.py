@@ -147,15 +147,18 @@ def examples(n: int = 400, seed: int = 5) -> list[tuple[str, list[tuple[str, int
         mail = f"{word()}.{r.randint(1, 99)}@{word()}.example.com"
         address = ".".join(str(r.randint(1, 255)) for _ in range(4))
         forms = [[(mail, "email")], [(address, "ip")], [(card, "card")], [(f"+1 ({area}) {line}", "phone")], [(f"+1 ({area}) {line}", "phone"), (f"({area}) {line}", "phone")], [("token =", None), (f'"{token}"', "secret")]]
-        chosen = [x for f in r.sample(forms, r.randint(1, 3)) for x in f]
+        chosen = r.sample(forms, r.randint(1, 3))
         if r.random() < 0.4:
             chosen += r.sample(chosen, 1)
         noise = [f"{r.randint(1, 40)}", f"{r.randint(1900, 2030)}", f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"({area + 1})", f"{r.randint(10**9, 10**12)}", f"{r.randint(10**15, 9 * 10**15)}", f"{r.randint(100, 999)}-{r.randint(1000, 9999)}", "".join(r.choice("0123456789abcdef") for _ in range(32)), f"@{word()}"]
-        chosen += [(x, None) for x in r.sample(noise, r.randint(1, 5))]
-        for s, kind in sorted(chosen, key=lambda _: r.random()) if r.random() < 0.6 else chosen:
-            for _ in range(r.randint(1, 5)):
-                say(word())
-            say(s, kind)
+        chosen += [[(x, None)] for x in r.sample(noise, r.randint(1, 5))]
+        r.shuffle(chosen)
+        for form in chosen:
+            for s, kind in form:
+                if kind != "secret":
+                    for _ in range(r.randint(1, 5)):
+                        say(word())
+                say(s, kind)
         out.append((text, gold))
     return out
 
