@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from passagework.functions.text import ASCII_PUNCTUATION, CJK_PUNCTUATION, STOP_WORDS
 from passagework.operators.generation import NO_EVIDENCE_EXTRACTIVE, NO_EVIDENCE_STUFF
-from passagework.queries import QUESTION_CHARS, K
+from passagework.queries import REWRITTEN, K
 
 _PUNCT = ("[" + "".join("\\" + c for c in ASCII_PUNCTUATION) + CJK_PUNCTUATION + "]").replace("'", "''")
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -32,7 +32,7 @@ p as (select doc_id, i, {_strip(f"substr(text, i + 1, {size})")} t from document
 chunks as (select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as position, t as text from p where length(t) >= 1)"""
 
 
-_Q = f"questions as (select item_id query_id, substr(text, 1, {QUESTION_CHARS}) question from benchmark)"
+_Q = f"questions as (select item_id query_id, text as question from benchmark)"
 _POST = f"""
 d_ as (select doc_id, {itoks('text')} t from documents),
 post as (select term, doc_id chunk_id, count(*) tf, any_value(dl) dl from (select doc_id, len(t) dl, unnest(t) term from d_) group by 1, 2),
@@ -118,7 +118,7 @@ select item_id, bucket, round(w / sqrt(sum(w * w) over (partition by item_id)),
     "bm25_topk": f"{BM25} {_SELECT_HITS} bm",
     "hybrid_rrf": _hybrid(1.0),
     "hybrid_rrf_weighted": _hybrid(2.0),
-    "transformed_maxmerge": f"""{BM25}, q2 as (select query_id, substr(question, 1, {QUESTION_CHARS // 2}) question from questions),{_bm25(K, 'b2', 'q2')},
+    "transformed_maxmerge": f"""{BM25}, q2 as (select query_id, regexp_replace(question, '{REWRITTEN}', '') question from questions),{_bm25(K, 'b2', 'q2')},
 u as (select query_id, chunk_id, score, rank, 0 v from bm union all select query_id, chunk_id, score, rank, 1 from b2),
 f as (select query_id, chunk_id, max(score) score, min(v * 1000 + rank) seen from u group by 1, 2)
 select query_id, rank::int as rank, chunk_id, round(score, 6) score from (select *, row_number() over (partition by query_id order by score desc, seen, chunk_id) rank from f) where rank <= {K}""",

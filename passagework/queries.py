@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from passagework.functions import text as T
 from passagework.operators import chunking, encoding, generation, metrics, retrieval
 
-#: Questions are the benchmark items' first characters; hits are whole documents, or chunks where the query says so.
-QUESTION_CHARS, K = 60, 5
+#: Questions are the benchmark items' texts; hits are whole documents.
+K = 5
+#: A rewriting for merged variants: without the first sentence.
+REWRITTEN = r"^[^.]*\. *"
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,7 +23,7 @@ def _docs(spark, sf):
 
 
 def _questions(spark, sf):
-    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, QUESTION_CHARS).alias("question"))
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
 def _index(spark, sf):
@@ -120,7 +122,7 @@ def _second_channel(spark, sf, k):
     """Documents by the number of distinct question terms they hold."""
     terms = retrieval.query_terms(_questions(spark, sf))
     post = retrieval.postings(_docs(spark, sf), "doc_id")
-    counts = post.join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+    counts = post.join(retrieval.if_small(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return retrieval.top_k(counts, k, [F.desc("score"), F.asc("chunk_id")]).withColumn("source", F.lit("overlap"))
 
 
@@ -139,8 +141,8 @@ def hybrid_rrf_weighted(spark, sf):
 
 def transformed_maxmerge(spark, sf):
     a = _bm25(spark, sf).withColumn("variant", F.lit(0))
-    shorter = _questions(spark, sf).withColumn("question", F.substring("question", 1, QUESTION_CHARS // 2))
-    b = retrieval.bm25_top_k(shorter, *_index(spark, sf), k=K).withColumn("variant", F.lit(1))
+    rewritten = _questions(spark, sf).withColumn("question", F.regexp_replace("question", REWRITTEN, ""))
+    b = retrieval.bm25_top_k(rewritten, *_index(spark, sf), k=K).withColumn("variant", F.lit(1))
     return retrieval.max_merge(a.unionByName(b), K).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -188,9 +190,9 @@ def citations(spark, sf):
 
 
 def _gold(spark, sf):
-    """Documents that hold an item's text word for word are its gold documents; 10-word prefixes narrow the search to an equi-join."""
+    """Documents that hold an item's text word for word are its gold documents."""
     items, docs = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")), _docs(spark, sf)
-    pairs = docs.join(F.broadcast(items), F.col("text").contains(F.col("item")))
+    pairs = docs.join(retrieval.if_small(items), F.col("text").contains(F.col("item")))
     gold = pairs.groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("gold_doc_ids"))
     return items.join(gold, "item_id", "left").select(F.col("item_id").alias("sample_id"), F.col("item").alias("question"), F.array("item").alias("answers"), F.coalesce("gold_doc_ids", F.array().cast("array<bigint>")).alias("gold_doc_ids"))
 
