@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from passagework.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
 from passagework.llm.blobs import cut
-from passagework.llm.queries import MIN_SITES, WEIGHTS, domain, table
+from passagework.llm.queries import MIN_SITES, MIX_PERCENT, WEIGHTS, domain, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Share of the tokens left that the mixture takes.
-MIX_PERCENT = 60
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The selection for the target weights, with the number of copies of each document."""
-    total = docs.agg(F.sum(F.size(F.array_remove(F.split("text", mixing.SPACE), "")))).first()[0] or 0
-    return mixing.mix(docs.select(*COLUMNS), domain(), total * MIX_PERCENT // 100, WEIGHTS, keep=True)
+    return mixing.mix(docs.select(*COLUMNS), domain(), None, WEIGHTS, keep=True, percent=MIX_PERCENT)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("mixing", mixture)]

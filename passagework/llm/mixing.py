@@ -48,8 +48,11 @@ def _fill(nodes: DataFrame, by: list[str]) -> DataFrame:
     return n.withColumn("budget", F.when(F.col("_full"), F.col("cap")).otherwise(share)).drop("_used", "_left", "_rest", "_full", "have")
 
 
-def budgets(leaves: DataFrame, total: int, weights: dict[str, dict[str, int]], epochs: int) -> DataFrame:
-    """leaves(domain, lang, source, tokens) with column budget; weights: level -> name -> positive integer, 1 if not listed."""
+def budgets(leaves: DataFrame, total: int | None, weights: dict[str, dict[str, int]], epochs: int, percent: int = 100) -> DataFrame:
+    """leaves(domain, lang, source, tokens) with column budget; weights: level -> name -> positive integer, 1 if not listed.
+
+    total is in tokens; without it the budget is `percent` of all tokens.
+    """
 
     def weight(level: str) -> Column:
         w = F.lit(1)
@@ -63,17 +66,18 @@ def budgets(leaves: DataFrame, total: int, weights: dict[str, dict[str, int]], e
         by = list(LEVELS[:depth])
         nodes = tree.groupBy(*by).agg(F.sum("cap").alias("cap")).withColumn("weight", weight(by[-1]))
         if given is None:
-            nodes = nodes.withColumn("have", F.lit(int(total)).cast("long"))
+            whole = F.sum("cap").over(Window.partitionBy(F.lit(0)))  # a row for each domain
+            nodes = nodes.withColumn("have", F.lit(int(total)).cast("long") if total is not None else F.floor(whole.cast("decimal(30,0)") * percent / (100 * epochs)).cast("long"))
         else:
             nodes = nodes.join(given, by[:-1]).withColumn("have", F.col("budget")).drop("budget")
         given = _fill(nodes, by).select(*by, "budget")
     return leaves.join(given, list(LEVELS))
 
 
-def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str, int]], epochs: int = 2, seed: int = 17, keep: bool = False) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, total: int | None, weights: dict[str, dict[str, int]], epochs: int = 2, seed: int = 17, keep: bool = False, percent: int = 100) -> DataFrame:
     """Selected documents with their number of copies: doc_id, domain, lang, source, n_tokens, copies (keep: docs' columns and copies).
 
-    total is the token budget; at most `epochs` copies of a document are taken. A
+    total is the token budget (None: `percent` of all tokens); at most `epochs` copies of a document are taken. A
     leaf's next epoch is a prefix in seeded order whose tokens don't exceed the
     leaf's rest. Tokens are words between ASCII white space. Null domain, lang and
     source count as "". Rows of one id share their place (null ids too) and go
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str
     rows = docs.select(*row, F.col("doc_id").alias("_id"), *(F.coalesce(c, F.lit("")).alias(k) for k, c in leaf_of.items()), _words(F.col("text")).alias("_tokens"))
     named = [F.col("_" + c).alias(c) for c in LEVELS]
     leaves = rows.groupBy(*named).agg(F.sum("_tokens").alias("tokens"))
-    plan = budgets(leaves, total, weights, epochs)
+    plan = budgets(leaves, total, weights, epochs, percent)
     plan = plan.withColumn("full", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long"))
     plan = plan.select(*(F.col(c).alias("_" + c) for c in LEVELS), "full", (F.col("budget") - F.col("full") * F.col("tokens")).alias("rest"))
     leaf = ["_" + c for c in LEVELS]
@@ -109,19 +113,20 @@ def mix(docs: DataFrame, domain: Column, total: int, weights: dict[str, dict[str
     return out.select(F.col("_id").alias("doc_id"), *(F.col("_" + c).alias(c) for c in LEVELS), F.col("_tokens").alias("n_tokens"), "copies")
 
 
-def oracle_sql(domain: str, total: int, weights: dict[str, dict[str, int]], epochs: int = 2, seed: int = 17) -> str:
+def oracle_sql(domain: str, total: int | None, weights: dict[str, dict[str, int]], epochs: int = 2, seed: int = 17, percent: int = 100) -> str:
     """The same selection in DuckDB; domain is a SQL expression."""
 
     def case(level: str) -> str:
         found = " ".join(f"when {level} = '{k}' then {v}" for k, v in weights.get(level, {}).items())
         return f"(case {found} else 1 end)::hugeint" if found else "1::hugeint"
 
-    steps, up = [], "(select {} have)".format(total)
+    steps = []
+    budget = f"(sum(cap) over () * {percent} // {100 * epochs})::hugeint" if total is None else f"{total}::hugeint"
     for depth in range(1, 4):
         by = ", ".join(LEVELS[:depth])
         over = f"partition by {', '.join(LEVELS[: depth - 1])}" if depth > 1 else ""
         join = f"join b{depth - 1} using ({', '.join(LEVELS[: depth - 1])})" if depth > 1 else ""
-        have = f"b{depth - 1}.budget" if depth > 1 else f"{total}::hugeint"
+        have = f"b{depth - 1}.budget" if depth > 1 else budget
         steps.append(f"""
 n{depth} as (select {by}, cap, weight, {have} have from (select {by}, sum(tokens * {epochs})::hugeint cap, any_value({case(LEVELS[depth - 1])}) weight from leaves group by {by}) {join}),
 o{depth} as (select *, row_number() over w rn, have - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)::hugeint rest, (sum(weight) over (w rows between current row and unbounded following))::hugeint lft

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from passagework.llm import chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, pii, quality_rules, substring_dedup, url_filter
 
 MIN_SITES = 8
-#: Budget of the mixing query in tokens, and the tree's weights; sources' domains follow from their number.
-MIX_TOKENS = 120_000
+#: Budget of the mixing query in percent of all tokens, and the tree's weights; sources' domains follow from their number.
+MIX_PERCENT = 60
 WEIGHTS = {"domain": {"web": 5, "books": 3, "news": 2}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}, "source": {"src0": 2}}
 DOMAIN_SQL = "case cast(nullif(regexp_replace(source, '[^0-9]', '{g}'), '') as bigint) % 3 when 0 then 'web' when 1 then 'books' when 2 then 'news' else 'other' end"
 
@@ -44,7 +44,7 @@ def op5_quality_rules(spark, sf_dir):
 
 
 def op6_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), domain(), MIX_TOKENS, WEIGHTS)
+    return mixing.mix(table(spark, sf_dir, "documents"), domain(), None, WEIGHTS, percent=MIX_PERCENT)
 
 
 def op7_license_scan(spark, sf_dir):
@@ -75,6 +75,6 @@ ORACLE_SQL = {
     "op1_line_dedup": line_dedup.oracle_sql(MIN_SITES),
     "op2_chat_format": chat_format.oracle_sql(),
     "op5_quality_rules": quality_rules.oracle_sql(),
-    "op6_mixing": mixing.oracle_sql(DOMAIN_SQL.replace("'{g}'", "'', 'g'"), MIX_TOKENS, WEIGHTS),
+    "op6_mixing": mixing.oracle_sql(DOMAIN_SQL.replace("'{g}'", "'', 'g'"), None, WEIGHTS, percent=MIX_PERCENT),
     "op10_url_filter": url_filter.oracle_sql(),
 }

@@ -228,9 +228,9 @@ def test_near_lines_are_exact(spark):
     assert out.agg(F.sum("n_removed")).first()[0] == 100
 
 
-@pytest.mark.parametrize("total", [0, 300, 5000, 10**6])
+@pytest.mark.parametrize("total", [0, 300, 5000, 10**6, None])
 def test_mixing(docs, none, total):
-    same_as_sql(mixing.mix(docs, domain(), total, WEIGHTS), mixing.oracle_sql(DOMAIN_SQL.replace("'{g}'", "'', 'g'"), total, WEIGHTS), documents=arrow(corpus(), DOCS))
+    same_as_sql(mixing.mix(docs, domain(), total, WEIGHTS, percent=70), mixing.oracle_sql(DOMAIN_SQL.replace("'{g}'", "'', 'g'"), total, WEIGHTS, percent=70), documents=arrow(corpus(), DOCS))
     assert mixing.mix(none, domain(), total, WEIGHTS).count() == 0
 
 
