@@ -66,16 +66,22 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows in an Arrow batch of queries run by tidy(): a row may hold two sets of thousands of tokens.
+BATCH_ROWS = 512
+
+
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside drop their shuffle files when they end."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    """Queries run inside drop their shuffle files when they end, and send small batches to Python."""
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
