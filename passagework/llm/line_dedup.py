@@ -39,13 +39,14 @@ def boilerplate(docs: DataFrame, min_sites: int) -> DataFrame:
     return judged.where(F.col("sites") >= high).select("line").unionAll(exact.select("line"))
 
 
-def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", site_col: str = "source") -> DataFrame:
+def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", site_col: str = "source", keep_whole: bool = False) -> DataFrame:
     """docs with boilerplate lines out of the text, and columns n_lines and n_removed.
 
     A line (between \\n, outer blanks aside) goes if it is on min_sites distinct sites
     or more; the rest is joined by \\n. Blank lines stay and null sites aren't
     counted. A null text stays null with 0 lines, an empty one has one line. Repeated
-    rows each keep a row. Other columns pass through, but for older n_lines and n_removed.
+    rows each keep a row. With keep_whole a text of which no line with a word would be
+    left stays as it is: copies of a text over many sites aren't boilerplate. Other columns pass through, but for older n_lines and n_removed.
     """
     # the row is one struct, so that its columns' names can't meet those used here
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -56,6 +57,9 @@ def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", sit
     bad = _lines(plain).join(boilerplate(plain, min_sites), "line").groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_bad"))
     kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _line_hash(x)))
     out = keyed.join(bad, "_key", "left").withColumn("_lines", F.split(field(text_col), "\n")).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
+    if keep_whole:
+        some = F.exists("_kept", lambda x: F.trim(x) != "")
+        out = out.withColumn("_bad", F.when(some, F.col("_bad"))).withColumn("_kept", F.when(some, F.col("_kept")).otherwise(F.col("_lines")))
     null = field(text_col).isNull()
     n_lines = F.when(null, F.lit(0)).otherwise(F.size("_lines")).cast("long")
     removed = F.when(null, F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")

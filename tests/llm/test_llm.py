@@ -221,6 +221,13 @@ def test_line_dedup(docs, none, sites):
     assert line_dedup.clean_lines(docs, 1000).where("n_removed > 0").count() == 0
 
 
+def test_whole_copies_may_stay(spark):
+    rows = [(k, "same line\n" + ("other same" if k else "its own"), f"s{k}") for k in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert [r["text"] for r in line_dedup.clean_lines(d, 3).orderBy("doc_id").collect()] == ["its own", "", "", ""]
+    assert [(r["text"], r["n_removed"]) for r in line_dedup.clean_lines(d, 3, keep_whole=True).orderBy("doc_id").collect()] == [("its own", 1)] + [(rows[1][1], 0)] * 3
+
+
 def test_near_lines_are_exact(spark):
     """Sketches alone can't tell 99 from 100 sites."""
     rows = [(k, f"{'a' if k < 99 else 'x'}\n{k}", f"s{k}") for k in range(120)] + [(200 + k, "b", f"s{k}") for k in range(100)]
