@@ -112,6 +112,20 @@ def test_dense_spaces_and_blocks(spark):
     assert {(r["query_id"], r["chunk_id"]) for r in found} == {(i, i) for i in range(4)}
 
 
+def test_lsh_recall(spark):
+    """Of the true neighbours other than the query itself at least 0.9 are found; repeated vectors and ids keep exact scores."""
+    v = np.random.default_rng(1).standard_normal((400, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>")
+    queries = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]): r["score"] for r in df.where("query_id <> chunk_id").collect()}
+    want, rows = pairs(retrieval.dense_top_k(queries, vectors, 5)), retrieval.lsh_top_k(queries, vectors, 5)
+    got = pairs(rows)
+    assert len(want) == 80 and len(want.keys() & got.keys()) / len(want) >= 0.9
+    assert all(math.isclose(got[p], want[p], abs_tol=1e-8) for p in want.keys() & got.keys())
+    assert rows.select("query_id", "chunk_id").distinct().count() == 100
+
+
 def test_bad_vectors(spark):
     bad = spark.createDataFrame([("a", [1.0, float("nan")])], "chunk_id string, vector array<float>")
     with pytest.raises(Exception, match="bad vector"):
