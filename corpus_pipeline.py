@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
@@ -23,22 +23,33 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """Names a row by its id and text: nulls and repeated ids with other texts have keys of their own, only equal rows share one."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id; rows with a null id stay unless they are similar to another."""
-    docs = docs.select(*COLUMNS)
-    found = cut(ngram_join.similar_groups(docs))
-    goes = found.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(goes, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    """Of each group of similar documents the row with the smallest id, nulls last; of equal rows the least one. Rows without words stay."""
+    docs = docs.select(*COLUMNS).withColumn("_key", row_key())
+    found = cut(ngram_join.similar_groups(docs.select("_key", "text"), "_key")).where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id")
+    ids = docs.select("_key", "doc_id").distinct()
+    stays = found.distinct().join(ids, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_key")).alias("first")).select("first._key")
+    stays = cut(stays)
+    goes = found.select("_key").distinct().join(stays, "_key", "left_anti")
+    kept = docs.join(goes, "_key", "left_anti")
+    equal = cut(found.join(stays, "_key", "left_semi").groupBy("_key").count().where("count > 1").select("_key"))
+    if equal.limit(1).count():
+        one = kept.join(equal, "_key", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("r"))
+        kept = kept.join(equal, "_key", "left_anti").select(*COLUMNS).unionByName(one.select("doc_id", "text", "r.*"))
+    return kept.select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window; one that has any goes as a whole."""
+    """Documents without a benchmark window; one that has any goes as a whole, and no other row of its id."""
     items = table(spark, sf_dir, "benchmark")
-    docs = docs.select(*COLUMNS)
-    marked = docs.join(decontaminate.find_benchmark(docs, items).where("contaminated").select(F.col("doc_id").alias("bad")).distinct(), F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti")
-    return marked
+    docs = docs.select(*COLUMNS).withColumn("_key", row_key())
+    bad = decontaminate.find_benchmark(docs.select(F.col("_key").alias("doc_id"), "text"), items).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(bad, "_key", "left_anti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

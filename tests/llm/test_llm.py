@@ -389,5 +389,22 @@ def test_pipeline(spark, tmp_path):
     assert all(x["text"] == texts[x["doc_id"]] and x["n_chars"] == len(x["text"]) for x in out)
 
 
+def test_pipeline_drops_only_judged_rows(spark, tmp_path):
+    """Null and repeated ids: a row's removal takes no other row along."""
+    r = random.Random(3)
+    say = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e, f, g, phrase = (say() for _ in range(8))
+    rows = [(1, a), (None, a + " end"), (None, b), (None, c), (5, d), (5, d), (5, e), (7, a + " more"), (7, f), (None, g), (None, g + " end"), (None, None), (None, None), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = rows_of(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)), "doc_id", "text")
+    last = [x for x in ((None, g), (None, g + " end")) if x in out]
+    assert len(last) == 1
+    assert out == Counter([(1, a), (None, b), (None, c), (5, d), (5, e), (7, f), *last, (None, None), (None, None), (8, ""), (8, "")])
+    spark.createDataFrame([(1, phrase)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, a + " " + phrase), (None, b), (4, phrase), (4, c), (4, c), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    assert rows_of(corpus_pipeline.benchmark(spark, docs, str(tmp_path)), "doc_id", "text") == Counter([(None, b), (4, c), (4, c), (None, None)])
+
+
 def test_every_operator_has_a_query():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
