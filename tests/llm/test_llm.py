@@ -330,6 +330,30 @@ def test_personal(spark):
     assert all(out[k]["spans"] == "" for k in (2, 3, 6, 7)) and out[2]["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("full_first", [True, False])
+def test_far_mentions_agree(full_first):
+    """However often and far from the full form, each bare mention is found; other numbers aren't."""
+    full, bare = "call +1 (234) 555-0000 now", " ".join(["word then (234) 555-0000 again"] * 50)
+    text = f"{full} {bare}" if full_first else f"{bare} {full}"
+    base, all_ = pii.spans([text + " page 12 of 2024"], pii.Field.train())[0]
+    assert [k for k, *_ in base] == ["phone"]
+    phones = [text[a:b] for k, a, b in all_ if k == "phone"]
+    assert len(all_) == len(phones) == 51 and all(p.endswith("555-0000") for p in phones)
+
+
+def test_field_ends_when_messages_stay():
+    """A long chain: a message from one end reaches the other, as in exact forward-backward sums."""
+    m = len(pii.LABELS)
+    field = pii.Field(np.eye(15, m) * 0, 4 * np.eye(m), np.zeros((m, m)))
+    field.w[5] = 3 * np.eye(m)[4]
+    x = np.zeros((40, 15))
+    x[0, 5] = 1
+    p = field.marginals(x, [(k, k + 1) for k in range(39)], [])
+    step = np.exp(field.chain)
+    want = [np.exp(field.w[5]) @ np.linalg.matrix_power(step, k) for k in range(40)]
+    assert np.allclose(p, [w / w.sum() for w in want], atol=1e-4)
+
+
 def test_field_on_held_out_sentences():
     field, hits, found, want = pii.Field.train(), 0, 0, 0
     for text, gold in pii.examples(200, seed=99):
