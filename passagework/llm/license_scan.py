@@ -2,8 +2,11 @@
 
 Templates are few and fixed, so their inverted index (fingerprint -> template,
 position) goes to every worker. A document's winnowed word trigrams that are in the
-index pick candidate templates and diagonals; a local alignment in a band around
-the diagonal gives the matched words, their share of the template, and the span.
+index pick candidate templates and diagonals. A match may share no trigram (changed
+or inserted words), so a second index holds so many single words of each template
+that none can be missing from a match; they pick candidates wherever enough of the
+template's words are near. A local alignment in a band around the diagonal gives the
+matched words, their share of the template, and the span.
 """
 
 from __future__ import annotations
@@ -70,7 +73,7 @@ def align(a: np.ndarray, b: np.ndarray, diagonal: int, band: int) -> tuple[int,
 
 
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
         self.names = list(templates)
         texts, self.words = pa.array([templates[n] for n in self.names], pa.string()), []
         for slab in slabs(texts, ALNUM, lower=True):
@@ -79,6 +82,22 @@ class Index:
         entries = sorted((int(g), k, int(p)) for k, h in enumerate(self.words) for p, g in zip(*winnow(h)))
         self.hash = np.array([e[0] for e in entries], np.uint64)
         self.template, self.pos = (np.array([e[k] for e in entries], np.int64) for k in (1, 2))
+        #: Words a match of each template has at least.
+        self.need = [next((m for m in range(1, len(h) + 1) if m >= least * len(h)), len(h) + 1) for h in self.words]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.rank = [np.searchsorted(self.vocabulary, h) for h in self.words]
+        self.has = np.zeros((len(self.words), len(self.vocabulary) + 1), bool)
+        for k, r in enumerate(self.rank):
+            self.has[k, r] = True
+        # of so many positions a match leaves out all but one at most; words of few templates, and long ones, are taken
+        shared = self.has.sum(0)
+        length = dict(zip(self.vocabulary.tolist(), [0] * len(self.vocabulary)))
+        for slab in slabs(texts, ALNUM, lower=True):
+            length |= zip(slab.hashes().tolist(), (slab.end - slab.start).tolist())
+        self.anchors: list[list[int]] = []
+        for h, r, need in zip(self.words, self.rank, self.need):
+            order = sorted(range(len(h)), key=lambda p: (int(np.count_nonzero(h == h[p])), -length[int(h[p])], int(shared[r[p]]), p))
+            self.anchors.append(sorted(order[: len(h) - need + 1]))
 
     def candidates(self, h: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least position in the text, diagonal) of each cluster of hits."""
@@ -99,11 +118,36 @@ class Index:
                 last = (t, d)
         return out
 
+    def sparse(self, h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, template, diagonal) of every anchor word of a template with enough of its words around it; rows are bounds of h."""
+        if not len(self.vocabulary):
+            return []
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[at] == h)
+        rank, out = at[known], []
+        row = np.searchsorted(bounds, known, "right") - 1
+        low, high = bounds[row], bounds[row + 1]
+        for t, (ranks, need) in enumerate(zip(self.rank, self.need)):
+            mine = self.has[t][rank]
+            place = known[mine]
+            if len(place) < need:
+                continue
+            lo, hi, reach = low[mine], high[mine], self.band(t) + 1
+            for p in self.anchors[t]:
+                hits = np.flatnonzero(rank[mine] == ranks[p])
+                j = place[hits]
+                first = np.maximum(lo[hits], j - p - reach)
+                stop = np.minimum(hi[hits], j - p + len(ranks) + reach)
+                enough = np.searchsorted(place, stop) - np.searchsorted(place, first) >= need
+                for k in hits[enough].tolist():
+                    out.append((int(row[mine][k]), t, int(place[k] - lo[k]) - p))
+        return out
+
     def band(self, t: int) -> int:
         return 2 + len(self.words[t]) // 8
 
 
-def _scan(index, least: float):
+def _scan(index):
     def run(batches):
         ix = index.value
         for batch in batches:
@@ -113,16 +157,19 @@ def _scan(index, least: float):
                 h = slab.hashes()
                 fingerprint = windows(h, GRAM)
                 known = np.r_[np.isin(fingerprint, ix.hash), np.zeros(len(h) - len(fingerprint), bool)]
+                near: dict[int, set[tuple[int, int]]] = {}
+                for r, t, d in ix.sparse(h, slab.bounds):
+                    near.setdefault(r, set()).add((t, d))
                 hits = np.flatnonzero(known)
-                for r in np.unique(np.searchsorted(slab.bounds, hits, "right") - 1).tolist():
+                for r in sorted({*np.unique(np.searchsorted(slab.bounds, hits, "right") - 1).tolist(), *near}):
                     a, b = int(slab.bounds[r]), int(slab.bounds[r + 1])
                     raw, found = None, []
-                    for t, _, d in ix.candidates(h[a:b]):
+                    for t, d in sorted({(t, d) for t, _, d in ix.candidates(h[a:b])} | near.get(r, set())):
                         band, words = ix.band(t), ix.words[t]
-                        first = max(0, d - band)
+                        first = max(0, d - band - 1)
                         part = h[a + first : min(b, a + d + len(words) + 2 * band)]
                         m, x, y = align(words, part, d - first, band + 1)
-                        if m >= least * len(words):
+                        if m >= ix.need[t]:
                             found.append((t, first + x, first + y, m))
                     for t, x, y, m in _apart(found):
                         raw = slab.data[slab.offsets[r] : slab.offsets[r + 1]] if raw is None else raw
@@ -155,6 +202,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     a template; overlapping matches of one template are one. Null and empty texts
     have none; repeated rows repeat their matches; ids may be null. No other column is read.
     """
-    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
+    index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates, least))
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return named.mapInArrow(_scan(index, least), "doc_id long, license string, matched_words long, coverage double, start long, end long")
+    return named.mapInArrow(_scan(index), "doc_id long, license string, matched_words long, coverage double, start long, end long")

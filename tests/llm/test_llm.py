@@ -301,6 +301,28 @@ def test_license_scan(spark):
     assert 0.9 < five["coverage"] < 1 and rows[4][1][five["start"] :].startswith("PERMISSION")
 
 
+def test_license_scan_loses_no_match(spark):
+    """Against an alignment at every diagonal: changed, left out and inserted words, also where no three words in a row are kept."""
+    r, rows = random.Random(6), [(0, "Released under an MIT License"), (1, "Released under MIT License"), (2, "Licensed under CC XX NC 4.0")]
+    while len(rows) < 120:
+        name = r.choice(list(license_scan.TEMPLATES))
+        w = license_scan.TEMPLATES[name].split()
+        for _ in range(r.randint(1, max(1, len(w) // 4))):
+            k, how = r.randrange(len(w)), r.randrange(3)
+            w[k : k + 1] = [["other"], [], [w[k], "more"]][how]
+        rows.append((len(rows), " ".join(["intro"] * r.randint(0, 4) + w + ["the", "end"])))
+    index, want = license_scan.Index(license_scan.TEMPLATES), set()
+    for slab in slabs(pa.array([t for _, t in rows]), ALNUM, lower=True):
+        h = slab.hashes()
+        for row, (a, b) in enumerate(zip(slab.bounds[:-1], slab.bounds[1:]), slab.first):
+            for t, words_ in enumerate(index.words):
+                if any(license_scan.align(words_, h[a:b], d, index.band(t) + 1)[0] >= 0.8 * len(words_) for d in range(-len(words_), b - a)):
+                    want.add((row, index.names[t]))
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(0, "MIT"), (1, "MIT"), (2, "CC-BY-NC-4.0")} <= want
+    assert want <= {(x["doc_id"], x["license"]) for x in out} and all(x["coverage"] >= 0.8 for x in out)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
