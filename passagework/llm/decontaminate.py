@@ -211,6 +211,31 @@ def _spans(hit: np.ndarray) -> np.ndarray:
 FOUND = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("first", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("cut", pa.string())])
 
 
+def _without(text: str, slab, r: int, spans: np.ndarray) -> str:
+    """A text, row r of the slab, without the words first to end - 1 of each span and what is between them."""
+    raw, kept, at = text.encode(), [], 0
+    for x, y in spans + slab.bounds[r]:
+        kept.append(raw[at : slab.start[x] - slab.offsets[r]])
+        at = slab.end[y - 1] - slab.offsets[r]
+    return b"".join([*kept, raw[at:]]).decode()
+
+
+def _cut_merged(batches):
+    """Rows of FOUND's columns but for the last, which is the whole text: cut by all spans of the row, whichever block they are from."""
+    for batch in batches:
+        out, texts = batch.column(6).to_pylist(), batch.column(6)
+        for slab in slabs(texts, ALNUM, lower=True):
+            for r, (a, b) in enumerate(zip(slab.bounds[:-1], slab.bounds[1:])):
+                k = slab.first + r
+                first, end = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
+                if first:
+                    hit = np.zeros(int(b - a) + 1, np.int64)
+                    np.add.at(hit, first, 1)
+                    np.add.at(hit, end, -1)
+                    out[k] = _without(out[k], slab, r, _spans(np.cumsum(hit)[:-1] > 0))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(out, pa.string())], schema=FOUND)
+
+
 def _find(phrases, with_text: bool):
     def run(batches):
         for batch in batches:
@@ -228,11 +253,7 @@ def _find(phrases, with_text: bool):
                     if with_text:
                         text = texts[slab.first + r].as_py()
                         if len(spans):
-                            raw, kept, at = text.encode(), [], 0
-                            for x, y in spans + a:
-                                kept.append(raw[at : slab.start[x] - slab.offsets[r]])
-                                at = slab.end[y - 1] - slab.offsets[r]
-                            text = b"".join([*kept, raw[at:]]).decode()
+                            text = _without(text, slab, r, spans)
                     cols[3].append(text)
                 part = batch.slice(slab.first, slab.stop - slab.first)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(slab.bounds), pa.int64()), *(pa.array(c, FOUND.field(k + 3).type) for k, c in enumerate(cols))], schema=FOUND)
@@ -266,8 +287,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, with_
     window covers it. items_sha256 is of the sorted item ids (strings), comma-joined.
     Null and empty texts have no words; items with null ids count under the name
     "null"; items of one id count once. Repeated documents each have a row. A
-    benchmark beyond BLOCK_CHARS goes through the documents in blocks of items; then
-    text isn't given. Other columns are ignored.
+    benchmark beyond BLOCK_CHARS goes through the documents in blocks of items, whose
+    spans are merged before the text is cut. Other columns are ignored.
     """
     docs = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
@@ -287,5 +308,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, with_
         # every block has each row once, so equal rows are counted and divided
         merged = ranked.groupBy("key", "doc_id", "n_words").agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), (F.count("*") / blocks).cast("int").alias("times"))
         merged = merged.withColumn("first", F.flatten("spans.first")).withColumn("end", F.flatten("spans.end"))
-        found = merged.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("key", "doc_id", "n_words", "first", "end", "items", F.lit(None).cast("string").alias("cut"))
+        if with_text:  # every row has its own text, so there is nothing to repeat
+            own = docs.withColumnsRenamed({"key": "own_key", "doc_id": "own_id"})
+            rows = own.join(merged, (F.col("own_key") == F.col("key")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+            found = rows.select("key", "doc_id", "n_words", "first", "end", "items", F.col("text").alias("cut")).mapInArrow(_cut_merged, schema)
+        else:
+            found = merged.withColumn("again", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("key", "doc_id", "n_words", "first", "end", "items", F.lit(None).cast("string").alias("cut"))
     return found.mapInArrow(_report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, text string")

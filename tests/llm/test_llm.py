@@ -176,6 +176,18 @@ def test_removal_spans(spark):
     assert decontaminate.find_benchmark(d, b, with_text=True).first()["text"] == "é start, ! end"
 
 
+def test_removal_spans_of_blocks(spark, monkeypatch):
+    """A benchmark in several blocks cuts the same text as in one, clean, null and repeated rows included."""
+    texts = ["é start, Alpha-beta! gamma delta. end", "Alpha beta, gamma delta; one two", "clean text", "clean text", None, "", "gamma delta"]
+    d = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1]), (None, None)], "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame([(1, "ALPHA beta"), (2, "gamma delta"), (3, "beta gamma"), (4, "two"), (5, "absent words")], "item_id long, text string")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "text")
+    want = rows_of(decontaminate.find_benchmark(d, b, with_text=True), *names)
+    assert {t for *_, t in want} >= {"é start, . end", "; one ", "clean text", None, ""}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 8)
+    assert rows_of(decontaminate.find_benchmark(d, b, with_text=True), *names) == want
+
+
 def test_suffix_array_and_index():
     r = np.random.default_rng(2)
     s = np.r_[r.integers(1, 4, 300), 0, r.integers(1, 4, 40), 0]
