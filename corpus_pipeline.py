@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; one that has nothing else stays as it is, since its copies are the next stage's task."""
+    """Documents without boilerplate lines; one that has nothing else and is on several sites as a whole stays as it is, since its copies are the next stage's task."""
     cleaned = line_dedup.clean_lines(docs.select(*COLUMNS), MIN_SITES, keep_whole=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 

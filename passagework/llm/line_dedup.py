@@ -46,7 +46,8 @@ def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", sit
     or more; the rest is joined by \\n. Blank lines stay and null sites aren't
     counted. A null text stays null with 0 lines, an empty one has one line. Repeated
     rows each keep a row. With keep_whole a text of which no line with a word would be
-    left stays as it is: copies of a text over many sites aren't boilerplate. Other columns pass through, but for older n_lines and n_removed.
+    left stays as it is if the whole text is on two sites or more: copies of a text over
+    many sites aren't boilerplate. Other columns pass through, but for older n_lines and n_removed.
     """
     # the row is one struct, so that its columns' names can't meet those used here
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
@@ -58,7 +59,9 @@ def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", sit
     kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _line_hash(x)))
     out = keyed.join(bad, "_key", "left").withColumn("_lines", F.split(field(text_col), "\n")).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
     if keep_whole:
-        some = F.exists("_kept", lambda x: F.trim(x) != "")
+        copied = plain.groupBy(F.xxhash64("text").alias("_text")).agg((F.min("site") < F.max("site")).alias("_copied")).where("_copied")
+        out = out.withColumn("_text", F.xxhash64(field(text_col))).join(copied, "_text", "left")
+        some = F.col("_copied").isNull() | F.exists("_kept", lambda x: F.trim(x) != "")
         out = out.withColumn("_bad", F.when(some, F.col("_bad"))).withColumn("_kept", F.when(some, F.col("_kept")).otherwise(F.col("_lines")))
     null = field(text_col).isNull()
     n_lines = F.when(null, F.lit(0)).otherwise(F.size("_lines")).cast("long")

@@ -240,6 +240,14 @@ def test_whole_copies_may_stay(spark):
     assert [(r["text"], r["n_removed"]) for r in line_dedup.clean_lines(d, 3, keep_whole=True).orderBy("doc_id").collect()] == [("its own", 1)] + [(rows[1][1], 0)] * 3
 
 
+def test_mixed_boilerplate_goes(spark):
+    """A page of nothing but site boilerplate that no other site has as a whole loses its lines also with keep_whole."""
+    rows = [(k, f"menu\nfooter\nits own {k}", f"s{k}") for k in range(3)] + [(3, "menu\nfooter", "s3"), (4, "footer\nmenu", "s4"), (5, "footer\nmenu", "s5"), (6, "menu\nmenu", "s6"), (7, "menu\nmenu", "s6"), (8, "footer", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.clean_lines(d, 3, keep_whole=True).collect()}
+    assert out == {k: f"its own {k}" for k in range(3)} | {3: "", 4: "footer\nmenu", 5: "footer\nmenu", 6: "", 7: "", 8: ""}
+
+
 def test_near_lines_are_exact(spark):
     """Sketches alone can't tell 99 from 100 sites."""
     rows = [(k, f"{'a' if k < 99 else 'x'}\n{k}", f"s{k}") for k in range(120)] + [(200 + k, "b", f"s{k}") for k in range(100)]
