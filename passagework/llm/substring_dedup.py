@@ -1,14 +1,13 @@
-"""Removal of word passages that occur again anywhere, by relative Lempel-Ziv parsing.
+"""Removal of word passages that occur again anywhere, by hashed windows in reference blocks.
 
 The corpus is its own reference. It is cut into reference blocks by content: a
 window of LENGTH words belongs to the block named by the least hash among its
 k-word grams, so two equal windows always meet in one block, and a document is
-parsed against exactly those blocks that can hold a factor of LENGTH words.
-Inside a block the documents' fragments (runs of windows) are factored greedily:
-a factor follows its source as long as both go on alike; at each factor boundary
-the next window is looked up in the block's index again, so a window that
-straddles two factors isn't missed. Factors of LENGTH words or more are
-duplicate spans.
+compared with exactly those blocks that can hold an equal window. Inside a block
+the hashes of all fragments' windows (fragments are runs of windows) are sorted, and
+equal ones mark each other; runs of marked windows are the duplicate spans. This
+replaces a relative Lempel-Ziv parsing: no factor follows a source word by word, and
+words aren't compared again, so equality is that of 64-bit hashes.
 
 Round one finds the block names that occur twice at all, from one entry for each
 name and slab of rows; round two sends only fragments of those. What repeats
@@ -189,11 +188,9 @@ def _sent(length: int, bits: int):
 
 
 def parse(symbols: np.ndarray) -> np.ndarray:
-    """Greedy factors of a block's fragments against the block itself.
+    """For each window of a block's fragments another place with an equal one, or -1 if it has none.
 
-    symbols: the fragments' windows. Returns each window's source, another place with the same window, or -1 (a literal).
-    A factor goes on while its source's next window is its own next one; where it
-    ends, the index (symbols in order) gives the next window's first occurrence.
+    symbols: the windows' hashes. The place is the first one, for the first the second.
     """
     order = np.argsort(symbols, kind="stable")
     s = symbols[order]
