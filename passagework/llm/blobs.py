@@ -22,12 +22,20 @@ BLOB_SCHEMA = "bucket int, blob binary"
 BLOB_ARROW = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def bucket_bits(docs: DataFrame, text_col: str) -> int:
-    """Leading hash bits that name a bucket, for the size of these texts."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+
+
+def bits_for(total: int) -> int:
+    """Leading hash bits that name a bucket, for so many bytes of text."""
     return max(LEAST_BITS, min(MOST_BITS, int(total // BYTES_A_BUCKET).bit_length()))
 
 
+def bucket_bits(docs: DataFrame, text_col: str) -> int:
+    """The same for the size of these texts."""
+    return bits_for(text_bytes(docs, text_col))
+
+
 def pack(key: np.ndarray, columns: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, blob); key's next 32 bits and the columns are in the blob, entries sorted by key."""
     if not len(key):
