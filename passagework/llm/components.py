@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagework.llm.blobs import cut
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(a, b) links between long ids to (node, root): root is the smallest id reachable.
 
     Each round joins every node with the smallest of its neighbours (large star,
@@ -18,7 +18,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """
     edges = links.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges, before = cut(edges.distinct()), None
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
