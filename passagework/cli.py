@@ -1,4 +1,4 @@
-"""Commands: ask, build, eval, ablate, ls."""
+"""Commands: ask, build, eval, ablate, scan, samples, ls."""
 
 from __future__ import annotations
 
@@ -8,11 +8,11 @@ import time
 from pyspark.sql import SparkSession
 
 from passagework.plans import config as C
-from passagework.plans.evaluate import SUITES, ablate, evaluate
+from passagework.plans.evaluate import SUITES, ablate, evaluate, save_ablation
 from passagework.plans.pipeline import Pipeline, ask
 from passagework.plans.registry import registry
-from passagework.sources import loaders
-from passagework.sources.datasets import DATASETS
+from passagework.sources import loaders, samples
+from passagework.sources.datasets import DATASETS, scan
 from passagework.sources.knowledge_base import KnowledgeBase, persist_dir
 
 
@@ -35,7 +35,7 @@ def _loaded(spark, a, pipeline, folder):
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="passagework")
-    p.add_argument("command", choices=("ask", "build", "eval", "ablate", "ls"))
+    p.add_argument("command", choices=("ask", "build", "eval", "ablate", "scan", "samples", "ls"))
     p.add_argument("question", nargs="?")
     p.add_argument("--config", action="append", default=[])
     p.add_argument("--preset", default="default", choices=sorted(C.PRESETS))
@@ -56,6 +56,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{space}: {', '.join(registry.options(space))}")
         return 0
     spark = spark or SparkSession.builder.appName("passagework").getOrCreate()
+    if a.command == "scan":
+        for path, found in scan(spark, a.question or ".").items():
+            print(path, found)
+        return 0
+    if a.command == "samples":
+        samples.write_samples(spark, a.question or "data", True)
+        samples.write_tool_samples(spark, a.question or "data")
+        return 0
     pipeline = _pipeline(spark, a)
     folder = persist_dir(pipeline.config)
     if a.command == "ask":
@@ -85,6 +93,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{r['metric']:24} {r['variant']:24} {r['value']:.4f} {r['delta']:+.4f}")
         for s in skipped:
             print("skipped", s)
+        if a.out:
+            save_ablation(a.out, a.suite, table, skipped)
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,15 +23,38 @@ _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
+def _unstable() -> str:
+    """Matches a character outside the blocks below in which NFKC changes nothing, whatever stands beside it."""
+    blocks = ((0x0, 0x300), (0x2010, 0x2060), (0x3000, 0x3040), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4))
+    stable = lambda c: unicodedata.is_normalized("NFKC", chr(c)) and not unicodedata.combining(chr(c))
+    kept = []
+    for first, stop in blocks:
+        for same, run in itertools.groupby(range(first, stop), stable):
+            run = list(run)
+            if same:
+                kept.append(f"\\x{{{run[0]:x}}}-\\x{{{run[-1]:x}}}")
+    return f"[^{''.join(kept)}]"
+
+
+_UNSTABLE = _unstable()
+
+
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC, which Spark has no function for."""
+    """Unicode NFKC, which Spark has no function for: full-width forms are translated, and only texts that hold other characters it could change are sent to Python."""
 
     @F.pandas_udf("string")
     def composed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return composed(text)
+    plain = F.translate(text, _FULL, _HALF)
+    return F.coalesce(composed(F.when(plain.rlike(_UNSTABLE), text)), plain)
+
+
+def nfkc_each(texts: Column) -> Column:
+    """A list's strings in NFKC, null as empty; lambdas can't hold the Python step, so it is done on the list as one text."""
+    whole = F.array_join(F.transform(texts, lambda t: F.replace(F.coalesce(t, F.lit("")), F.lit("\x1e"), F.lit(" "))), "\x1e")
+    return F.when(F.size(texts) == 0, texts).otherwise(F.split(nfkc(whole), "\x1e"))
 
 
 def strip(text: Column) -> Column:
@@ -38,21 +62,23 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def normalize(text: Column, exact: bool = False) -> Column:
-    """Lower case without punctuation, single spaces. Full-width forms become ASCII; exact applies all of NFKC, in Python."""
+def _folded(text: Column, exact: bool) -> Column:
     text = F.coalesce(text, F.lit(""))
-    text = nfkc(text) if exact else F.translate(text, _FULL, _HALF)
-    spaced = F.regexp_replace(F.regexp_replace(F.lower(text), _PUNCTUATION, " "), r"(?U)\s+", " ")
-    return F.trim(spaced)
+    return F.lower(nfkc(text) if exact else F.translate(text, _FULL, _HALF))
+
+
+def normalize(text: Column, exact: bool = True) -> Column:
+    """NFKC, lower case without punctuation, single spaces. Without exact only full-width forms become ASCII, and no row meets Python."""
+    return F.trim(F.regexp_replace(F.regexp_replace(_folded(text, exact), _PUNCTUATION, " "), r"(?U)\s+", " "))
 
 
-def tokens(text: Column, drop_stop_words: bool = False, exact: bool = False) -> Column:
-    """One ideograph, a run of ASCII letters or of ASCII digits; anything else separates."""
-    found = F.regexp_extract_all(normalize(text, exact), F.lit(_TOKEN), F.lit(0))
+def tokens(text: Column, drop_stop_words: bool = False, exact: bool = True) -> Column:
+    """One ideograph, a run of ASCII letters or of ASCII digits; anything else separates, so punctuation needn't be replaced first."""
+    found = F.regexp_extract_all(_folded(text, exact), F.lit(_TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS)) if drop_stop_words else found
 
 
-def index_tokens(text: Column, exact: bool = False) -> Column:
+def index_tokens(text: Column, exact: bool = True) -> Column:
     """Tokens without stop words, then the pairs of neighbours in that list that are both ideographs."""
     found = tokens(text, True, exact)
     ideograph = lambda t: t.rlike(f"^[{CJK}]$")
@@ -61,11 +87,18 @@ def index_tokens(text: Column, exact: bool = False) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), F.concat(found, F.filter(pairs, lambda p: p.isNotNull()))).otherwise(found)
 
 
-def char_ngrams(text: Column, n: int = 3, exact: bool = False) -> Column:
+def char_ngrams(text: Column, n: int = 3, exact: bool = True) -> Column:
     """Code-point windows of the normalised text without spaces; a shorter text is one window, an empty one none."""
     s = F.replace(normalize(text, exact), F.lit(" "), F.lit(""))
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substr(s, i, F.lit(n)))
-    return F.when(F.length(s) == 0, F.array().cast("array<string>")).otherwise(windows)
+    # a look-ahead finds overlapping windows in one pass; a substring for each would begin to count at the text's start
+    windows = lambda x: F.when(F.length(x) < n, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+    # as a list of one the text is computed once, and outside of the lambda
+    return F.flatten(F.transform(F.filter(F.array(s), lambda x: x != ""), windows))
+
+
+def once(value: Column) -> Column:
+    """A generator that keeps a costly value from being computed again in each use of its column."""
+    return F.explode(F.array(value))
 
 
 def sentences(text: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions.text import char_ngrams, index_tokens
@@ -56,6 +56,21 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 1e-12, F.transform(vector, lambda x: (x / norm).cast("float"))).otherwise(vector)
 
 
+def http_detail(error: urllib.error.HTTPError, most: int = 500) -> str:
+    """What a service says about a refused request: the message in its JSON body, else the body, else the status line."""
+    try:
+        body = error.read().decode("utf-8", "replace")
+    except Exception:
+        body = ""
+    try:
+        said = json.loads(body)
+        said = said.get("error", said)
+        body = str(said.get("message") or said) if isinstance(said, dict) else str(said)
+    except (ValueError, AttributeError):
+        pass
+    return (body or str(error.reason))[:most]
+
+
 class HttpEncoder:
     """An embeddings endpoint of the common JSON form: {model, input} to {data: [{index, embedding}]}.
 
@@ -87,7 +102,7 @@ class HttpEncoder:
                     self.batch_size = min(self.batch_size, half)
                     return self._one(texts[:half]) + self._one(texts[half:])
                 if e.code in (401, 403, 404) or attempt == self.max_retries - 1:
-                    raise
+                    raise RuntimeError(f"the encoder's endpoint answers {e.code}: {http_detail(e)}") from e
             except (OSError, ValueError, KeyError):
                 if attempt == self.max_retries - 1:
                     raise
@@ -136,10 +151,26 @@ def cache_key(text: Column, config: str, is_query: bool = False) -> Column:
 
 
 def encode_cached(rows: DataFrame, key: str, encoder, cache: DataFrame | None, config: str, is_query: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(key, vector) and the grown cache (cache_key, vector): each distinct missing text is encoded once."""
-    keyed = rows.withColumn("cache_key", cache_key(F.col("text"), config, is_query))
-    wanted = keyed.select("cache_key", "text").dropDuplicates(["cache_key"])
-    missing = wanted if cache is None else wanted.join(cache, "cache_key", "left_anti")
-    fresh = encode_with(missing, "cache_key", encoder, is_query)
+    """(key, vector) and the grown cache (cache_key, vector)."""
+    fresh = missing_vectors(rows, encoder, cache, config, is_query)
     grown = fresh if cache is None else cache.unionByName(fresh)
-    return keyed.join(grown, "cache_key").select(key, "vector"), grown
+    return from_cache(rows, key, grown, config, is_query), grown
+
+
+def missing_vectors(rows: DataFrame, encoder, cache: DataFrame | None, config: str, is_query: bool = False) -> DataFrame:
+    """(cache_key, vector) of the texts that the cache lacks, each distinct one encoded once."""
+    wanted = rows.select(cache_key(F.col("text"), config, is_query).alias("cache_key"), "text").dropDuplicates(["cache_key"])
+    return encode_with(wanted if cache is None else wanted.join(cache, "cache_key", "left_anti"), "cache_key", encoder, is_query)
+
+
+def from_cache(rows: DataFrame, key: str, cache: DataFrame, config: str, is_query: bool = False) -> DataFrame:
+    """(key, vector) of texts that are all in the cache."""
+    return rows.withColumn("cache_key", cache_key(F.col("text"), config, is_query)).join(cache, "cache_key").select(key, "vector")
+
+
+def load_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """A cache that earlier sessions left at path, if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema("cache_key string, vector array<float>").parquet(path).dropDuplicates(["cache_key"])

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import citation_numbers, index_tokens, normalize, sentences, strip
+from passagework.operators.encoding import http_detail
 from passagework.operators.retrieval import top_k
 
 # fixed values: answers without evidence, the block header, and the prompt's form
@@ -83,13 +84,15 @@ class HttpChat:
             return json.load(r)
 
     def chat(self, messages: list[dict[str, str]], **options) -> str:
-        error: Exception | None = None
+        error: object = None
         for attempt in range(self.max_retries):
             try:
                 return self._post(self.url, {**self.defaults, **options, "messages": messages})["choices"][0]["message"]["content"] or ""
+            except urllib.error.HTTPError as e:
+                error = f"{e}: {http_detail(e)}"
             except Exception as e:  # any failure of the service counts
                 error = e
-                self._sleep(2**attempt)
+            self._sleep(2**attempt)
         raise RuntimeError(f"the model call failed {self.max_retries} times: {error}")
 
     def ask(self, text: str, system: str | None = None, **options) -> str:
@@ -210,12 +213,14 @@ def api_results(payload: dict) -> list:
 
 
 class HttpReranker:
-    """A rerank endpoint; the body has the standard form, or the nested one if the address says so."""
+    """A rerank endpoint, a path below the base address; one below /services/ takes the nested body."""
 
     def __init__(self, model: str, base_url: str, api_key: str = "", max_chars: int = 1000, timeout: float = 60, max_retries: int = 2, endpoint: str | None = None, post=None, sleep=time.sleep):
         self.model, self.api_key, self.max_chars, self.timeout, self.max_retries = model, api_key, max_chars, timeout, max_retries
-        self.nested = "dashscope" in base_url
-        self.url = endpoint or (base_url.split("/compatible-mode")[0].rstrip("/") + "/api/v1/services/rerank/text-rerank/text-rerank" if self.nested else base_url.rstrip("/") + "/rerank")
+        # fixed values: the two default paths
+        path = endpoint or ("/services/rerank/text-rerank/text-rerank" if "dashscope" in base_url else "/rerank")
+        path = "/" + path.lstrip("/")
+        self.nested, self.url = path.startswith("/services/"), base_url.rstrip("/") + path
         self._post, self._sleep = post or self._http, sleep
 
     _http = HttpChat._http
@@ -227,18 +232,15 @@ class HttpReranker:
         return {"model": self.model, "query": question, "documents": docs, "top_n": k}
 
     def order(self, question: str, texts: list[str], k: int):
-        """(index, score) in the service's order, or None after a failure or without results."""
-        for attempt in range(self.max_retries + 1):
+        """(index, score) in the service's order, or None after max_retries failures or without results."""
+        for attempt in range(self.max_retries):
             try:
-                found = api_results(self._post(self.url, self.body(question, texts, k)))
+                found = api_results(self._post(self.url, self.body(question, texts, min(k, len(texts)))))
                 kept = [(int(r["index"]), float(r.get("relevance_score", r.get("score", 0.0)))) for r in found if 0 <= int(r["index"]) < len(texts)]
                 return kept or None
-            except urllib.error.HTTPError as e:
-                if e.code in (401, 403, 404):
-                    return None
-                self._sleep(2**attempt)
             except Exception:
-                self._sleep(2**attempt)
+                if attempt + 1 < self.max_retries:
+                    self._sleep(2**attempt)
         return None
 
 

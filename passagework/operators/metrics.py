@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import normalize, tokens
+from passagework.functions.text import nfkc_each, normalize, tokens
 
 RETRIEVAL = ("recall", "precision", "hit_rate", "mrr", "map", "ndcg")
 ANSWER = ("exact_match", "answer_contains", "token_f1", "rouge_l", "faithfulness", "context_recall")
@@ -67,12 +67,12 @@ def _answered(samples: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def exact_match(samples: DataFrame, answers: DataFrame) -> DataFrame:
-    return _long(_answered(samples, answers), {"exact_match": F.exists("answers", lambda a: normalize(a) == normalize(F.col("pred"))).cast("double")})
+    return _long(_answered(samples, answers).withColumn("np", normalize(F.col("pred"))), {"exact_match": F.exists(nfkc_each(F.col("answers")), lambda a: normalize(a, False) == F.col("np")).cast("double")})
 
 
 def answer_contains(samples: DataFrame, answers: DataFrame) -> DataFrame:
-    hit = F.exists("answers", lambda a: (normalize(a) != "") & normalize(F.col("pred")).contains(normalize(a)))
-    return _long(_answered(samples, answers), {"answer_contains": hit.cast("double")})
+    hit = F.exists(nfkc_each(F.col("answers")), lambda a: (normalize(a, False) != "") & F.col("np").contains(normalize(a, False)))
+    return _long(_answered(samples, answers).withColumn("np", normalize(F.col("pred"))), {"answer_contains": hit.cast("double")})
 
 
 def token_f1(samples: DataFrame, answers: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def rouge_l(samples: DataFrame, answers: DataFrame) -> DataFrame:
     """LCS F1, the best of the answers; the only answer metric that runs as an Arrow batch, since the table is quadratic."""
     rows = _answered(samples, answers)
     rouge = F.pandas_udf(_best_lcs, "double")
-    return _long(rows, {"rouge_l": rouge(tokens(F.col("pred")), F.transform("answers", lambda a: tokens(a)))})
+    return _long(rows, {"rouge_l": rouge(tokens(F.col("pred")), F.transform(nfkc_each(F.col("answers")), lambda a: tokens(a, exact=False)))})
 
 
 def _contexts(samples: DataFrame, hits: DataFrame) -> DataFrame:

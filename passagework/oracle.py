@@ -84,9 +84,9 @@ i_{name} as (select *, least(len(g), {k}) most, list_sum(list_transform(generate
 
 
 _PAIRS = """
-c as (select conv_id * 1000 + turn k, role, text from conversations),
-s as (select q.k sample_id, q.text question, a.text answer, coalesce(p.text, '') pred, p.text is not null cited
-      from c q join c a on a.role = 'assistant' and a.k = q.k + 1 left join c p on p.role = 'assistant' and p.k = q.k + 3 where q.role = 'user' and a.text <> '')"""
+c as (select conv_id, turn, role, text from conversations),
+s as (select q.conv_id || ':' || q.turn sample_id, q.text question, a.text answer, coalesce(p.text, '') pred, p.text is not null cited
+      from c q join c a on a.role = 'assistant' and a.conv_id = q.conv_id and a.turn = q.turn + 1 left join c p on p.role = 'assistant' and p.conv_id = q.conv_id and p.turn = q.turn + 3 where q.role = 'user' and a.text <> '')"""
 
 _TEXTS = "t_ as (select bm.*, text from bm join documents on doc_id = chunk_id)"
 _PACK = f"""{_TEXTS},
@@ -94,20 +94,26 @@ b_ as (select query_id, rank, '[' || rank || '] （来源：' || chunk_id || ')'
 k_ as (select *, sum(length(block)) over (partition by query_id order by rank rows unbounded preceding) cum from b_),
 pk as (select query_id, string_agg(substr(block, 1, 4000), chr(10) || chr(10) order by rank) context, count(*) n_used from k_ where rank = 1 or cum <= 4000 group by 1)""".replace("chunk_id || ')'", "chunk_id || '）'")
 
+_BEIR_SAMPLES = """with b as (select item_id::varchar sample_id, any_value(b.text) question, string_agg(doc_id::varchar, '|' order by doc_id::varchar) gold
+  from labels l join benchmark b on l.doc_id % 40 = b.item_id where quality > 0 group by item_id) """
+_HOTPOT = """d as (select doc_id, 'd' || doc_id title, text from documents where doc_id between 0 and 59),
+i as (select item_id, b.text, x.title t0, y.title t1 from benchmark b join d x on item_id % 60 = x.doc_id join d y on item_id % 30 + 30 = y.doc_id)"""
+_SQUAD = """s as (select *, dense_rank() over (order by lang) - 1 a, row_number() over (partition by lang order by doc_id) - 1 p from documents where n_chars <= 600)"""
+
 ORACLE_SQL = {
     "text_normalize": f"select doc_id, md5({norm('text')}) normal_md5 from documents",
     "text_tokens": f"select doc_id, len({toks('text')}) n, md5(array_to_string({toks('text')}, ' ')) tokens_md5 from documents",
     "text_index_tokens": f"select doc_id, md5(array_to_string({itoks('text')}, ' ')) tokens_md5 from documents",
-    "text_char_ngrams": f"""with s as (select item_id, replace({norm('text')}, ' ', '') s from benchmark),
-g as (select item_id, case when s = '' then [] else list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 3)) end g from s)
-select item_id, len(g) n, md5(array_to_string(g, '|')) grams_md5 from g""",
+    "text_char_ngrams": f"""with s as (select doc_id, replace({norm('text')}, ' ', '') s from documents),
+g as (select doc_id, case when s = '' then [] else list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 3)) end g from s)
+select doc_id, len(g) n, md5(array_to_string(g, '|')) grams_md5 from g""",
     "chunk_fixed": f"with {_fixed(300, 60)} select * from chunks",
     "chunk_ids": f"with {_fixed(400, 80)} select doc_id, position, doc_id || '#' || position || '-' || substr(md5(text), 1, 8) chunk_id from chunks",
-    "encode_hashing": f"""with s as (select item_id, {itoks('text')} t, replace({norm('text')}, ' ', '') s from benchmark),
-f as (select item_id, unnest(list_concat(t, case when s = '' then [] else list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 3)) end)) f from s),
-h as (select item_id, ('0x' || substr(md5(f), 25, 8))::bigint h from f),
-w as (select item_id, (h % 512)::int bucket, sum(case when (h >> 8) % 2 = 1 then 1 else -1 end) w from h group by 1, 2 having w <> 0)
-select item_id, bucket, round(w / sqrt(sum(w * w) over (partition by item_id)), 9) "value" from w""",
+    "encode_hashing": f"""with s as (select doc_id, {itoks('text')} t, replace({norm('text')}, ' ', '') s from documents),
+f as (select doc_id, unnest(list_concat(t, case when s = '' then [] else list_transform(generate_series(1, greatest(length(s) - 2, 1)), lambda i: substr(s, i, 3)) end)) f from s),
+h as (select doc_id, ('0x' || substr(md5(f), 25, 8))::bigint h from f),
+w as (select doc_id, (h % 512)::int bucket, sum(case when (h >> 8) % 2 = 1 then 1 else -1 end) w from h group by 1, 2 having w <> 0)
+select doc_id, bucket, round(w / sqrt(sum(w * w) over (partition by doc_id)), 9) "value" from w""",
     "dense_topk": _dense("list_inner_product(q, v)"),
     "dense_topk_filtered": _dense("list_inner_product(q, v)", "label in (0, 1, 2)"),
     "dense_topk_l2": _dense("1 / (1 + pow(list_distance(q, v), 2))"),
@@ -139,7 +145,32 @@ p as (select * from (select *, row_number() over (partition by query_id order by
 g as (select query_id, string_agg(sent, ' ' order by r) t, list(chunk_id order by r) ids from p group by 1)
 select query_id, coalesce(t, '{NO_EVIDENCE_EXTRACTIVE}') as text, case when ids is null then '' when len(ids) = 2 and ids[1] = ids[2] then ids[1]::varchar else array_to_string(ids, ',') end citations from questions left join g using (query_id)""",
     "generate_echo": f"{BM25}, {_PACK} select query_id, case when context is null then '{NO_EVIDENCE_STUFF}' else {_strip(f'''right('【参考资料】' || chr(10) || context || chr(10) || chr(10) || '【问题】' || chr(10) || question || chr(10) || chr(10) || '【回答】', 200)''')} end as text from questions left join pk using (query_id)",
-    "citations": "select conv_id, turn, case conv_id % 5 when 0 then 'c2,c1' when 1 then 'c2,c1' when 2 then 'c2,c1' when 3 then 'c2,c3,c1' else 'c2,c1' end cited from conversations",
+    "citations": """with s as (select conv_id, turn, '[' || turn % 4 || '] ' || coalesce(text, '') || ' [' || conv_id % 5 || '][' || length(text) || ']' said from conversations),
+m as (select conv_id, turn, list_transform(regexp_extract_all(said, '\\[(\\d{1,9})\\]', 1), lambda x: x::int) n from s)
+select conv_id, turn, array_to_string(list_transform(list_filter(n, lambda x, i: x between 1 and 80 and list_position(n, x) = i), lambda x: 'c' || x), ',') cited from m""",
+    "text_sentences": """with s as (select doc_id, regexp_extract_all(text, '[^。！？!?\n]+[。！？!?]?') s from documents) select doc_id, len(s) n, md5(array_to_string(s, '|')) sentences_md5 from s""",
+    "semi_anti_join": "select doc_id, lang, doc_id in (select doc_id from labels) labelled from documents",
+    "source_jsonl": "select doc_id::varchar doc_id, md5(text) text_md5, 't' || doc_id % 7 title, lang, n_chars::varchar n_chars from documents where text <> ''",
+    "source_jsonl_filtered": "select doc_id::varchar doc_id, 't3' title from documents where lang in ('fr', 'de') and doc_id % 7 = 3 and text <> ''",
+    "source_memory": "select item_id::varchar doc_id, text, item_id::varchar title, length(text)::varchar length from benchmark",
+    "dataset_jsonl_corpus": "select doc_id::varchar doc_id, md5(text) text_md5, 't' || doc_id % 7 title from documents",
+    "dataset_jsonl_samples": "select item_id::varchar sample_id, text as question, case when item_id % 2 = 0 then substr(text, 1, 9) || '|[2] b' else '[1] ' || substr(text, 1, 9) end answers, (item_id * 3)::varchar gold from benchmark",
+    "dataset_beir_corpus": f"select doc_id::varchar doc_id, md5({_strip("'t' || doc_id % 7 || chr(10) || text")}) text_md5, 't' || doc_id % 7 title from documents",
+    "dataset_beir_samples": _BEIR_SAMPLES + "select sample_id, question, gold from b",
+    "dataset_convert": _BEIR_SAMPLES + "select sample_id, question, 0 n_answers, gold from b",
+    "dataset_hotpot_corpus": f"with {_HOTPOT} select distinct d.title doc_id, d.title, substr(text, 1, 100) as text from d join (select unnest([t0, t1]) title from i) using (title)",
+    "dataset_hotpot_samples": f"with {_HOTPOT} select 'q' || item_id sample_id, text as question, 'a' || item_id answers, least(t0, t1) || case when t0 = t1 then '' else '|' || greatest(t0, t1) end gold, 'bridge' as type, 'easy' as level from i",
+    "dataset_squad_corpus": f"with {_SQUAD} select 'a' || a || '#' || p doc_id, 'in ' || lang title, md5(text) text_md5 from s",
+    "dataset_squad_samples": f"with {_SQUAD} select 'q' || doc_id sample_id, substr(text, 1, 50) question, case when doc_id % 3 = 0 then '' else substr(text, 1, 12) end answers, 'a' || a || '#' || p gold from s",
+    "kb_save_load": f"{BM25} select query_id, rank::int as rank, round(score, 6) score from bm",
+    "kb_upsert": "select count(*) documents, count(*) + count(*) filter (doc_id % 2 = 0) chunks, count(*) + count(*) filter (doc_id % 2 = 0) bm25_chunks, 16 dimension from documents where n_chars <= 600 and trim(text) <> ''",
+    "metric_rouge_l": f"""with recursive {_PAIRS},
+t as (select sample_id, {toks('pred')} p, {toks('answer')} g from s),
+l as (select sample_id, 0 i, list_transform(g, lambda x: 0) as row_, p, g from t union all
+  select sample_id, i + 1, list_transform(c, lambda x, j: list_max(c[1:j])), p, g from
+    (select *, list_transform(g, lambda x, j: case when x = p[i + 1] then coalesce(row_[j - 1], 0) + 1 else row_[j] end) c from l where i < len(p))),
+e as (select sample_id, len(p) np, len(g) ng, coalesce(row_[len(g)], 0) n from l where i = len(p))
+select sample_id, 'rouge_l' metric, case when n > 0 then round(2 * (n / np) * (n / ng) / (n / np + n / ng), 9) else 0 end as "value" from e""",
     "metric_exact_match": f"with {_PAIRS} select sample_id, 'exact_match' metric, ({norm('answer')} = {norm('pred')})::int::double as \"value\" from s",
     "metric_answer_contains": f"with {_PAIRS} select sample_id, 'answer_contains' metric, ({norm('answer')} <> '' and contains({norm('pred')}, {norm('answer')}))::int::double as \"value\" from s",
     "metric_token_f1": f"""with {_PAIRS},

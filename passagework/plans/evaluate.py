@@ -14,6 +14,10 @@ from passagework.plans.config import merge
 from passagework.plans.pipeline import Pipeline, rank_documents
 
 
+#: Messages a report quotes; all failures are counted.
+ERRORS_SHOWN = 20
+
+
 @dataclass
 class Report:
     dataset: str
@@ -23,16 +27,17 @@ class Report:
     config: dict
     n: int = 0
     errors: list[str] = field(default_factory=list)
+    failed: int = 0
 
     def to_markdown(self) -> str:
-        lines = [f"# {self.dataset}", "", f"{self.n} samples, {len(self.errors)} failed", "", "| metric | value |", "| --- | --- |"]
+        lines = [f"# {self.dataset}", "", f"{self.n} samples, {self.failed} failed", "", "| metric | value |", "| --- | --- |"]
         lines += [f"| {k} | {v:.4f} |" for k, v in sorted(self.summary.items())]
         return "\n".join([*lines, *(f"- {e}" for e in self.errors[:3])])
 
     def save(self, path: str) -> None:
         """The summary and configuration as JSON; cases, one row a sample, as a JSON folder beside it."""
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps({"dataset": self.dataset, "summary": self.summary, "config": self.config, "errors": self.errors, "samples": self.n}, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
+        Path(path).write_text(json.dumps({"dataset": self.dataset, "summary": self.summary, "config": self.config, "errors": self.errors, "failed": self.failed, "samples": self.n}, ensure_ascii=False, indent=1, default=str), encoding="utf-8")
         self.cases.write.mode("overwrite").json(path.removesuffix(".json") + "_cases")
 
 
@@ -47,29 +52,33 @@ def evaluate(pipeline: Pipeline, dataset, k: int = 5, generate: bool = True, jud
     samples = dataset.samples().select("sample_id", "question", "answers", "gold_doc_ids").persist()
     n = samples.count()
     queries = samples.select(F.col("sample_id").alias("query_id"), "question")
-    hits = pipeline.timed("retrieve", pipeline.contexts(queries, k))
+    candidates = pipeline.timed("retrieve", pipeline.candidates(queries, k))
+    hits = pipeline.timed("rerank", pipeline.reranked(queries, candidates, k))
     by_sample = hits.withColumnRenamed("query_id", "sample_id")
     parts = [metrics.retrieval_metrics(samples, by_sample, k), metrics.context_recall(samples, by_sample)]
-    answers, errors = None, []
+    answers, errors, failed = None, [], 0
     if generate:
         answers = pipeline.timed("generate", pipeline.generator(queries, hits).withColumnRenamed("query_id", "sample_id"))
         parts += [metrics.exact_match(samples, answers), metrics.answer_contains(samples, answers), metrics.token_f1(samples, answers), metrics.rouge_l(samples, answers), metrics.faithfulness(samples, by_sample, answers)]
         if "error" in answers.columns:
-            errors = [r[0] for r in answers.where("error is not null").select("error").limit(20).collect()]
+            wrong = answers.where("error is not null")
+            failed = wrong.count()
+            errors = [r[0] for r in wrong.orderBy("sample_id").select("error").limit(ERRORS_SHOWN).collect()]
         if judge is not None:
-            parts.append(metrics.llm_judge(samples, by_sample, answers, judge))
+            parts.append(pipeline.timed("judge", metrics.llm_judge(samples, by_sample, answers, judge)))
     scores = parts[0]
     for p in parts[1:]:
         scores = scores.unionByName(p)
+    pipeline.timings["total"] = sum(pipeline.timings[s] for s in ("retrieve", "rerank", "generate") if s in pipeline.timings)
     scores = pipeline.timed("score", scores)
     found = {r["metric"]: r["value"] for r in metrics.summary(scores).collect()}
-    found |= metrics.latency({s: pipeline.timings[s] for s in ("retrieve", "generate") if s in pipeline.timings}, n)
+    found |= metrics.latency({s: pipeline.timings[s] for s in ("retrieve", "rerank", "generate", "total") if s in pipeline.timings}, n)
     docs = rank_documents(hits).withColumnRenamed("query_id", "sample_id").withColumnRenamed("doc_ids", "retrieved_doc_ids")
     per = scores.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("scores"))
     cases = samples.join(docs, "sample_id", "left").join(per, "sample_id", "left")
     if answers is not None:
         cases = cases.join(answers.select("sample_id", F.col("text").alias("prediction"), "citations"), "sample_id", "left")
-    return Report(dataset.name, scores, cases, found, pipeline.config, n, errors)
+    return Report(dataset.name, scores, cases, found, pipeline.config, n, errors, failed)
 
 
 def _chunks(size: int, overlap: int) -> dict:
@@ -93,6 +102,27 @@ SUITES = {
 }
 
 
+def ablation_markdown(suite: str, rows: DataFrame, skipped: list[str]) -> str:
+    """A table of variants and metrics, each value with its difference from the baseline."""
+    held: dict[str, dict[str, str]] = {}
+    for r in rows.orderBy("metric").collect():  # a few rows for each variant
+        held.setdefault(r["variant"], {})[r["metric"].split("@")[0]] = f"{r['value']:.4f} ({r['delta']:+.4f})"
+    names = sorted({m for v in held.values() for m in v})
+    variants = [v for v in SUITES[suite] if v in held]
+    lines = [f"# {suite}", "", "| variant | " + " | ".join(names) + " |", "| --- " * (len(names) + 1) + "|"]
+    lines += ["| " + " | ".join([v, *(held[v].get(n, "") for n in names)]) + " |" for v in variants]
+    return "\n".join([*lines, *(f"- skipped: {s}" for s in skipped)]) + "\n"
+
+
+def save_ablation(path: str, suite: str, rows: DataFrame, skipped: list[str]) -> None:
+    """<suite>.json with all rows and <suite>.md in a folder on the driver."""
+    folder = Path(path)
+    folder.mkdir(parents=True, exist_ok=True)
+    table = [r.asDict() for r in rows.orderBy("variant", "metric").collect()]
+    (folder / f"{suite}.json").write_text(json.dumps({"suite": suite, "rows": table, "skipped": skipped}, ensure_ascii=False, indent=1), encoding="utf-8")
+    (folder / f"{suite}.md").write_text(ablation_markdown(suite, rows, skipped), encoding="utf-8")
+
+
 def ablate(spark, dataset, base: dict, suite: str, generate: bool = False) -> tuple[DataFrame, list[str]]:
     """((variant, metric, value, delta), skipped variants). Variants with the same chunker and encoder share one knowledge base."""
     shared: dict[str, object] = {}

@@ -7,8 +7,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.operators import encoding, generation, retrieval
+from passagework.operators import encoding, generation, metrics, retrieval
 from passagework.plans.registry import registry
+from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
 
 # --- components ------------------------------------------------------------
@@ -24,20 +25,32 @@ def _hashing(dimension: int = 512, use_ngrams: bool = True, ngram: int = 3) -> d
 
 @registry.register("encoder", "openai_compat")
 def _http_encoder(**kw) -> dict:
-    return {"type": "openai_compat", "dimension": kw.get("dimension", 1536), "object": encoding.HttpEncoder(**kw)}
+    return {"type": "openai_compat", "object": encoding.HttpEncoder(**kw)} | ({"dimension": kw["dimension"]} if "dimension" in kw else {})
 
 
 @registry.register("encoder", "sentence_transformers")
 def _local_encoder(**kw) -> dict:
+    registry.need("sentence_transformers", "encoder sentence_transformers")
     return {"type": "sentence_transformers", "object": encoding.SentenceEncoder(**kw)}
 
 
 @registry.register("encoder", "cached")
 def _cached(inner: dict, path: str | None = None) -> dict:
-    """Vectors of a knowledge base are kept with its chunks; see encoding.encode_cached for a cache of its own."""
-    return registry.build("encoder", inner) | {"cache": path}
-
-
+    """Another encoder whose vectors are kept: in the session, and as Parquet below path if one is given."""
+    return registry.build("encoder", inner) | {"cache": path or ""}
+
+
+for _kind, _source in (("memory", loaders.memory), ("jsonl", loaders.jsonl), ("directory", loaders.directory)):
+    registry.register("source", _kind, _source)
+for _kind, _dataset in datasets.DATASETS.items():
+    registry.register("dataset", _kind, _dataset)
+for _kind in metrics.RETRIEVAL:
+    registry.register("metric", _kind, lambda k=5, _k=_kind: lambda samples, hits, answers=None: metrics.retrieval_metrics(samples, hits, k, (_k,)))
+registry.register("metric", "context_recall", lambda: lambda samples, hits, answers=None: metrics.context_recall(samples, hits))
+for _kind in ("exact_match", "answer_contains", "token_f1", "rouge_l"):
+    registry.register("metric", _kind, lambda _m=getattr(metrics, _kind): lambda samples, hits, answers: _m(samples, answers))
+registry.register("metric", "faithfulness", lambda: lambda samples, hits, answers: metrics.faithfulness(samples, hits, answers))
+registry.register("metric", "llm_judge", lambda llm: lambda samples, hits, answers: metrics.llm_judge(samples, hits, answers, llm))
 registry.register("llm", "echo", generation.Echo)
 registry.register("llm", "openai_compat", generation.HttpChat)
 
@@ -62,14 +75,14 @@ def _encode_queries(queries: DataFrame, kb: KnowledgeBase) -> DataFrame:
     rows = queries.select("query_id", F.col("question").alias("text"))
     e = kb.encoder
     if e["type"] != "hashing":
-        return encoding.encode_with(rows, "query_id", e["object"], is_query=True)
+        return kb.encoded(rows, "query_id", is_query=True)
     return encoding.densify(encoding.hash_vectors(rows, "query_id", e["dimension"], e["use_ngrams"], e["ngram"]), "query_id", e["dimension"])
 
 
 @registry.register("retriever", "vector")
 def _vector(kb: KnowledgeBase, index: dict, where: dict | None = None):
     def run(queries: DataFrame, k: int) -> DataFrame:
-        vectors, q = kb.chunks.where(retrieval.matches(where)), _encode_queries(queries, kb)
+        vectors, q = kb.chunks.where(retrieval.matches(where, kb.chunks.columns)), _encode_queries(queries, kb)
         if index["search"] == "lsh":
             return retrieval.lsh_top_k(q, vectors, k, index["tables"], index["bits"], index["seed"])
         return retrieval.dense_top_k(q, vectors, k, index["space"])
@@ -80,7 +93,7 @@ def _vector(kb: KnowledgeBase, index: dict, where: dict | None = None):
 @registry.register("retriever", "bm25")
 def _bm25(kb: KnowledgeBase, where: dict | None = None, k1: float = 1.5, b: float = 0.75):
     def run(queries: DataFrame, k: int) -> DataFrame:
-        post = kb.postings if not where else kb.postings.join(kb.chunks.where(retrieval.matches(where)).select("chunk_id"), "chunk_id", "left_semi")
+        post = kb.postings if not where else kb.postings.join(kb.chunks.where(retrieval.matches(where, kb.chunks.columns)).select("chunk_id"), "chunk_id", "left_semi")
         return retrieval.bm25_top_k(queries, post, kb.term_stats, kb.corpus_stats, k, k1, b)
 
     return run
@@ -116,7 +129,12 @@ registry.register("query_transformer", "multi_query", lambda llm, n=3: lambda q:
 registry.register("query_transformer", "hyde", lambda llm, keep_original=True: lambda q: generation.transform_queries(q, "hyde", llm, keep_original=keep_original))
 registry.register("reranker", "identity", lambda: lambda q, h, k: retrieval.rerank_identity(h, k))
 registry.register("reranker", "lexical", lambda alpha=0.7, length_penalty=0.15: lambda q, h, k: retrieval.rerank_lexical(q, h, k, alpha, length_penalty))
-registry.register("reranker", "cross_encoder", lambda model_name, batch_size=16, device=None: lambda q, h, k: generation.rerank_cross_encoder(q, h, k, model_name, batch_size, device))
+@registry.register("reranker", "cross_encoder")
+def _cross_encoder(model_name: str, batch_size: int = 16, device: str | None = None):
+    registry.need("sentence_transformers", "reranker cross_encoder")
+    return lambda q, h, k: generation.rerank_cross_encoder(q, h, k, model_name, batch_size, device)
+
+
 registry.register("reranker", "api", lambda **kw: (lambda client: lambda q, h, k: generation.rerank_api(q, h, k, client))(generation.HttpReranker(**kw)))
 registry.register("reranker", "llm", lambda llm, max_chars=300: lambda q, h, k: generation.rerank_llm(q, h, k, llm, max_chars))
 registry.register("generator", "extractive", lambda max_sentences=2: lambda q, h: generation.extractive(q, h, max_sentences))
@@ -158,7 +176,12 @@ class Pipeline:
     def contexts(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """(query_id, rank, chunk_id, doc_id, title, text, score, source)."""
         k = top_k or self.config["pipeline"]["top_k"]
-        candidates = self.retriever(queries, max(self.config["pipeline"]["candidate_k"], k))
+        return self.reranked(queries, self.candidates(queries, k), k)
+
+    def candidates(self, queries: DataFrame, k: int) -> DataFrame:
+        return self.retriever(queries, max(self.config["pipeline"]["candidate_k"], k))
+
+    def reranked(self, queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         columns = ["chunk_id", "doc_id", "text", *(c for c in ("title",) if c in self.kb.chunks.columns)]
         hits = candidates.select("query_id", "rank", "chunk_id", "score", "source").join(self.kb.chunks.select(*columns), "chunk_id")
         ranked = self.reranker(queries, hits, k)
@@ -169,9 +192,13 @@ class Pipeline:
     retrieve_only = contexts
 
     def answer(self, queries: DataFrame, top_k: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(answers, contexts)."""
-        hits = self.contexts(queries, top_k)
-        return self.generator(queries, hits), hits
+        """(answers, contexts); contexts and answers are computed once, so that no model is asked twice."""
+        k = top_k or self.config["pipeline"]["top_k"]
+        candidates = self.timed("retrieve", self.candidates(queries, k))
+        hits = self.timed("rerank", self.reranked(queries, candidates, k))
+        answers = self.timed("generate", self.generator(queries, hits))
+        self.timings["total"] = sum(self.timings[s] for s in ("retrieve", "rerank", "generate"))
+        return answers, hits
 
     def timed(self, stage: str, df: DataFrame) -> DataFrame:
         """df computed now and kept; its seconds go to timings."""

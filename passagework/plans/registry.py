@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import inspect
 from collections.abc import Callable
 
@@ -22,6 +23,11 @@ class Registry:
     def options(self, namespace: str | None = None):
         return sorted(self._held) if namespace is None else sorted(self._held.get(namespace, {}))
 
+    def need(self, package: str, component: str) -> None:
+        """Fails where a component is built, not where it is registered, if its optional package is missing."""
+        if importlib.util.find_spec(package) is None:
+            raise ImportError(f"{component} needs the package {package}, which isn't installed; other components work without it")
+
     def build(self, namespace: str, spec: dict | str, **injected):
         """The component a spec names; injected values are passed on where the factory has such a parameter and the spec doesn't set it."""
         spec = {"type": spec} if isinstance(spec, str) else dict(spec)

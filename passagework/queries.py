@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators import chunking, encoding, generation, metrics, retrieval
+from passagework.sources import datasets, loaders
+from passagework.sources.knowledge_base import KnowledgeBase
 
 #: Questions are the benchmark items' texts; hits are whole documents.
 K = 5
@@ -33,7 +38,7 @@ def _index(spark, sf):
 
 
 def _bm25(spark, sf, k=K):
-    return retrieval.bm25_top_k(_questions(spark, sf), *_index(spark, sf), k=k)
+    return retrieval.bm25_search(_questions(spark, sf), _docs(spark, sf), k, "doc_id")
 
 
 def _vectors(spark, sf):
@@ -49,7 +54,8 @@ def text_normalize(spark, sf):
 
 
 def text_tokens(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(T.tokens(F.col("text")), " ")).alias("tokens_md5"))
+    found = _docs(spark, sf).select("doc_id", T.once(T.tokens(F.col("text"))).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
 
 
 def text_index_tokens(spark, sf):
@@ -57,8 +63,8 @@ def text_index_tokens(spark, sf):
 
 
 def text_char_ngrams(spark, sf):
-    grams = T.char_ngrams(F.col("text"))
-    return _t(spark, sf, "benchmark").select("item_id", F.size(grams).cast("long").alias("n"), F.md5(F.array_join(grams, "|")).alias("grams_md5"))
+    grams = F.col("grams")
+    return _docs(spark, sf).select("doc_id", T.once(T.char_ngrams(F.col("text"))).alias("grams")).select("doc_id", F.size(grams).cast("long").alias("n"), F.md5(F.array_join(grams, "|")).alias("grams_md5"))
 
 
 def chunk_fixed(spark, sf):
@@ -78,8 +84,7 @@ def chunk_markdown(spark, sf):
 
 
 def encode_hashing(spark, sf):
-    rows = _t(spark, sf, "benchmark").select("item_id", "text")
-    return encoding.hash_vectors(rows, "item_id", 512).select("item_id", "bucket", F.round("value", 9).alias("value"))
+    return encoding.hash_vectors(_docs(spark, sf), "doc_id", 512).select("doc_id", "bucket", F.round("value", 9).alias("value"))
 
 
 def dense_topk(spark, sf):
@@ -118,17 +123,17 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-def _second_channel(spark, sf, k):
+def _second_channel(held, k):
     """Documents by the number of distinct question terms they hold."""
-    terms = retrieval.query_terms(_questions(spark, sf))
-    post = retrieval.postings(_docs(spark, sf), "doc_id")
-    counts = post.join(retrieval.if_small(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
+    terms, post = held
+    counts = post.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.count("*").cast("double").alias("score"))
     return retrieval.top_k(counts, k, [F.desc("score"), F.asc("chunk_id")]).withColumn("source", F.lit("overlap"))
 
 
 def _hybrid(spark, sf, weights=None):
     k = retrieval.overfetch(K)
-    return retrieval.rrf([_bm25(spark, sf, k), _second_channel(spark, sf, k)], K, weights)
+    held = retrieval.query_postings(_questions(spark, sf), _docs(spark, sf), "doc_id")
+    return retrieval.rrf([retrieval.bm25_among(held, k), _second_channel(held, k)], K, weights)
 
 
 def hybrid_rrf(spark, sf):
@@ -142,7 +147,7 @@ def hybrid_rrf_weighted(spark, sf):
 def transformed_maxmerge(spark, sf):
     a = _bm25(spark, sf).withColumn("variant", F.lit(0))
     rewritten = _questions(spark, sf).withColumn("question", F.regexp_replace("question", REWRITTEN, ""))
-    b = retrieval.bm25_top_k(rewritten, *_index(spark, sf), k=K).withColumn("variant", F.lit(1))
+    b = retrieval.bm25_search(rewritten, _docs(spark, sf), K, "doc_id").withColumn("variant", F.lit(1))
     return retrieval.max_merge(a.unionByName(b), K).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -184,15 +189,15 @@ def generate_echo(spark, sf):
 
 
 def citations(spark, sf):
-    said = F.concat(F.lit("see [2] and ["), (F.col("conv_id") % 5).cast("string"), F.lit("] [1][2][9]"))
-    used = F.array(F.lit("c1"), F.lit("c2"), F.lit("c3"))
+    said = F.concat(F.lit("["), (F.col("turn") % 4).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")), F.lit(" ["), (F.col("conv_id") % 5).cast("string"), F.lit("]["), F.length("text").cast("string"), F.lit("]"))
+    used = F.array(*[F.lit(f"c{k}") for k in range(1, 81)])
     return _t(spark, sf, "conversations").select("conv_id", "turn", F.array_join(generation.citations(said, used), ",").alias("cited"))
 
 
 def _gold(spark, sf):
     """Documents that hold an item's text word for word are its gold documents."""
     items, docs = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")), _docs(spark, sf)
-    pairs = docs.join(retrieval.if_small(items), F.col("text").contains(F.col("item")))
+    pairs = retrieval.containing(docs, items)
     gold = pairs.groupBy("item_id").agg(F.sort_array(F.collect_list("doc_id")).alias("gold_doc_ids"))
     return items.join(gold, "item_id", "left").select(F.col("item_id").alias("sample_id"), F.col("item").alias("question"), F.array("item").alias("answers"), F.coalesce("gold_doc_ids", F.array().cast("array<bigint>")).alias("gold_doc_ids"))
 
@@ -211,10 +216,10 @@ def _retrieval_metric(name):
 def _pairs(spark, sf):
     """User turns as questions, the assistant's next turn as reference, the one after the next user turn as prediction."""
     c = _t(spark, sf, "conversations")
-    key = F.col("conv_id") * 1000 + F.col("turn")
-    q = c.where("role = 'user'").select(key.alias("sample_id"), F.col("text").alias("question"))
-    a = c.where("role = 'assistant'").select((key - 1).alias("sample_id"), F.array("text").alias("answers"))
-    p = c.where("role = 'assistant'").select((key - 3).alias("sample_id"), "text", F.array(F.lit("c1")).alias("citations"))
+    key = lambda before: F.concat_ws(":", "conv_id", F.col("turn") - before).alias("sample_id")
+    q = c.where("role = 'user'").select(key(0), F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select(key(1), F.array("text").alias("answers"))
+    p = c.where("role = 'assistant'").select(key(3), "text", F.array(F.lit("c1")).alias("citations"))
     samples = q.join(a, "sample_id").withColumn("gold_doc_ids", F.array().cast("array<bigint>"))
     answers = samples.select("sample_id").join(p, "sample_id", "left")
     hits = samples.select("sample_id", F.lit(1).alias("rank"), F.lit(0).alias("doc_id"), F.col("question").alias("text"))
@@ -270,7 +275,164 @@ def kb_stats(spark, sf):
     return chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
 
 
+def text_sentences(spark, sf):
+    found = T.sentences(F.col("text"))
+    return _docs(spark, sf).select("doc_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, "|")).alias("sentences_md5"))
+
+
+def semi_anti_join(spark, sf):
+    """Labelled and unlabelled documents, each with a whole-table join."""
+    docs, labels = _t(spark, sf, "documents").select("doc_id", "lang"), _t(spark, sf, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_semi").withColumn("labelled", F.lit(True)).unionByName(docs.join(labels, "doc_id", "left_anti").withColumn("labelled", F.lit(False)))
+
+
+# --- sources and sinks: the driver's tables, written in each format and read again -------
+
+
+def _folder(spark) -> str:
+    """A new folder beside the session's checkpoints, which all executors share; of this machine only where none is set."""
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = context.get() if context.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{root.rstrip('/')}/formats-{uuid.uuid4().hex}"
+
+
+def _lines(rows: DataFrame, path: str) -> str:
+    rows.write.text(path)
+    return path
+
+
+def _one_file(rows: DataFrame, path: str) -> str:
+    """A file of one JSON value, which only one task can write."""
+    rows.coalesce(1).write.text(path)
+    return path
+
+
+def _corpus_file(spark, sf, folder, id_name="id"):
+    docs = _t(spark, sf, "documents")
+    return _lines(docs.select(F.to_json(F.struct(F.col("doc_id").cast("string").alias(id_name), F.concat(F.lit("t"), F.col("doc_id") % 7).alias("title"), "text", "lang", "n_chars")).alias("value")), f"{folder}/corpus.jsonl")
+
+
+def _qa_file(spark, sf, folder):
+    """Answers are lists, or plain strings, some of which look like lists."""
+    items = _t(spark, sf, "benchmark")
+    head = [F.col("item_id").cast("string").alias("id"), F.col("text").alias("question")]
+    gold = F.array((F.col("item_id") * 3).cast("string")).alias("gold_doc_ids")
+    listed = items.where("item_id % 2 = 0").select(F.to_json(F.struct(*head, F.array(F.substring("text", 1, 9), F.lit("[2] b")).alias("answers"), gold)).alias("value"))
+    plain = items.where("item_id % 2 = 1").select(F.to_json(F.struct(*head, F.concat(F.lit("[1] "), F.substring("text", 1, 9)).alias("answers"), gold)).alias("value"))
+    return _lines(listed.unionByName(plain), f"{folder}/qa.jsonl")
+
+
+def source_jsonl(spark, sf):
+    docs = loaders.jsonl(spark, _corpus_file(spark, sf, _folder(spark)))
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), "title", F.try_element_at("metadata", F.lit("lang")).alias("lang"), F.try_element_at("metadata", F.lit("n_chars")).alias("n_chars"))
+
+
+def source_jsonl_filtered(spark, sf):
+    """Fields that a loaded corpus keeps as metadata can be asked for, numbers too."""
+    docs = loaders.jsonl(spark, _corpus_file(spark, sf, _folder(spark)))
+    return docs.where(retrieval.matches({"lang": ["fr", "de"], "title": "t3"}, docs.columns)).select("doc_id", "title")
+
+
+def source_memory(spark, sf):
+    rows = [(r["item_id"], r["text"], {"length": len(r["text"])}) for r in _t(spark, sf, "benchmark").collect()]
+    return loaders.memory(spark, rows).select("doc_id", "text", "title", F.col("metadata")["length"].alias("length"))
+
+
+def dataset_jsonl_corpus(spark, sf):
+    folder = _folder(spark)
+    data = datasets.JsonlDataset(spark, f"{folder}/qa.jsonl", _corpus_file(spark, sf, folder))
+    return data.corpus().select("doc_id", F.md5("text").alias("text_md5"), "title")
+
+
+def dataset_jsonl_samples(spark, sf):
+    data = datasets.JsonlDataset(spark, _qa_file(spark, sf, _folder(spark)))
+    return data.samples().select("sample_id", "question", F.array_join("answers", "|").alias("answers"), F.array_join("gold_doc_ids", "|").alias("gold"))
+
+
+def _beir(spark, sf):
+    folder = _folder(spark)
+    _corpus_file(spark, sf, folder, "_id")
+    items = _t(spark, sf, "benchmark")
+    _lines(items.select(F.to_json(F.struct(F.col("item_id").cast("string").alias("_id"), "text")).alias("value")), f"{folder}/queries.jsonl")
+    judged = _t(spark, sf, "labels").join(items.select("item_id"), F.col("doc_id") % 40 == F.col("item_id"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "doc_id", "quality"))), lambda x: F.concat_ws("\t", x["item_id"], x["doc_id"], x["quality"]))
+    _one_file(judged.agg(F.array_join(F.concat(F.array(F.lit("query-id\tcorpus-id\tscore")), listed), "\n").alias("value")), f"{folder}/qrels/test.tsv")
+    return datasets.BeirDataset(spark, folder)
+
+
+def dataset_beir_corpus(spark, sf):
+    return _beir(spark, sf).corpus().select("doc_id", F.md5("text").alias("text_md5"), "title")
+
+
+def dataset_beir_samples(spark, sf):
+    return _beir(spark, sf).samples().select("sample_id", "question", F.array_join(F.array_sort("gold_doc_ids"), "|").alias("gold"))
+
+
+def _hotpot(spark, sf):
+    """Each item with the two documents of its number, as a title and sentences; documents come with several items."""
+    docs = _docs(spark, sf).select((F.col("doc_id") % 60).alias("at"), F.concat(F.lit("d"), "doc_id").alias("title"), F.to_json(F.array(F.substring("text", 1, 40), F.substring("text", 41, 60))).alias("said")).where("title in (select concat('d', n) from (select explode(sequence(0, 59)) n))")
+    part = lambda k: docs.select(F.col("at").alias(f"at{k}"), F.concat(F.lit('["'), "title", F.lit('", '), "said", F.lit("]")).alias(f"p{k}"), F.col("title").alias(f"t{k}"))
+    items = _t(spark, sf, "benchmark").join(part(0), F.col("item_id") % 60 == F.col("at0")).join(part(1), F.col("item_id") % 30 + 30 == F.col("at1"))
+    value = F.concat(F.lit('{"_id": "q'), "item_id", F.lit('", "question": '), F.get_json_object(F.to_json(F.struct(F.array("text").alias("x"))), "$.x[*]"), F.lit(', "answer": "a'), "item_id", F.lit('", "type": "bridge", "level": "easy", "context": ['), "p0", F.lit(", "), "p1", F.lit('], "supporting_facts": [["'), "t1", F.lit('", 0], ["'), "t0", F.lit('", 1]]}'))
+    rows = items.select("item_id", value.alias("v")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda x: x["v"]), ","), F.lit("]")).alias("value"))
+    return datasets.HotpotDataset(spark, _one_file(rows, f"{_folder(spark)}/hotpot.json"))
+
+
+def dataset_hotpot_corpus(spark, sf):
+    return _hotpot(spark, sf).corpus().select("doc_id", "title", "text")
+
+
+def dataset_hotpot_samples(spark, sf):
+    return _hotpot(spark, sf).samples().select("sample_id", "question", F.array_join("answers", "|").alias("answers"), F.array_join("gold_doc_ids", "|").alias("gold"), "type", "level")
+
+
+def _squad(spark, sf):
+    """An article for each language, whose paragraphs are its documents of up to 600 characters; each has a question, every third without an answer."""
+    docs = _t(spark, sf, "documents").where("n_chars <= 600")
+    answers = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<struct<text:string>>")).otherwise(F.array(F.struct(F.substring("text", 1, 12).alias("text"))))
+    asked = F.array(F.struct(F.concat(F.lit("q"), "doc_id").alias("id"), F.substring("text", 1, 50).alias("question"), answers.alias("answers")))
+    paragraphs = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.struct(F.col("text").alias("context"), asked.alias("qas")).alias("p")))).alias("ps"))
+    articles = paragraphs.agg(F.array_sort(F.collect_list(F.struct("lang", F.struct(F.concat(F.lit("in "), "lang").alias("title"), F.transform("ps", lambda x: x["p"]).alias("paragraphs")).alias("a")))).alias("all"))
+    whole = articles.select(F.to_json(F.struct(F.transform("all", lambda x: x["a"]).alias("data"))).alias("value"))
+    return datasets.SquadDataset(spark, _one_file(whole, f"{_folder(spark)}/squad.json"))
+
+
+def dataset_squad_corpus(spark, sf):
+    return _squad(spark, sf).corpus().select("doc_id", "title", F.md5("text").alias("text_md5"))
+
+
+def dataset_squad_samples(spark, sf):
+    return _squad(spark, sf).samples().select("sample_id", "question", F.array_join("answers", "|").alias("answers"), F.array_join("gold_doc_ids", "|").alias("gold"))
+
+
+def dataset_convert(spark, sf):
+    """A converted dataset, read in its new format."""
+    out = f"{_folder(spark)}/converted"
+    datasets.convert(_beir(spark, sf), out)
+    data = datasets.JsonlDataset(spark, f"{out}/qa.jsonl", f"{out}/corpus.jsonl")
+    return data.samples().select("sample_id", "question", F.size("answers").alias("n_answers"), F.array_join(F.array_sort("gold_doc_ids"), "|").alias("gold"))
+
+
+def kb_save_load(spark, sf):
+    """BM25 search in a knowledge base that was saved and loaded; its chunks are whole documents."""
+    path = f"{_folder(spark)}/kb"
+    kb = KnowledgeBase(spark, {"kind": "fixed", "size": 1 << 20, "overlap": 0}, {"dimension": 16, "use_ngrams": False})
+    kb.add(_docs(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))).save(path)
+    kb = KnowledgeBase.load(spark, path)
+    hits = retrieval.bm25_top_k(_questions(spark, sf), kb.postings, kb.term_stats, kb.corpus_stats, K)
+    # ties are in the order of chunk ids, strings here, so only ranks and scores are returned
+    return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+def kb_upsert(spark, sf):
+    """Documents added twice, the second time with other texts for some: counts of the knowledge base."""
+    docs = _t(spark, sf, "documents").where("n_chars <= 600").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    kb = KnowledgeBase(spark, {"kind": "fixed", "size": 1 << 20, "overlap": 0}, {"dimension": 16, "use_ngrams": False})
+    kb.add(docs).add(docs.withColumn("text", F.when(F.col("doc_id").cast("long") % 2 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))))
+    return kb.stats()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
+    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
 } | {f"metric_{n}": _retrieval_metric(n) for n in metrics.RETRIEVAL}

@@ -12,10 +12,12 @@ def _first(rows: DataFrame, limit: int | None, order: str = "ord") -> DataFrame:
     return rows.orderBy(order).limit(limit) if limit else rows
 
 
-def _strings(value: Column) -> Column:
-    """A JSON list, or a scalar, as a list of strings."""
-    listed = F.from_json(value, "array<string>")
-    return F.when(value.isNull(), F.array().cast("array<string>")).when(value.startswith("["), listed).otherwise(F.array(value))
+def _strings(line: Column, field: str) -> Column:
+    """A field that is a JSON list, or a scalar, as a list of strings; its JSON type decides, not how a string begins."""
+    m = F.from_json(line, "map<string,string>")
+    value, parsed = F.try_element_at(m, F.lit(field)), F.try_parse_json(line)
+    kind = F.schema_of_variant(F.try_variant_get(parsed, "$['" + field.replace("'", "") + "']", "variant"))
+    return F.when(value.isNull(), F.array().cast("array<string>")).when(kind.startswith("ARRAY"), F.from_json(value, "array<string>")).otherwise(F.array(value))
 
 
 class JsonlDataset:
@@ -37,7 +39,7 @@ class JsonlDataset:
     def samples(self) -> DataFrame:
         question, answer, gold, id_ = self.fields
         get = lambda name: F.try_element_at("m", F.lit(name))
-        rows = self._maps(self.qa_path).select(F.coalesce(get(id_), F.col("doc_ord").cast("string")).alias("sample_id"), get(question).alias("question"), _strings(get(answer)).alias("answers"), _strings(get(gold)).alias("gold_doc_ids"), F.map_filter("m", lambda k, v: ~k.isin(question, answer)).alias("metadata"), F.col("doc_ord").alias("ord"))
+        rows = self._maps(self.qa_path).select(F.coalesce(get(id_), F.col("doc_ord").cast("string")).alias("sample_id"), get(question).alias("question"), _strings(F.col("value"), answer).alias("answers"), _strings(F.col("value"), gold).alias("gold_doc_ids"), F.map_filter("m", lambda k, v: ~k.isin(question, answer)).alias("metadata"), F.col("doc_ord").alias("ord"))
         return _first(rows, self.limit)
 
 
@@ -50,15 +52,15 @@ class HotpotDataset:
         self.spark, self.path, self.limit, self.name = spark, path, limit, "hotpotqa"
 
     def _items(self) -> DataFrame:
-        whole = self.spark.read.text(self.path, wholetext=True).select(F.from_json("value", f"array<struct<{self.SCHEMA.replace(' string', ':string')}>>").alias("items"))
-        items = whole.select(F.posexplode("items").alias("ord", "i")).select("ord", "i.*")
-        return items.where(F.col("ord") < self.limit) if self.limit else items
+        # the reader streams the array's elements as rows; an array file is one task, which is the format's limit
+        items = self.spark.read.schema(self.SCHEMA).option("multiLine", "true").json(self.path).withColumn("ord", F.monotonically_increasing_id())
+        return _first(items, self.limit)
 
     def corpus(self) -> DataFrame:
         pairs = self._items().select("ord", F.posexplode(F.from_json("context", "array<array<string>>")).alias("pos", "p"))
         rows = pairs.select(F.element_at("p", 1).alias("title"), F.array_join(F.from_json(F.element_at("p", 2), "array<string>"), "").alias("text"), "ord", "pos")
         first = rows.groupBy("title").agg(F.min(F.struct("ord", "pos", "text")).alias("f"))
-        return first.select(F.col("title").alias("doc_id"), F.col("f.text").alias("text"), "title", (F.col("f.ord").cast("long") * 100000 + F.col("f.pos")).alias("doc_ord"))
+        return first.select(F.col("title").alias("doc_id"), F.col("f.text").alias("text"), "title", (F.shiftleft(F.col("f.ord").cast("long"), 24) + F.col("f.pos")).alias("doc_ord"))
 
     def samples(self) -> DataFrame:
         gold = F.array_sort(F.array_distinct(F.transform(F.from_json("supporting_facts", "array<array<string>>"), lambda x: x[0])))
@@ -83,7 +85,7 @@ class SquadDataset:
         return named.select("a_idx", "p_idx", "doc_id", "title", "p")
 
     def corpus(self) -> DataFrame:
-        return self._paragraphs().select("doc_id", F.col("p.context").alias("text"), "title", (F.col("a_idx").cast("long") * 100000 + F.col("p_idx")).alias("doc_ord"))
+        return self._paragraphs().select("doc_id", F.col("p.context").alias("text"), "title", (F.shiftleft(F.col("a_idx").cast("long"), 32) + F.col("p_idx")).alias("doc_ord"))
 
     def samples(self) -> DataFrame:
         qas = self._paragraphs().select("a_idx", "p_idx", "doc_id", F.posexplode("p.qas").alias("q_idx", "q"))
@@ -121,8 +123,39 @@ def convert(dataset, out: str) -> None:
     dataset.samples().select(F.col("sample_id").alias("id"), "question", "answers", "gold_doc_ids").write.mode("overwrite").json(f"{out}/qa.jsonl")
 
 
+def _listed(spark: SparkSession, path: str):
+    """(name, is a folder) of what lies in a folder, by the session's file systems; none for a file."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at))
+
+
+def scan(spark: SparkSession, root: str, depth: int = 3) -> dict[str, dict[str, object]]:
+    """Every dataset below a folder, by its path: files that probe() knows, and folders of the three-part form."""
+    names = dict(_listed(spark, root))
+    if {"corpus.jsonl", "queries.jsonl", "qrels"} <= set(names):
+        return {root: probe(spark, root)}
+    found = {}
+    for name, folder in names.items():
+        path = f"{root.rstrip('/')}/{name}"
+        if name.endswith((".json", ".jsonl")):
+            found[path] = probe(spark, path)
+        elif folder and depth > 1:
+            found |= scan(spark, path, depth - 1)
+    return found
+
+
 def probe(spark: SparkSession, path: str) -> dict[str, object]:
-    """What a file holds, by its first character and keys: the kind of dataset, its fields, and a count."""
+    """What a file holds, by its first character and keys: the kind of dataset, its fields, and a count; a folder of the three-part form has its splits."""
+    names = dict(_listed(spark, path))
+    if {"corpus.jsonl", "queries.jsonl", "qrels"} <= set(names):
+        splits = [n.removesuffix(".tsv") for n, _ in _listed(spark, f"{path.rstrip('/')}/qrels") if n.endswith(".tsv")]
+        corpus = spark.read.option("lineSep", "\n").json(f"{path.rstrip('/')}/corpus.jsonl")
+        judged = {s: max(0, spark.read.text(f"{path.rstrip('/')}/qrels/{s}.tsv").count() - 1) for s in splits}  # without the header
+        return {"kind": "beir_style", "rows": corpus.count(), "fields": corpus.columns, "splits": judged}
     head = spark.read.option("lineSep", "\n").text(path).limit(1).first()
     line = (head[0] if head else "").lstrip()
     if line.startswith("["):

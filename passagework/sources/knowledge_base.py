@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from passagework.operators import chunking, encoding, retrieval
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats")
-#: Buckets of the postings table, by term, when it is saved as a table of the session's catalog.
-TERM_BUCKETS = 64
 
 
 def config_hash(config: dict) -> str:
@@ -33,18 +31,40 @@ def persist_dir(config: dict) -> str:
 
 
 class KnowledgeBase:
-    """add() makes the tables from documents; adding again keeps one row for each chunk id, the last one."""
+    """add() makes the tables from documents. Chunks that come again are taken from the later add; of equal ids within one add any row stays, as they have one text."""
 
     def __init__(self, spark: SparkSession, chunker: dict | None = None, encoder: dict | None = None):
         self.spark = spark
         self.chunker = {"kind": "recursive", "size": 400, "overlap": 80, **(chunker or {})}
         self.encoder = {"type": "hashing", "dimension": 512, "use_ngrams": True, "ngram": 3, **(encoder or {})}
         self.chunks: DataFrame | None = None
+        self._cache: DataFrame | None = None
+        #: What vectors must have as their length, if the encoder's configuration says it.
+        self.width = (encoder or {}).get("dimension")
+
+    def encoded(self, rows: DataFrame, key: str, is_query: bool = False) -> DataFrame:
+        """(key, vector) by the encoder's object, through its cache if it has one; vectors of another length than configured, NaN or infinity fail."""
+        e = self.encoder
+        if "cache" not in e:
+            made = encoding.encode_with(rows, key, e["object"], is_query)
+        else:
+            if self._cache is None and e["cache"]:
+                self._cache = encoding.load_cache(self.spark, e["cache"])
+            name = config_hash({k: v for k, v in e.items() if k not in ("object", "cache")})
+            fresh = encoding.missing_vectors(rows, e["object"], self._cache, name, is_query)
+            if e["cache"]:
+                fresh.write.mode("append").parquet(e["cache"])
+                self._cache = encoding.load_cache(self.spark, e["cache"])
+            else:
+                fresh = retrieval.kept_table(fresh)
+                self._cache = fresh if self._cache is None else self._cache.unionByName(fresh)
+            made = encoding.from_cache(rows, key, self._cache, name, is_query)
+        return retrieval.check_vectors(made.withColumnRenamed(key, "chunk_id"), self.width).withColumnRenamed("chunk_id", key)
 
     def _encoded(self, chunks: DataFrame) -> DataFrame:
         e = self.encoder
         if e["type"] != "hashing":
-            return chunks.join(encoding.encode_with(chunks, "chunk_id", e["object"]), "chunk_id", "left")
+            return chunks.join(self.encoded(chunks, "chunk_id"), "chunk_id", "left")
         sparse = encoding.hash_vectors(chunks, "chunk_id", e["dimension"], e["use_ngrams"], e["ngram"])
         zero = F.array_repeat(F.lit(0.0).cast("float"), e["dimension"])
         return chunks.join(encoding.densify(sparse, "chunk_id", e["dimension"]), "chunk_id", "left").withColumn("vector", F.coalesce("vector", zero))
@@ -79,7 +99,7 @@ class KnowledgeBase:
         self.postings = self.spark.read.parquet(f"{path}/postings")
         retrieval.term_stats(self.postings).write.mode("overwrite").parquet(f"{path}/term_stats")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k != "object"}}
+        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}}
         manifest["hash"] = config_hash(manifest)
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
