@@ -8,6 +8,7 @@ number follows the input's size, so a bucket's size stays the same at any size.
 from __future__ import annotations
 
 import contextlib
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -67,10 +68,13 @@ def unpack(blobs: list[bytes], dtypes: list[str]) -> list[np.ndarray]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one of our own where none is set (tests on one machine)."""
+    """The session's checkpoint folder; one of our own only where none is set and everything runs on this machine, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ _ASSIGNED = re.compile(r"(?i)(?:token|secret|key|passw|pwd|auth)[a-z_]{0,20}[\"'
 _LONG = re.compile(r"[A-Za-z0-9_+/=-]{20,}")
 #: Rounds end when no message changes by more than TOLERANCE; after each PATIENCE rounds the part of a new message halves, so that cycles settle.
 TOLERANCE, DAMPING, PATIENCE = 1e-6, 0.5, 200
+#: Edges whose messages are computed at a time, and bytes of text whose fields are; a longer text is alone.
+EDGES, BYTES = 1 << 16, 1 << 20
 #: Log weight of an observed label.
 OBSERVED = 1e4
 
@@ -218,17 +221,21 @@ class Field:
         edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
         belief = unary
         if len(edges):
-            pair = np.stack([self.chain] * len(chain) + [self.skip] * len(skip))
+            pair = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])
             source, to = np.r_[edges[:, 0], edges[:, 1]], np.r_[edges[:, 1], edges[:, 0]]
-            pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
+            kind = np.r_[np.zeros(len(chain), np.int8), np.ones(len(skip), np.int8)]
+            kind = np.r_[kind, kind + 2]
             n, back = len(edges), np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
             sent, rounds, old = np.zeros((2 * n, len(LABELS))), 0, DAMPING
             while True:
                 belief = unary.copy()
                 np.add.at(belief, to, sent)
-                out = (belief[source] - sent[back])[:, :, None] + pair
-                top = out.max(1, keepdims=True)
-                new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
+                new = np.empty_like(sent)
+                for a in range(0, 2 * n, EDGES):  # a matrix for each edge, so not all at once
+                    part = slice(a, a + EDGES)
+                    out = (belief[source[part]] - sent[back[part]])[:, :, None] + pair[kind[part]]
+                    top = out.max(1, keepdims=True)
+                    new[part] = np.log(np.exp(out - top).sum(1)) + top[:, 0]
                 new -= new.max(1, keepdims=True)
                 far = np.abs(new - sent).max()
                 sent = old * sent + (1 - old) * new
@@ -294,13 +301,18 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KI
 def _find(field):
     def run(batches):
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                texts = [t or "" for t in batch.column(1).slice(first, 256).to_pylist()]
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < len(batch):
+                # rows of about BYTES of text, one at least
+                stop = max(first + 1, min(first + 256, int(np.searchsorted(size, (size[first - 1] if first else 0) + BYTES, "right"))))
+                texts = [t or "" for t in batch.column(1).slice(first, stop - first).to_pylist()]
                 results = spans(texts, field.value)
                 cols = [[sum(s[0] == k for s in base) for base, _ in results] for k in KINDS[:4]]
                 told = [hashlib.sha256(_joined(base).encode()).hexdigest() for base, _ in results]
                 secret = [sum(s[0] == "secret" for s in all_) for _, all_ in results]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *(pa.array(c, pa.int64()) for c in cols), pa.array(told, pa.string()), pa.array([_joined(a) for _, a in results], pa.string()), pa.array(secret, pa.int64()), pa.array([len(a) - len(b) for b, a in results], pa.int64())], schema=SCHEMA)
+                first = stop
 
     return run
 

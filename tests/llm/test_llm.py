@@ -105,6 +105,37 @@ def test_similar_groups(docs, none, monkeypatch):
     assert ngram_join.similar_groups(none).count() == 0
 
 
+def near_copies(seed=5):
+    """Groups of near copies with changes of their own and shared ones, some linked only through others, with a passage that many hold."""
+    r = random.Random(seed)
+    vocab = [f"w{k}" for k in range(400)]
+    passage = [r.choice(vocab) for _ in range(9)]
+    texts = []
+    for size, changes, few in ((90, 7, 3), (60, 5, 400), (40, 9, 2)):
+        base = [r.choice(vocab) for _ in range(r.randint(50, 90))]
+        for k in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, changes)):
+                w[r.randrange(len(w))] = vocab[r.randrange(few)]
+            if k % 6 == 0:
+                at = r.randrange(len(w))
+                w[at:at] = passage[: r.randint(5, 9)]
+            texts.append(" ".join(w))
+    texts += [" ".join([r.choice(vocab) for _ in range(r.randint(5, 30))] + passage) for _ in range(60)]
+    r.shuffle(texts)
+    return [(k, t, "en", "s") for k, t in enumerate(texts)]
+
+
+def test_similar_groups_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)  # most lists are walked as pairs of blocks
+    rows = near_copies()
+    want = groups(rows)
+    assert len({c for _, _, c in want}) > 60
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == want
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 105), (105, 103), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -132,9 +163,70 @@ def test_remove_repeats(docs, none, length):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_parse_follows_its_source():
-    s = np.array([1, 2, 3, 9, 1, 2, 3, 4, 4], np.uint64)
-    assert substring_dedup.parse(s).tolist() == [4, 5, 6, -1, 0, 1, 2, 8, 7]
+def plain_longest(symbols, ends):
+    """For each position the longest run from it that begins elsewhere too."""
+    out = []
+    for i in range(len(symbols)):
+        best = 0
+        for j in range(len(symbols)):
+            k = 0
+            while i != j and i + k < ends[i] and j + k < ends[j] and symbols[i + k] == symbols[j + k]:
+                k += 1
+            best = max(best, k)
+        out.append(best)
+    return out
+
+
+def test_longest_matches_and_greedy_factors():
+    r = np.random.default_rng(3)
+    for letters, m in ((2, 60), (3, 90), (30, 120), (1, 33), (4, 1), (4, 0)):
+        for _ in range(6):
+            symbols = r.integers(0, letters, m).astype(np.uint64)
+            cuts = np.unique(np.r_[r.integers(1, max(m, 2), 5), m])
+            cuts = cuts[(cuts > 0) & (cuts <= m)]
+            ends = np.repeat(cuts, np.diff(np.r_[0, cuts])) if m else np.zeros(0, np.int64)
+            length, source = substring_dedup.longest_matches(symbols, ends)
+            assert length.tolist() == plain_longest(symbols, ends)
+            for i in np.flatnonzero(length):
+                j, n = source[i], length[i]
+                assert j != i and (symbols[i : i + n] == symbols[j : j + n]).all() and j + n <= ends[j]
+            begin, _, count = substring_dedup.parse(symbols, ends)
+            want, i = [], 0  # the greedy parsing position by position
+            while i < m:
+                if length[i]:
+                    want.append((i, length[i]))
+                i += max(1, length[i])
+            assert sorted(zip(begin.tolist(), count.tolist())) == want
+
+
+def test_factor_boundaries():
+    # 1 2 | 3 4 of the second fragment are two factors; the window at the boundary between them is looked up again
+    symbols = np.array([1, 2, 9, 3, 4, 8, 1, 2, 3, 4], np.uint64)
+    ends = np.array([6] * 6 + [10] * 4)
+    begin, source, count = substring_dedup.parse(symbols, ends)
+    assert sorted(zip(begin.tolist(), source.tolist(), count.tolist())) == [(0, 6, 2), (3, 8, 2), (6, 0, 2), (8, 3, 2)]
+    text = [f"w{k}" for k in range(120)]
+    rows = [" ".join(text[:60]), " ".join(text[60:]), " ".join(text[20:100]), " ".join(text[30:64])]
+    # windows over the seam of the first two texts exist only in the third; those of 34 words in none
+    got = substring_dedup._Fragments(next(slabs(pa.array(rows), BLANK)), 35)
+    whole = [tuple(r.split()[i : i + 35]) for r in rows for i in range(len(r.split()) - 34)]
+    hit, _ = substring_dedup.duplicates(got, substring_dedup.plain(next(slabs(pa.array(rows), BLANK)), 4), 35)
+    assert hit.tolist() == [whole.count(w) > 1 for w in whole]
+
+
+def test_remove_repeats_in_a_tree_and_with_colliding_hashes(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SLAB_BYTES", 1500)
+    monkeypatch.setattr(substring_dedup, "FAN", 4)
+    got = substring_dedup.remove_repeats(docs, length=12)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == removed(corpus(), 12)
+    # hashes that collide don't make windows equal, words are compared
+    rows = ["a b c d e f", "x y z a b c", "q r s t u v", "a b c"]
+    slab = next(slabs(pa.array(rows), BLANK))
+    f = substring_dedup._Fragments(slab, 3)
+    whole = [tuple(r.split()[i : i + 3]) for r in rows for i in range(len(r.split()) - 2)]
+    f.hash = np.arange(len(f.hash)).astype(np.uint64) % np.uint64(3)
+    hit, odd = substring_dedup.duplicates(f, substring_dedup.plain(slab, 4), 3)
+    assert hit.tolist() == [whole.count(w) > 1 for w in whole] and odd.all()
 
 
 def contaminated(rows, items, width=10):
@@ -248,6 +340,12 @@ def test_mixed_boilerplate_goes(spark):
     assert out == {k: f"its own {k}" for k in range(3)} | {3: "", 4: "footer\nmenu", 5: "footer\nmenu", 6: "", 7: "", 8: ""}
 
 
+def test_many_boilerplate_lines_are_salted(spark, docs, monkeypatch):
+    sent = rows_of(line_dedup.clean_lines(docs, 2), "doc_id", "text", "n_removed")
+    monkeypatch.setattr(line_dedup, "MOST_SENT", 0)
+    assert rows_of(line_dedup.clean_lines(docs, 2), "doc_id", "text", "n_removed") == sent
+
+
 def test_near_lines_are_exact(spark):
     """Sketches alone can't tell 99 from 100 sites."""
     rows = [(k, f"{'a' if k < 99 else 'x'}\n{k}", f"s{k}") for k in range(120)] + [(200 + k, "b", f"s{k}") for k in range(100)]
@@ -277,6 +375,14 @@ def test_chat_format(spark):
     same_as_sql(chat_format.format_chats(log), chat_format.oracle_sql(), conversations=arrow(CHATS, fields))
     kept = {r["conv_id"] for r in chat_format.format_chats(log).collect()}
     assert {2, 4, 10} <= kept and not {1, 3, 9, 11} & kept
+    # numbers only give the order: a copy that counts from 1, or by tens, is the same conversation
+    shifted = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 1, "user", "a"), (2, 2, "assistant", "b"), (3, 0, "user", "a"), (3, 5000, "assistant", "b"), (3, 90000, "user", "c <|im_end|> <\\\\|im_start|> <x>"), (4, None, "user", "a"), (4, 7, "assistant", "z")]
+    made = chat_format.format_chats(spark.createDataFrame(shifted, "conv_id long, turn long, role string, text string"))
+    same_as_sql(made, chat_format.oracle_sql(), conversations=arrow(shifted, fields))
+    got = {r["conv_id"]: r for r in made.withColumn("back", chat_format.unescape(F.col("text"))).collect()}
+    assert set(got) == {3, 4} and got[3]["n_turns"] == 3
+    # the three turns' own marks are the only ones in the rendered text, and the escaped text comes back
+    assert got[3]["text"].count("<|im_end|>") == 3 and shifted[6][3] in got[3]["back"]
     assert chat_format.format_chats(log.limit(0)).count() == 0
 
 
@@ -472,5 +578,49 @@ def test_pipeline_drops_only_judged_rows(spark, tmp_path):
     assert rows_of(corpus_pipeline.benchmark(spark, docs, str(tmp_path)), "doc_id", "text") == Counter([(None, b), (4, c), (4, c), (None, None)])
 
 
+def test_pipeline_stages_take_odd_rows(spark, docs, none, tmp_path):
+    """Nulls in any column, repeated rows, clashing names and no rows at all, in each stage."""
+    long = " ".join(f"the w{k} of and" for k in range(3000))
+    odd = docs.withColumn("n_chars", F.length("text").cast("long"))
+    odd = odd.unionByName(spark.createDataFrame([(900, long, None, None, None), (900, long, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
+    spark.createDataFrame([(1, "w3 of and the w4 of and the w5 of and"), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        if name == "quality rules":
+            want = quality_rules.judge(odd.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")).where("kept").select("doc_id")
+            assert rows_of(out.select(F.xxhash64("doc_id", "text").alias("k")), "k") == rows_of(want, "doc_id")
+        if name == "line dedup":
+            assert out.count() == odd.count() and out.where("text is null").count() == odd.where("text is null").count()
+        if name == "benchmark decontamination":
+            assert out.where("doc_id = 900").count() == 0 and out.where("text is null").count() == odd.where("text is null").count()
+        assert set(corpus_pipeline.COLUMNS) <= set(out.columns) and "_key" not in out.columns
+        empty = stage(spark, none.withColumn("n_chars", F.lit(None).cast("long")), str(tmp_path))
+        assert empty.count() == 0
+
+
+def test_field_in_blocks(monkeypatch):
+    """Messages computed a few edges at a time are the same."""
+    field = pii.Field.train()
+    texts = [t for t, _ in pii.examples(40, 9)]
+    whole = pii.spans(texts, field)
+    monkeypatch.setattr(pii, "EDGES", 3)
+    assert pii.spans(texts, field) == whole
+
+
+def test_field_is_exact_on_trees():
+    """Marginals of a small tree of chain and skip edges against the sum over all labellings."""
+    r, m = np.random.default_rng(4), len(pii.LABELS)
+    field = pii.Field(r.normal(size=(15, m)), r.normal(size=(m, m)), (lambda k: k + k.T)(r.normal(size=(m, m))))
+    x = r.normal(size=(5, 15))
+    x[:, 1:5] = 0
+    chain, skip = [(0, 1), (2, 3)], [(1, 2), (1, 4)]
+    got, want = field.marginals(x, chain, skip), np.zeros((5, m))
+    for labels in np.ndindex(*[m] * 5):
+        score = sum((x[k] @ field.w)[y] for k, y in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+        for k, y in enumerate(labels):
+            want[k, y] += np.exp(score)
+    assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-4)
+
+
 def test_every_operator_has_a_query():
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
