@@ -1,4 +1,9 @@
-"""A training-corpus pipeline: each stage's table is written and read again before the next."""
+"""A training-corpus pipeline: each stage's table is written and read again before the next.
+
+Every stage takes any rows of the documents' columns: nulls in each of them, empty and
+very long texts, repeated rows and ids, no rows at all; other columns, whatever their
+names, are left out.
+"""
 
 from __future__ import annotations
 
@@ -13,12 +18,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a text without 20 words, null and empty ones included, goes. Repeated rows are judged alike."""
     return quality_rules.keep_good(docs.select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; one that has nothing else and is on several sites as a whole stays as it is, since its copies are the next stage's task."""
+    """Documents without boilerplate lines; one that has nothing else and is on several sites as a whole stays as it is, since its copies are the next stage's task. A null site counts for no line; null texts stay null; all rows stay."""
     cleaned = line_dedup.clean_lines(docs.select(*COLUMNS), MIN_SITES, keep_whole=True)
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -53,7 +58,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The selection for the target weights, with the number of copies of each document."""
+    """The selection for the target weights, with the number of copies of each document; rows without words have nothing to add and stay out, null languages and sources are groups of their own."""
     return mixing.mix(docs.select(*COLUMNS), domain(), None, WEIGHTS, keep=True, percent=MIX_PERCENT)
 
 
