@@ -39,6 +39,11 @@ def _unstable() -> str:
 _UNSTABLE = _unstable()
 
 
+def half_width(text: Column) -> Column:
+    """Full-width forms as ASCII; texts without any, nearly all, skip the translation, which handles one character at a time."""
+    return F.when(text.rlike("[\uff01-\uff5e\u3000]"), F.translate(text, _FULL, _HALF)).otherwise(text)
+
+
 def nfkc(text: Column) -> Column:
     """Unicode NFKC, which Spark has no function for: full-width forms are translated, and only texts that hold other characters it could change are sent to Python."""
 
@@ -47,7 +52,7 @@ def nfkc(text: Column) -> Column:
         for s in texts:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    plain = F.translate(text, _FULL, _HALF)
+    plain = half_width(text)
     return F.coalesce(composed(F.when(plain.rlike(_UNSTABLE), text)), plain)
 
 
@@ -64,7 +69,7 @@ def strip(text: Column) -> Column:
 
 def _folded(text: Column, exact: bool) -> Column:
     text = F.coalesce(text, F.lit(""))
-    return F.lower(nfkc(text) if exact else F.translate(text, _FULL, _HALF))
+    return F.lower(nfkc(text) if exact else half_width(text))
 
 
 def normalize(text: Column, exact: bool = True) -> Column:
