@@ -299,12 +299,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, with_
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         phrases = sc.broadcast(Phrases(sorted((r.item_id, r.text) for r in part.toLocalIterator()), width))
-        parts.append(docs.mapInArrow(_find(phrases, with_text and blocks == 1), schema))
+        hits = docs.mapInArrow(_find(phrases, with_text and blocks == 1), schema)
+        if blocks > 1:  # a block's phrases go before the next one's are sent
+            hits = cut(hits)
+            phrases.unpersist()
+        parts.append(hits)
     found = parts[0]
     if blocks > 1:
         ranked = docs.sparkSession.createDataFrame([], schema)
         for p in parts:
-            ranked = ranked.unionByName(cut(p))
+            ranked = ranked.unionByName(p)
         # every block has each row once, so equal rows are counted and divided
         merged = ranked.groupBy("key", "doc_id", "n_words").agg(F.collect_set(F.struct("first", "end")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), (F.count("*") / blocks).cast("int").alias("times"))
         merged = merged.withColumn("first", F.flatten("spans.first")).withColumn("end", F.flatten("spans.end"))
