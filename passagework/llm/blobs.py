@@ -78,14 +78,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Rows in an Arrow batch of queries run by tidy(): a row may hold two sets of thousands of tokens.
-BATCH_ROWS = 512
+#: Rows and bytes in an Arrow batch of queries run by tidy(): a row may hold two sets of thousands of tokens, and both sides hold a batch several times.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Queries run inside drop their shuffle files when they end, and send small batches to Python."""
-    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    held = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
     before = {k: spark.conf.get(k, None) for k in held}
     for k, v in held.items():
         spark.conf.set(k, v)
@@ -96,8 +96,18 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written as a table in the shared checkpoint folder and read again: the lineage ends there."""
+#: Bytes of the input for each file of a table that is much smaller than it, and the fewest files.
+BYTES_A_FILE, LEAST_FILES = 32 << 20, 8
+
+
+def files_for(total: int) -> int:
+    """Files for tables of keys and links that follow from so many bytes of text: their number grows with the input, not with the shuffle's partitions."""
+    return max(LEAST_FILES, total // BYTES_A_FILE)
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """df, written as a table in the shared checkpoint folder and read again: the lineage ends there. files: at most so many, for small tables."""
+    df = df if files is None else df.coalesce(files)
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     with tidy(spark):

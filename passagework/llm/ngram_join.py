@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.llm.blobs import BLOB_ARROW, BLOB_SCHEMA, bucket_bits, cut, pack, tidy, unpack
+from passagework.llm.blobs import BLOB_ARROW, BLOB_SCHEMA, bits_for, cut, files_for, pack, text_bytes, tidy, unpack
 from passagework.llm.components import components
 from passagework.llm.words import BLANK, set_node, shingle_sets, slabs
 
@@ -267,9 +267,9 @@ def _between(entries: DataFrame, teams: DataFrame, percent: int) -> DataFrame:
     return found.where(f"c >= least(1 + n_a div 50, 1 + n_b div 50) and (100 + {percent}) * (c + greatest(0, least(n_a - i - 1, n_b - j - 1))) >= {percent} * (n_a + n_b)").select("a", "b")
 
 
-def _read_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _read_sets(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int, files: int) -> DataFrame:
     """(node, tokens) of these nodes, from their texts; some others that the filter lets through may be among them, and rows may repeat."""
-    ids = cut(named.groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key")).join(nodes, "node", "left_semi").select("key"))
+    ids = cut(named.groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key")).join(nodes, "node", "left_semi").select("key"), files)
     bits = max(LEAST_BLOOM, min(MOST_BLOOM, (8 * ids.count()).bit_length()))
     bit = F.col("key").bitwiseAND((1 << bits) - 1)
     words = ids.groupBy(F.shiftright(bit, 5).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((key & {(1 << bits) - 1}) & 31 as int))")).alias("bits")).toPandas()
@@ -324,13 +324,13 @@ def _compared(percent: int, member: int, with_diff: bool):
     return run
 
 
-def _compare(sets: DataFrame, pairs: DataFrame, percent: int, member: int, with_diff: bool = False) -> DataFrame:
+def _compare(sets: DataFrame, pairs: DataFrame, percent: int, member: int, files: int, with_diff: bool = False) -> DataFrame:
     """One row for each pair (a, b) whose whole sets are similar enough; both joins read one exchange of the sets."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("right")), "b").select("a", "b", "left", "right")
-    return cut(both.mapInArrow(_compared(percent, member, with_diff), "a long, b long, n_b long, gone long, added long, linked boolean, diff array<long>").dropDuplicates(["a", "b"]))
+    return cut(both.mapInArrow(_compared(percent, member, with_diff), "a long, b long, n_b long, gone long, added long, linked boolean, diff array<long>").dropDuplicates(["a", "b"]), files)
 
 
-def _derived(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+def _derived(members: DataFrame, comps: DataFrame, percent: int, files: int) -> DataFrame:
     """Links (a, b) between sets of one leader, from their differences with it.
 
     For members Y and Z of X a link means (100 + percent) * |D(Y) n D(Z)| >= G(Y) + G(Z) - K with
@@ -351,7 +351,7 @@ def _derived(members: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     met = long.join(short, ["b", "token"]).where(f"y <> z and comp <> comp_z and d - i >= {need} and d_z - j >= {need}")
     pairs = met.select(F.least("y", "z").alias("y"), F.greatest("y", "z").alias("z")).distinct()
     one, two = rated.select(F.col("a").alias("y"), "diff", "g", "k"), rated.select(F.col("a").alias("z"), F.col("diff").alias("diff_z"), F.col("g").alias("g_z"))
-    return cut(pairs.join(one, "y").join(two, "z").where(f"{whole} * size(array_intersect(diff, diff_z)) >= g + g_z - k").select(F.col("y").alias("a"), F.col("z").alias("b")))
+    return cut(pairs.join(one, "y").join(two, "z").where(f"{whole} * size(array_intersect(diff, diff_z)) >= g + g_z - k").select(F.col("y").alias("a"), F.col("z").alias("b")), files)
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
@@ -365,7 +365,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them, if any is not null. Ids are integers. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark, bits = docs.sparkSession, bucket_bits(docs, "text")
+    total = text_bytes(docs, "text")
+    spark, bits, files = docs.sparkSession, bits_for(total), files_for(total)
     meta = cut(docs.mapInArrow(_meta(n), "doc_id long, node long, n long"))
     named = meta.where("node is not null")
 
@@ -373,23 +374,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with tidy(spark):
         heavy = np.sort(counted.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toPandas()["token"].to_numpy(np.int64))
     index = docs.mapInArrow(_postings(n, percent, bits, spark.sparkContext.broadcast(heavy)), BLOB_SCHEMA)
-    lists = cut(index.groupBy("bucket").applyInArrow(_lists(bits), "token long, node long, pos int, length int"))
+    lists = cut(index.groupBy("bucket").applyInArrow(_lists(bits), "token long, node long, pos int, length int"), files)
 
-    entries = cut(_entries(lists, named.groupBy("node").agg(F.first("n").alias("n")), percent))
-    sets = _read_sets(docs, named, entries.select("node").distinct(), n)
-    members = _compare(sets, cut(_stars(entries, percent)), percent, min(MEMBER, percent), True)
+    entries = cut(_entries(lists, named.groupBy("node").agg(F.first("n").alias("n")), percent), files)
+    sets = _read_sets(docs, named, entries.select("node").distinct(), n, files)
+    members = _compare(sets, cut(_stars(entries, percent), files), percent, min(MEMBER, percent), files, True)
     near = members.where("linked").select("a", "b")
     # two steps up the leaders name a part of a component; what that leaves apart is found as a link again
     up = near.select(F.col("a").alias("b"), F.col("b").alias("above"))
     roots = near.join(up, "b", "left").select(F.col("a").alias("node"), F.coalesce("above", "b").alias("root"))
-    comps = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").join(up, F.col("node") == F.col("b"), "left_anti").distinct()))
-    derived = _derived(members, comps, percent)
+    comps = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").join(up, F.col("node") == F.col("b"), "left_anti").distinct()), files)
+    derived = _derived(members, comps, percent, files)
 
     teams = members.select(F.col("a").alias("node"), F.col("b").alias("team"))
     teams = comps.select("node", F.col("root").alias("comp")).join(teams, "node", "full").select("node", "comp", F.coalesce("team", "node").alias("team"))
-    between = _compare(sets, cut(_between(entries, teams, percent)), percent, percent).select("a", "b")
+    between = _compare(sets, cut(_between(entries, teams, percent), files), percent, percent, files).select("a", "b")
 
-    groups = components(near.unionByName(derived).unionByName(between))
+    groups = components(near.unionByName(derived).unionByName(between), files)
     first = named.groupBy("node").agg(F.min("doc_id").alias("first"))
     rooted = first.join(groups, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named_groups = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
