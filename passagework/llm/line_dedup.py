@@ -13,6 +13,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm.blobs import cut
+
+#: Boilerplate line hashes that are broadcast (some 100 bytes each in a hash table); beyond, both sides are dealt by line and one of SALTS.
+MOST_SENT, SALTS = 1 << 19, 64
 #: 2^LOG_K registers: a relative error of 1.04 / sqrt(2^LOG_K); estimates within DEVIATIONS of them are near.
 LOG_K, DEVIATIONS = 12, 6
 
@@ -54,8 +58,15 @@ def clean_lines(docs: DataFrame, min_sites: int = 8, text_col: str = "text", sit
     field = lambda c: F.col("_row").getField(c)
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")).withColumn("_key", F.xxhash64(field(text_col), field(site_col)))
     plain = keyed.select(F.col("_key").alias("key"), field(site_col).alias("site"), field(text_col).alias("text"))
+    # lines to remove are the most frequent ones by construction, so they aren't joined by their hash alone
+    found, lines = cut(boilerplate(plain, min_sites)), _lines(plain)
+    if found.count() <= MOST_SENT:
+        met = lines.join(F.broadcast(found), "line")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = lines.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
     # equal texts of a site have the same lines: one of them tells which to remove
-    bad = _lines(plain).join(boilerplate(plain, min_sites), "line").groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_bad"))
+    bad = met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("line").alias("_bad"))
     kept = F.filter("_lines", lambda x: (F.trim(x) == "") | ~F.array_contains("_bad", _line_hash(x)))
     out = keyed.join(bad, "_key", "left").withColumn("_lines", F.split(field(text_col), "\n")).withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(kept))
     if keep_whole:
