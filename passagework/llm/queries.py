@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework.llm import chat_format, decontaminate, edit_join, license_scan, line_dedup, mixing, ngram_join, pii, quality_rules, substring_dedup, url_filter
+from passagework.llm import chat_format, collocations, decontaminate, edit_join, license_scan, line_dedup, lsh_forest, mixing, ngram_join, pii, quality_rules, substring_dedup, url_filter
 
 MIN_SITES = 8
 #: Budget of the mixing query in percent of all tokens, and the tree's weights; sources' domains follow from their number.
@@ -63,6 +63,14 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_lsh_forest(spark, sf_dir):
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_edit_join(spark, sf_dir):
     return edit_join.match_names(table(spark, sf_dir, "clients"), table(spark, sf_dir, "vendors"))
 
@@ -73,13 +81,16 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_quality_rules, op6_mixing, op7_license_scan, op8_pii, op9_decontaminate, op10_url_filter, op13_edit_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_ngram_jaccard, op4_substring_dedup, op5_quality_rules, op6_mixing, op7_license_scan, op8_pii, op9_decontaminate, op10_url_filter, op11_collocations, op12_lsh_forest, op13_edit_join, pipeline)}
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.oracle_sql(MIN_SITES),
     "op2_chat_format": chat_format.oracle_sql(),
+    "op3_ngram_jaccard": lsh_forest.oracle_sql(5, 75, False),
     "op5_quality_rules": quality_rules.oracle_sql(),
     "op6_mixing": mixing.oracle_sql(DOMAIN_SQL.replace("'{g}'", "'', 'g'"), None, WEIGHTS, percent=MIX_PERCENT),
     "op10_url_filter": url_filter.oracle_sql(),
+    "op11_collocations": collocations.oracle_sql(),
+    "op12_lsh_forest": lsh_forest.oracle_sql(5, 85, True),
     "op13_edit_join": edit_join.oracle_sql(),
 }
