@@ -397,12 +397,16 @@ def _bitmap(keys: DataFrame, count: int) -> np.ndarray:
     """A bitmap of keys(key), made of words of 64 bits; its size is bounded, whatever their number."""
     bits = max(LEAST_BITMAP, min(MOST_BITMAP, (BITS_A_KEY * count).bit_length()))
     place = F.shiftrightunsigned("key", 64 - bits)
-    found = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits")).toPandas()
+    found = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    out[_column(found, "word")] = _column(found, "bits").view(np.uint64)
     return out
 
 
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
 def _most(rows: DataFrame, room: int) -> DataFrame:
     """Of rows(key, count) those with the largest counts, no more than about `room`; of equal counts those with the least hashes of their keys."""
     classes, taken, least, share = rows.groupBy(F.least("count", F.lit(1 << 16)).alias("class")).agg(F.count("*").alias("n")).orderBy(F.desc("class")).collect(), 0, 1 << 17, 0.0
@@ -455,7 +459,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     filters = share(_bitmap(words.select("key"), words.count())), share(rough)
 
     found = cut(by_key(docs.mapInArrow(_candidates(bits, *filters), _KEYED_DDL), _seen))
-    hot = _most(found, SLOTS).select("key").toPandas()["key"].to_numpy(np.int64)
+    hot = _column(_most(found, SLOTS).select("key").toArrow(), "key")
     table = share(SlotTable(hot.view(np.uint64)))
     counted = cut(docs.mapInArrow(_by_slot(bits, *filters, table), _KEYED_DDL))
     phrases = by_key(counted, _sums(least)).unionByName(_read_slots(_tree_sum(counted.where("part >= 0"), None), table, least))
@@ -463,10 +467,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     # what is read by slot now: frequent words and phrases, the most frequent ones if they are too many
     size = counts.count()
-    kept = _most(counts, SLOTS).toPandas() if size > SLOTS else counts.toPandas()
-    slots = SlotTable(kept["key"].to_numpy(np.int64).view(np.uint64))
+    kept = (_most(counts, SLOTS) if size > SLOTS else counts).toArrow()
+    slots = SlotTable(_column(kept, "key").view(np.uint64))
     by_slot = np.zeros(len(slots), np.int64)
-    by_slot[slots.find(kept["key"].to_numpy(np.int64).view(np.uint64))] = kept["count"].to_numpy(np.int64)
+    by_slot[slots.find(_column(kept, "key").view(np.uint64))] = _column(kept, "count")
     wanted = share((slots, _bitmap(counts.select("key"), size) if size > len(slots) else np.zeros(0, np.uint64)))
     spelled = cut(docs.mapInArrow(_spelled(*filters, wanted), "lang string, phrase string").distinct())
     cuts = cut(spelled.mapInArrow(_cuts(wanted, share(by_slot)), "lang string, phrase string, k int, key long, left long, right long, a long, l long, r long"))

@@ -141,10 +141,11 @@ def similar_names(queries: DataFrame, names: DataFrame, most: int = 1) -> DataFr
     near = F.levenshtein("query", "name", 2 * most) >= 0  # an exchange is two of its edits
     long = q.where(size >= pieces).select(F.col("name").alias("query"), F.explode(_own_pieces(most)).alias("key")).select("query", "key.*")
     parts = n.where(size >= pieces - most).select("name", F.explode(_shifted_parts(most)).alias("key")).select("name", "key.*")
-    met = long.join(parts, ["length", "piece", "part"]).where(near).select("query", "name")
+    # both sides grow with the input, so neither may be broadcast, however small it is now
+    met = long.hint("merge").join(parts, ["length", "piece", "part"]).where(near).select("query", "name")
     short = q.where(size < pieces).select(F.col("name").alias("query"), F.explode(_deleted(most)).alias("part"))
     rest = n.where(size < pieces + most).select("name", F.explode(_deleted(most)).alias("part"))
-    met = met.unionByName(short.join(rest, "part").where(near).select("query", "name"))
+    met = met.unionByName(short.hint("merge").join(rest, "part").where(near).select("query", "name"))
     return met.distinct().mapInArrow(_verified(most), "query string, name string, distance int")
 
 
@@ -169,8 +170,8 @@ def match_names(clients: DataFrame, vendors: DataFrame, most: int = 1) -> DataFr
     held = clients.where("name is not null and name <> ''").groupBy("name").agg(F.count("*").alias("n"), F.min("client_id").alias("first"), F.coalesce(F.sum(F.crc32(F.col("client_id").cast("string").cast("binary"))), F.lit(0)).alias("crc"))
     sought = vendors.select("vendor_id", misspelt(F.col("name"), F.col("vendor_id")).alias("name")).where("name is not null and name <> ''").distinct()
     pairs = similar_names(sought, held, most)
-    found = pairs.join(held, "name").groupBy("query", "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("crc").alias("crc"))
-    per = sought.join(found, sought.name == found.query).groupBy("vendor_id", "distance")
+    found = pairs.hint("merge").join(held, "name").groupBy("query", "distance").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("crc").alias("crc"))
+    per = sought.hint("merge").join(found, sought.name == found.query).groupBy("vendor_id", "distance")
     return per.agg(F.sum("n").alias("n_clients"), F.min("first").alias("first_client_id"), F.sum("crc").alias("clients_crc"))
 
 
