@@ -69,8 +69,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _described(n: int):
-    """(doc_id, node, n, signature) of each row; the signature only with a node's first row in the task."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("signature", pa.binary())])
+    """(doc_id, node, n, signature, its hashes' low bytes) of each row; the last two only with a node's first row in the task."""
+    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("low", pa.binary())])
 
     def run(batches):
         seen = set()
@@ -84,9 +84,10 @@ def _described(n: int):
                         seen.add(node)
                         fresh[k] = len(fresh)
                 signed = signatures([sets[k] for k in fresh])
-                held = [signed[fresh[k]].tobytes() if k in fresh else None for k in range(len(sets))]
+                low = (signed & 0xFF).astype(np.uint8)
+                held = [[rows[fresh[k]].tobytes() if k in fresh else None for k in range(len(sets))] for rows in (signed, low)]
                 ids = batch.column(0).slice(slab.first, slab.stop - slab.first).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(held, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(h, pa.binary()) for h in held)], schema=schema)
 
     return run
 
@@ -187,11 +188,12 @@ def _confirmed(percent: int):
 
 
 def forest_edges(nodes: DataFrame, percent: int, files: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b) that may be similar, (node) of sets whose depths may have lost a partner) of nodes(node, n, signature)."""
+    """((a, b) that may be similar, (node) of sets whose depths may have lost a partner) of nodes(node, n, signature, low).
+
+    Both sides of these joins grow with the input, so none is left to be broadcast while it is small.
+    """
     share = percent / 100
     lost = lambda depth: math.log(max(1 - share**depth, 1e-300))
-    low = F.expr(f"unhex(array_join(transform(sequence(0, {HASHES - 1}), i -> substr(hex(signature), 8 * i + 7, 2)), ''))")
-    sizes = cut(nodes.select("node", "n", low.alias("low")), files)
     active, edges, deeper = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), [], []
     for depth in DEPTHS:
         circle = F.concat("signature", "signature")
@@ -201,19 +203,20 @@ def forest_edges(nodes: DataFrame, percent: int, files: int) -> tuple[DataFrame,
         # trees often have a leaf of the same members: one of them is enough
         leaves = regions.where(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("leaf").alias("leaf")).select("leaf")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
-        members = keyed.join(leaves.select("leaf", salts), ["leaf", "salt"]).select("leaf", "node").join(sizes, "node").select("leaf", "node", "n", "low")
+        members = keyed.hint("merge").join(leaves.select("leaf", salts), ["leaf", "salt"]).select("leaf", "node")
+        members = members.hint("merge").join(nodes.select("node", "n", "low"), "node").select("leaf", "node", "n", "low")
         ordered = members.repartition("leaf").sortWithinPartitions("leaf", "n", "node")
         edges.append(cut(ordered.mapInArrow(_neighbours(percent), "a long, b long"), files))
         dense = regions.where(F.col("size") > LEAF).select("leaf", salts)
         if not dense.limit(1).count():
             break
-        crowded = keyed.join(dense, ["leaf", "salt"])
+        crowded = keyed.hint("merge").join(dense, ["leaf", "salt"])
         if depth == HASHES:  # the same signature as a whole
             edges.append(crowded.join(crowded.groupBy("leaf").agg(F.min("node").alias("b")).select("leaf", "b", salts), ["leaf", "salt"]).select(F.col("node").alias("a"), "b").where("a <> b"))
             break
         crowded = cut(crowded.select("node", "tree"), files)
         deeper.append(crowded.select("node", F.lit(lost(DEPTHS[DEPTHS.index(depth) + 1]) - lost(depth)).alias("more")))
-        active = crowded.join(nodes.select("node", "signature"), "node")
+        active = crowded.hint("merge").join(nodes.select("node", "signature"), "node")
     found = edges[0]
     for e in edges[1:]:
         found = found.unionByName(e)
@@ -265,9 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     files = files_for(text_bytes(docs, "text"))
-    meta = cut(docs.mapInArrow(_described(n), "doc_id long, node long, n long, signature binary"))
+    meta = cut(docs.mapInArrow(_described(n), "doc_id long, node long, n long, signature binary, low binary"))
     named = meta.where("node is not null")
-    nodes = cut(named.where("signature is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature")), files)
+    nodes = cut(named.where("signature is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("low").alias("low")), files)
 
     edges, unsure = forest_edges(nodes, percent, files)
     loose = components(edges, files)
