@@ -96,9 +96,8 @@ pk as (select query_id, string_agg(substr(block, 1, 4000), chr(10) || chr(10) or
 
 _BEIR_SAMPLES = """with b as (select item_id::varchar sample_id, any_value(b.text) question, string_agg(doc_id::varchar, '|' order by doc_id::varchar) gold
   from labels l join benchmark b on l.doc_id % 40 = b.item_id where quality > 0 group by item_id) """
-_HOTPOT = """d as (select doc_id, 'd' || doc_id title, text from documents where doc_id between 0 and 59),
-i as (select item_id, b.text, x.title t0, y.title t1 from benchmark b join d x on item_id % 60 = x.doc_id join d y on item_id % 30 + 30 = y.doc_id)"""
-_SQUAD = """s as (select *, dense_rank() over (order by lang) - 1 a, row_number() over (partition by lang order by doc_id) - 1 p from documents where n_chars <= 600)"""
+_NEXT = "(doc_id + 1) % (select max(doc_id) + 1 from documents)"
+_SQUAD = """s as (select *, dense_rank() over (order by coalesce(lang, 'und')) - 1 a, row_number() over (partition by coalesce(lang, 'und') order by doc_id) - 1 p from documents)"""
 
 ORACLE_SQL = {
     "text_normalize": f"select doc_id, md5({norm('text')}) normal_md5 from documents",
@@ -115,6 +114,9 @@ h as (select doc_id, ('0x' || substr(md5(f), 25, 8))::bigint h from f),
 w as (select doc_id, (h % 512)::int bucket, sum(case when (h >> 8) % 2 = 1 then 1 else -1 end) w from h group by 1, 2 having w <> 0)
 select doc_id, bucket, round(w / sqrt(sum(w * w) over (partition by doc_id)), 9) "value" from w""",
     "dense_topk": _dense("list_inner_product(q, v)"),
+    "ann_ivf_topk": _dense("list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v)))"),
+    "ann_ivf_exact": _dense("list_inner_product(q, v)"),
+    "ann_ivf_recall": f"select count(*) as n, true as recalled, true as pruned from (select q.vec_id as a, v.vec_id as b from embeddings q, embeddings v where q.vec_id % 20 = 0 qualify row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id) <= {K} + 1) where a <> b",
     "dense_topk_filtered": _dense("list_inner_product(q, v)", "label in (0, 1, 2)"),
     "dense_topk_l2": _dense("1 / (1 + pow(list_distance(q, v), 2))"),
     "dense_topk_cosine": _dense("list_inner_product(q, v) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(v, v)))"),
@@ -154,16 +156,16 @@ select conv_id, turn, array_to_string(list_transform(list_filter(n, lambda x, i:
     "source_jsonl_filtered": "select doc_id::varchar doc_id, 't3' title from documents where lang in ('fr', 'de') and doc_id % 7 = 3 and text <> ''",
     "source_memory": "select item_id::varchar doc_id, text, item_id::varchar title, length(text)::varchar length from benchmark",
     "dataset_jsonl_corpus": "select doc_id::varchar doc_id, md5(text) text_md5, 't' || doc_id % 7 title from documents",
-    "dataset_jsonl_samples": "select item_id::varchar sample_id, text as question, case when item_id % 2 = 0 then substr(text, 1, 9) || '|[2] b' else '[1] ' || substr(text, 1, 9) end answers, (item_id * 3)::varchar gold from benchmark",
+    "dataset_jsonl_samples": "select item_id::varchar sample_id, text as question, case when item_id % 2 = 0 then text || '|[2] b' else '[1] ' || text end answers, (item_id * 3)::varchar gold from benchmark",
     "dataset_beir_corpus": f"select doc_id::varchar doc_id, md5({_strip("'t' || doc_id % 7 || chr(10) || text")}) text_md5, 't' || doc_id % 7 title from documents",
     "dataset_beir_samples": _BEIR_SAMPLES + "select sample_id, question, gold from b",
     "dataset_convert": _BEIR_SAMPLES + "select sample_id, question, 0 n_answers, gold from b",
-    "dataset_hotpot_corpus": f"with {_HOTPOT} select distinct d.title doc_id, d.title, substr(text, 1, 100) as text from d join (select unnest([t0, t1]) title from i) using (title)",
-    "dataset_hotpot_samples": f"with {_HOTPOT} select 'q' || item_id sample_id, text as question, 'a' || item_id answers, least(t0, t1) || case when t0 = t1 then '' else '|' || greatest(t0, t1) end gold, 'bridge' as type, 'easy' as level from i",
+    "dataset_hotpot_corpus": "select 'd' || doc_id doc_id, 'd' || doc_id title, md5(text) text_md5 from documents",
+    "dataset_hotpot_samples": f"select 'q' || doc_id sample_id, b.text as question, 'a' || doc_id answers, least('d' || doc_id, 'd' || {_NEXT}) || '|' || greatest('d' || doc_id, 'd' || {_NEXT}) gold, 'bridge' as type, 'easy' as level from documents join benchmark b on doc_id % (select count(*) from benchmark) = item_id",
     "dataset_squad_corpus": f"with {_SQUAD} select 'a' || a || '#' || p doc_id, 'in ' || lang title, md5(text) text_md5 from s",
-    "dataset_squad_samples": f"with {_SQUAD} select 'q' || doc_id sample_id, substr(text, 1, 50) question, case when doc_id % 3 = 0 then '' else substr(text, 1, 12) end answers, 'a' || a || '#' || p gold from s",
+    "dataset_squad_samples": f"""with {_SQUAD} select 'q' || doc_id sample_id, 'What says text {{' || doc_id || '}} of "' || lang || '"?' question, md5(case when doc_id % 3 = 0 then '' else text end) answers_md5, 'a' || a || '#' || p gold from s""",
     "kb_save_load": f"{BM25} select query_id, rank::int as rank, round(score, 6) score from bm",
-    "kb_upsert": "select count(*) documents, count(*) + count(*) filter (doc_id % 2 = 0) chunks, count(*) + count(*) filter (doc_id % 2 = 0) bm25_chunks, 16 dimension from documents where n_chars <= 600 and trim(text) <> ''",
+    "kb_upsert": "select count(*) documents, count(*) + count(*) filter (doc_id % 2 = 0) chunks, count(*) + count(*) filter (doc_id % 2 = 0) bm25_chunks, 16 dimension from documents where trim(text) <> ''",
     "metric_rouge_l": f"""with recursive {_PAIRS},
 t as (select sample_id, {toks('pred')} p, {toks('answer')} g from s),
 l as (select sample_id, 0 i, list_transform(g, lambda x: 0) as row_, p, g from t union all

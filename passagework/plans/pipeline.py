@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.operators import encoding, generation, metrics, retrieval
+from passagework.operators import ann, encoding, generation, metrics, retrieval
 from passagework.plans.registry import registry
 from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
@@ -61,9 +61,9 @@ def _flat(space: str = "ip", path: str | None = None, collection: str | None = N
 
 
 @registry.register("index", "chroma")
-def _ann_as_exact(space: str = "cosine", path: str | None = None, collection: str | None = None, ef_construction: int = 200, max_neighbors: int = 32, ef_search: int = 100, reset: bool = False) -> dict:
-    """Graph indexes are answered by exact search in the same space: the graph's settings are accepted, recall is 1."""
-    return {"search": "exact", "space": space}
+def _cells(space: str = "cosine", path: str | None = None, collection: str | None = None, ef_construction: int = 200, max_neighbors: int = 32, ef_search: int = 100, reset: bool = False, cells: int | None = None, rescored: int | None = None) -> dict:
+    """The approximate index: cells and codes. ef_search is the number of cells that a search visits; cells, if given, their number. The settings of a graph's construction have no counterpart and are accepted."""
+    return {"search": "cells", "space": space, "width": ef_search, "cells": cells, "rescored": rescored}
 
 
 @registry.register("index", "lsh")
@@ -83,6 +83,9 @@ def _encode_queries(queries: DataFrame, kb: KnowledgeBase) -> DataFrame:
 def _vector(kb: KnowledgeBase, index: dict, where: dict | None = None):
     def run(queries: DataFrame, k: int) -> DataFrame:
         vectors, q = kb.chunks.where(retrieval.matches(where, kb.chunks.columns)), _encode_queries(queries, kb)
+        if index["search"] == "cells":
+            rows, model = kb.cells(index["space"], index["cells"])
+            return ann.search(q, rows, model, k, index["width"], index["rescored"], where)
         if index["search"] == "lsh":
             return retrieval.lsh_top_k(q, vectors, k, index["tables"], index["bits"], index["seed"])
         return retrieval.dense_top_k(q, vectors, k, index["space"])
@@ -157,6 +160,12 @@ class Pipeline:
         self.kb.add(docs)
         return self
 
+    def set_ef_search(self, width: int) -> Pipeline:
+        """From now on approximate searches visit so many cells; nothing is built again."""
+        if self.index_spec["search"] == "cells":
+            self.index_spec["width"] = width
+        return self
+
     @property
     def retriever(self):
         bm25 = self.config.get("bm25", {})

@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
-from passagework.operators import chunking, encoding, generation, metrics, retrieval
+from passagework.operators import ann, chunking, encoding, generation, metrics, retrieval
 from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
 
@@ -107,6 +107,37 @@ def ann_lsh_topk(spark, sf):
     return retrieval.lsh_top_k(_query_vectors(spark, sf), _vectors(spark, sf), K).select("query_id", "rank", "chunk_id", "score")
 
 
+def _cells(spark, sf, space="cosine"):
+    vectors = _vectors(spark, sf)
+    model = ann.fit(vectors, space)
+    path = f"{_folder(spark)}/ann"
+    ann.save(ann.with_cells(vectors, model), model, path)
+    return ann.load(spark, path)
+
+
+def ann_ivf_topk(spark, sf):
+    """Approximate search in a saved index by cells and codes."""
+    rows, model = _cells(spark, sf)
+    return ann.search(_query_vectors(spark, sf), rows, model, K, len(model.centroids)).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def ann_ivf_exact(spark, sf):
+    """The same index where every cell is visited and every code's vector scored: exact search."""
+    rows, model = _cells(spark, sf, "ip")
+    return ann.search(_query_vectors(spark, sf), rows, model, K, len(model.centroids), rescored=rows.count()).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def ann_ivf_recall(spark, sf):
+    """Whether the approximate search finds nine of ten true neighbours, queries themselves left out, and scores a tenth of the rows at most."""
+    rows, model = _cells(spark, sf)
+    queries, rescored = _query_vectors(spark, sf), 10 * K
+    other = F.col("query_id") != F.col("chunk_id")
+    found = ann.search(queries, rows, model, K + 1, len(model.centroids), rescored).where(other)
+    truth = retrieval.dense_top_k(queries, _vectors(spark, sf), K + 1, space="cosine").where(other)
+    n = rows.count()
+    return ann.recall(found, truth).select("n", (F.col("recall") >= 0.9).alias("recalled"), (F.lit(rescored) <= 0.1 * F.lit(n)).alias("pruned"))
+
+
 def bm25_postings(spark, sf):
     return retrieval.postings(_docs(spark, sf), "doc_id")
 
@@ -292,7 +323,10 @@ def semi_anti_join(spark, sf):
 def _folder(spark) -> str:
     """A new folder beside the session's checkpoints, which all executors share; of this machine only where none is set."""
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = context.get() if context.isDefined() else spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    root = context.get() if context.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or tempfile.mkdtemp()
     return f"{root.rstrip('/')}/formats-{uuid.uuid4().hex}"
 
 
@@ -317,8 +351,8 @@ def _qa_file(spark, sf, folder):
     items = _t(spark, sf, "benchmark")
     head = [F.col("item_id").cast("string").alias("id"), F.col("text").alias("question")]
     gold = F.array((F.col("item_id") * 3).cast("string")).alias("gold_doc_ids")
-    listed = items.where("item_id % 2 = 0").select(F.to_json(F.struct(*head, F.array(F.substring("text", 1, 9), F.lit("[2] b")).alias("answers"), gold)).alias("value"))
-    plain = items.where("item_id % 2 = 1").select(F.to_json(F.struct(*head, F.concat(F.lit("[1] "), F.substring("text", 1, 9)).alias("answers"), gold)).alias("value"))
+    listed = items.where("item_id % 2 = 0").select(F.to_json(F.struct(*head, F.array("text", F.lit("[2] b")).alias("answers"), gold)).alias("value"))
+    plain = items.where("item_id % 2 = 1").select(F.to_json(F.struct(*head, F.concat(F.lit("[1] "), "text").alias("answers"), gold)).alias("value"))
     return _lines(listed.unionByName(plain), f"{folder}/qa.jsonl")
 
 
@@ -368,18 +402,36 @@ def dataset_beir_samples(spark, sf):
     return _beir(spark, sf).samples().select("sample_id", "question", F.array_join(F.array_sort("gold_doc_ids"), "|").alias("gold"))
 
 
+def _in_parts(rows: DataFrame, path: str, head: str, tail: str) -> str:
+    """rows(part, at, value) in that order between head and tail, as one JSON value whose files, written by many tasks, follow each other by name."""
+    edges = rows.sparkSession.createDataFrame([("", -1, head), (chr(0x10FFFF), 0, tail)], "part string, at long, value string")
+    rows.select("part", "at", "value").unionByName(edges).repartitionByRange("part", "at").sortWithinPartitions("part", "at").select("value").write.text(path)
+    return path
+
+
+def _json(value) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(value))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def _hotpot(spark, sf):
-    """Each item with the two documents of its number, as a title and sentences; documents come with several items."""
-    docs = _docs(spark, sf).select((F.col("doc_id") % 60).alias("at"), F.concat(F.lit("d"), "doc_id").alias("title"), F.to_json(F.array(F.substring("text", 1, 40), F.substring("text", 41, 60))).alias("said")).where("title in (select concat('d', n) from (select explode(sequence(0, 59)) n))")
-    part = lambda k: docs.select(F.col("at").alias(f"at{k}"), F.concat(F.lit('["'), "title", F.lit('", '), "said", F.lit("]")).alias(f"p{k}"), F.col("title").alias(f"t{k}"))
-    items = _t(spark, sf, "benchmark").join(part(0), F.col("item_id") % 60 == F.col("at0")).join(part(1), F.col("item_id") % 30 + 30 == F.col("at1"))
-    value = F.concat(F.lit('{"_id": "q'), "item_id", F.lit('", "question": '), F.get_json_object(F.to_json(F.struct(F.array("text").alias("x"))), "$.x[*]"), F.lit(', "answer": "a'), "item_id", F.lit('", "type": "bridge", "level": "easy", "context": ['), "p0", F.lit(", "), "p1", F.lit('], "supporting_facts": [["'), "t1", F.lit('", 0], ["'), "t0", F.lit('", 1]]}'))
-    rows = items.select("item_id", value.alias("v")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "v"))), lambda x: x["v"]), ","), F.lit("]")).alias("value"))
-    return datasets.HotpotDataset(spark, _one_file(rows, f"{_folder(spark)}/hotpot.json"))
+    """An item for each document: its text and its successor's, in two sentences each; benchmark texts are the questions, in turn."""
+    docs, items = _docs(spark, sf), _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("asked"))
+    n, m = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1, max(items.count(), 1)
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    paragraph = F.concat(F.lit("["), _json(F.concat(F.lit("d"), "doc_id")), F.lit(", "), F.to_json(F.array(F.substr(text, F.lit(1), half), F.substr(text, half + 1))), F.lit("]"))
+    own = docs.select("doc_id", paragraph.alias("own"))
+    after = docs.select(F.pmod(F.col("doc_id") - 1, F.lit(n)).alias("doc_id"), paragraph.alias("after"), F.col("doc_id").alias("next"))
+    both = own.join(after, "doc_id").join(retrieval.if_small(items), F.pmod("doc_id", F.lit(m)) == F.col("item_id"), "left")
+    value = F.concat(F.lit(', {"_id": "q'), "doc_id", F.lit('", "question": '), _json(F.coalesce("asked", F.lit(""))), F.lit(', "answer": "a'), "doc_id", F.lit('", "type": "bridge", "level": "easy", "context": ['), "own", F.lit(", "), "after", F.lit('], "supporting_facts": [["d'), "next", F.lit('", 0], ["d'), "doc_id", F.lit('", 1]]}'))
+    rows = both.select(F.lit("items").alias("part"), F.col("doc_id").alias("at"), value.alias("value"))
+    return datasets.HotpotDataset(spark, _in_parts(rows, f"{_folder(spark)}/hotpot.json", "[null", "]"))
 
 
 def dataset_hotpot_corpus(spark, sf):
-    return _hotpot(spark, sf).corpus().select("doc_id", "title", "text")
+    return _hotpot(spark, sf).corpus().select("doc_id", "title", F.md5("text").alias("text_md5"))
 
 
 def dataset_hotpot_samples(spark, sf):
@@ -387,14 +439,14 @@ def dataset_hotpot_samples(spark, sf):
 
 
 def _squad(spark, sf):
-    """An article for each language, whose paragraphs are its documents of up to 600 characters; each has a question, every third without an answer."""
-    docs = _t(spark, sf, "documents").where("n_chars <= 600")
-    answers = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<struct<text:string>>")).otherwise(F.array(F.struct(F.substring("text", 1, 12).alias("text"))))
-    asked = F.array(F.struct(F.concat(F.lit("q"), "doc_id").alias("id"), F.substring("text", 1, 50).alias("question"), answers.alias("answers")))
-    paragraphs = docs.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.struct(F.col("text").alias("context"), asked.alias("qas")).alias("p")))).alias("ps"))
-    articles = paragraphs.agg(F.array_sort(F.collect_list(F.struct("lang", F.struct(F.concat(F.lit("in "), "lang").alias("title"), F.transform("ps", lambda x: x["p"]).alias("paragraphs")).alias("a")))).alias("all"))
-    whole = articles.select(F.to_json(F.struct(F.transform("all", lambda x: x["a"]).alias("data"))).alias("value"))
-    return datasets.SquadDataset(spark, _one_file(whole, f"{_folder(spark)}/squad.json"))
+    """An article for each language, whose paragraphs are its documents, each with a question, every third without an answer."""
+    docs = _t(spark, sf, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("part"), F.coalesce("text", F.lit("")).alias("text"))
+    answers = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<struct<text:string>>")).otherwise(F.array(F.struct("text")))
+    asked = F.array(F.struct(F.concat(F.lit("q"), "doc_id").alias("id"), F.concat(F.lit("What says text {"), "doc_id", F.lit('} of "'), "part", F.lit('"?')).alias("question"), answers.alias("answers")))
+    paragraphs = docs.select("part", F.col("doc_id").alias("at"), F.concat(F.lit(", "), F.to_json(F.struct(F.col("text").alias("context"), asked.alias("qas")))).alias("value"))
+    article = F.concat(F.lit(', {"title": '), _json(F.concat(F.lit("in "), "part")), F.lit(', "paragraphs": [null'))
+    edges = docs.select("part").distinct().select("part", F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("at"), article.alias("value")), F.struct(F.lit(1 << 62).alias("at"), F.lit("]}").alias("value")))).alias("e")).select("part", "e.at", "e.value")
+    return datasets.SquadDataset(spark, _in_parts(paragraphs.unionByName(edges), f"{_folder(spark)}/squad.json", '{"version": "1", "data": [null', "]}"))
 
 
 def dataset_squad_corpus(spark, sf):
@@ -402,7 +454,7 @@ def dataset_squad_corpus(spark, sf):
 
 
 def dataset_squad_samples(spark, sf):
-    return _squad(spark, sf).samples().select("sample_id", "question", F.array_join("answers", "|").alias("answers"), F.array_join("gold_doc_ids", "|").alias("gold"))
+    return _squad(spark, sf).samples().select("sample_id", "question", F.md5(F.array_join("answers", "|")).alias("answers_md5"), F.array_join("gold_doc_ids", "|").alias("gold"))
 
 
 def dataset_convert(spark, sf):
@@ -426,7 +478,7 @@ def kb_save_load(spark, sf):
 
 def kb_upsert(spark, sf):
     """Documents added twice, the second time with other texts for some: counts of the knowledge base."""
-    docs = _t(spark, sf, "documents").where("n_chars <= 600").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     kb = KnowledgeBase(spark, {"kind": "fixed", "size": 1 << 20, "overlap": 0}, {"dimension": 16, "use_ngrams": False})
     kb.add(docs).add(docs.withColumn("text", F.when(F.col("doc_id").cast("long") % 2 == 0, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))))
     return kb.stats()
@@ -434,5 +486,5 @@ def kb_upsert(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
+    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, ann_ivf_topk, ann_ivf_exact, ann_ivf_recall, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
 } | {f"metric_{n}": _retrieval_metric(n) for n in metrics.RETRIEVAL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.operators.retrieval import if_small, kept_table
+from passagework.sources.json_elements import elements
 from passagework.sources.loaders import numbered_lines
 
 
@@ -52,8 +54,8 @@ class HotpotDataset:
         self.spark, self.path, self.limit, self.name = spark, path, limit, "hotpotqa"
 
     def _items(self) -> DataFrame:
-        # the reader streams the array's elements as rows; an array file is one task, which is the format's limit
-        items = self.spark.read.schema(self.SCHEMA).option("multiLine", "true").json(self.path).withColumn("ord", F.monotonically_increasing_id())
+        rows, _ = elements(self.spark, self.path, 1)
+        items = rows.select("ord", F.from_json("text", self.SCHEMA).alias("i")).select("i.*", "ord")
         return _first(items, self.limit)
 
     def corpus(self) -> DataFrame:
@@ -70,15 +72,17 @@ class HotpotDataset:
 class SquadDataset:
     """data -> paragraphs -> qas; a paragraph's id, or article#paragraph, made unique with the article's number; a limit counts questions."""
 
-    SCHEMA = "data array<struct<id:string,title:string,paragraphs:array<struct<id:string,context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>>>"
+    ARTICLE = "id string, title string"
+    PARAGRAPH = "id string, context string, qas array<struct<id:string,question:string,answers:array<struct<text:string>>>>"
 
     def __init__(self, spark: SparkSession, path: str, limit: int | None = None):
         self.spark, self.path, self.limit, self.name = spark, path, limit, "squad"
 
     def _paragraphs(self) -> DataFrame:
-        data = self.spark.read.schema(self.SCHEMA).option("multiLine", "true").json(self.path)
-        articles = data.select(F.posexplode("data").alias("a_idx", "a"))
-        rows = articles.select("a_idx", F.col("a.id").alias("a_id"), F.col("a.title").alias("title"), F.posexplode("a.paragraphs").alias("p_idx", "p"))
+        articles, paragraphs = elements(self.spark, self.path, 2, 4, kept_table)
+        named = articles.select(F.col("ord").alias("a_idx"), F.from_json("text", self.ARTICLE).alias("a"), "first").select("a_idx", F.col("a.id").alias("a_id"), F.col("a.title").alias("title"), "first")
+        read = paragraphs.select(F.col("ord").alias("a_idx"), "inner", F.from_json("text", self.PARAGRAPH).alias("p"))
+        rows = read.join(if_small(named), "a_idx").withColumn("p_idx", F.col("inner") - F.col("first"))
         own = F.coalesce("p.id", F.concat(F.coalesce("a_id", F.concat(F.lit("a"), F.col("a_idx"))), F.lit("#"), F.col("p_idx")))
         again = F.row_number().over(Window.partitionBy("own").orderBy("a_idx", "p_idx")) > 1
         named = rows.withColumn("own", own).withColumn("doc_id", F.when(again, F.concat("own", F.lit("#"), "a_idx", F.lit("_"), "p_idx")).otherwise(F.col("own")))

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.operators import chunking, encoding, retrieval
+from passagework.operators import ann, chunking, encoding, retrieval
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats")
 
@@ -39,6 +39,7 @@ class KnowledgeBase:
         self.encoder = {"type": "hashing", "dimension": 512, "use_ngrams": True, "ngram": 3, **(encoder or {})}
         self.chunks: DataFrame | None = None
         self._cache: DataFrame | None = None
+        self._cells: tuple | None = None
         #: What vectors must have as their length, if the encoder's configuration says it.
         self.width = (encoder or {}).get("dimension")
 
@@ -74,7 +75,7 @@ class KnowledgeBase:
         if self.chunks is not None:
             # an upsert: chunks that come again are taken from the new ones
             made = self.chunks.join(made.select("chunk_id"), "chunk_id", "left_anti").unionByName(made, allowMissingColumns=True)
-        self.chunks = made.dropDuplicates(["chunk_id"])
+        self.chunks, self._cells = made.dropDuplicates(["chunk_id"]), None
         return self.index()
 
     def index(self) -> KnowledgeBase:
@@ -83,6 +84,13 @@ class KnowledgeBase:
         self.corpus_stats = retrieval.corpus_stats(self.chunks)
         return self
 
+    def cells(self, space: str = "cosine", cells: int | None = None) -> tuple:
+        """(rows with cell and code, the fitted part) of the approximate index, built when it is first asked for."""
+        if self._cells is None or self._cells[1].space != space or cells not in (None, len(self._cells[1].centroids)):
+            model = ann.fit(self.chunks.select("chunk_id", "vector"), space, cells)
+            self._cells = retrieval.kept_table(ann.with_cells(self.chunks, model)), model
+        return self._cells
+
     def get(self, chunk_id: str) -> DataFrame:
         return self.chunks.where(F.col("chunk_id") == chunk_id)
 
@@ -99,7 +107,9 @@ class KnowledgeBase:
         self.postings = self.spark.read.parquet(f"{path}/postings")
         retrieval.term_stats(self.postings).write.mode("overwrite").parquet(f"{path}/term_stats")
         self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}}
+        if self._cells is not None:
+            ann.save(*self._cells, f"{path}/ann")
+        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}, "ann": self._cells is not None}
         manifest["hash"] = config_hash(manifest)
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
@@ -109,4 +119,6 @@ class KnowledgeBase:
         kb = cls(spark, manifest["chunker"], manifest["encoder"] | ({"object": encoder_object} if encoder_object else {}))
         for name in TABLES:
             setattr(kb, name, spark.read.parquet(f"{path}/{name}"))
+        if manifest.get("ann"):
+            kb._cells = ann.load(spark, f"{path}/ann")
         return kb
