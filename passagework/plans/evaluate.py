@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from passagework.operators import metrics
 from passagework.plans.config import merge
 from passagework.plans.pipeline import Pipeline, rank_documents
+from passagework.plans.registry import registry
 
 
 #: Messages a report quotes; all failures are counted.
@@ -41,11 +42,22 @@ class Report:
         self.cases.write.mode("overwrite").json(path.removesuffix(".json") + "_cases")
 
 
-def evaluate(pipeline: Pipeline, dataset, k: int = 5, generate: bool = True, judge=None, build: bool = True) -> Report:
+#: Metrics that need an answer to compare, or to judge.
+OF_ANSWERS = ("exact_match", "answer_contains", "token_f1", "rouge_l", "faithfulness", "llm_judge")
+
+
+def default_metrics(k: int = 5, judge=None, generate: bool = True) -> dict:
+    """Name and function (samples, hits, answers) of the registered metrics; latency is taken from timings."""
+    names = [*metrics.RETRIEVAL, "context_recall", *(n for n in OF_ANSWERS if generate and (n != "llm_judge" or judge is not None))]
+    return {n: registry.build("metric", {"type": n} | ({"k": k} if n in metrics.RETRIEVAL else {}), llm=judge) for n in names}
+
+
+def evaluate(pipeline: Pipeline, dataset, k: int = 5, generate: bool = True, judge=None, build: bool = True, metric_set: dict | None = None) -> Report:
     """Index (unless a knowledge base is there), answer all samples as one batch, score, average.
 
     Metrics of answers are skipped if nothing is generated; a metric only counts for
-    samples that have what it needs.
+    samples that have what it needs. metric_set, if given, takes the place of
+    default_metrics(); a metric that fails goes to the report's errors.
     """
     if build:
         pipeline.index(dataset.corpus())
@@ -55,24 +67,27 @@ def evaluate(pipeline: Pipeline, dataset, k: int = 5, generate: bool = True, jud
     candidates = pipeline.timed("retrieve", pipeline.candidates(queries, k))
     hits = pipeline.timed("rerank", pipeline.reranked(queries, candidates, k))
     by_sample = hits.withColumnRenamed("query_id", "sample_id")
-    parts = [metrics.retrieval_metrics(samples, by_sample, k), metrics.context_recall(samples, by_sample)]
     answers, errors, failed = None, [], 0
     if generate:
         answers = pipeline.timed("generate", pipeline.generator(queries, hits).withColumnRenamed("query_id", "sample_id"))
-        parts += [metrics.exact_match(samples, answers), metrics.answer_contains(samples, answers), metrics.token_f1(samples, answers), metrics.rouge_l(samples, answers), metrics.faithfulness(samples, by_sample, answers)]
         if "error" in answers.columns:
             wrong = answers.where("error is not null")
             failed = wrong.count()
             errors = [r[0] for r in wrong.orderBy("sample_id").select("error").limit(ERRORS_SHOWN).collect()]
-        if judge is not None:
-            parts.append(pipeline.timed("judge", metrics.llm_judge(samples, by_sample, answers, judge)))
-    scores = parts[0]
-    for p in parts[1:]:
-        scores = scores.unionByName(p)
     pipeline.timings["total"] = sum(pipeline.timings[s] for s in ("retrieve", "rerank", "generate") if s in pipeline.timings)
-    scores = pipeline.timed("score", scores)
+    scores = None
+    for name, metric in (default_metrics(k, judge, generate) if metric_set is None else metric_set).items():
+        try:
+            part = pipeline.timed("judge" if name == "llm_judge" else "score", metric(samples, by_sample, answers))
+        except Exception as e:  # noqa: BLE001  a metric that fails is told, the others count
+            errors.append(f"{name}: {str(e).splitlines()[0][:300] if str(e) else type(e).__name__}")
+            continue
+        scores = part if scores is None else scores.unionByName(part)
+    if scores is None:
+        scores = samples.sparkSession.createDataFrame([], "sample_id string, metric string, value double")
     found = {r["metric"]: r["value"] for r in metrics.summary(scores).collect()}
-    found |= metrics.latency({s: pipeline.timings[s] for s in ("retrieve", "rerank", "generate", "total") if s in pipeline.timings}, n)
+    spent = {s: pipeline.timings[s] for s in ("retrieve", "rerank", "generate", "total") if s in pipeline.timings}
+    found |= registry.build("metric", "latency")(spent, n)
     docs = rank_documents(hits).withColumnRenamed("query_id", "sample_id").withColumnRenamed("doc_ids", "retrieved_doc_ids")
     per = scores.groupBy("sample_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("scores"))
     cases = samples.join(docs, "sample_id", "left").join(per, "sample_id", "left")
@@ -94,10 +109,10 @@ SUITES = {
     "chunk_size": {"200": _chunks(200, 40), "400": _chunks(400, 80), "800": _chunks(800, 160)},
     "channel": {"vector": _only("vector"), "bm25": _only("bm25"), "hybrid": {"retriever": {"type": "hybrid", "rrf_k": 60, "channels": [{"type": "vector"}, {"type": "bm25"}]}}},
     "rerank": {"identity": {"reranker": {"type": "identity"}}, "lexical": {"reranker": {"type": "lexical"}}, "lexical coverage only": {"reranker": {"type": "lexical", "alpha": 1.0}}},
-    "index": {"exact": {"index": {"type": "flat"}, "reranker": {"type": "identity"}}, "lsh": {"index": {"type": "lsh"}, "reranker": {"type": "identity"}}},
+    "index": {"exact": {"index": {"type": "flat", "space": "cosine"}, "reranker": {"type": "identity"}}, "cells": {"index": {"type": "chroma", "space": "cosine", "ef_search": 8}, "reranker": {"type": "identity"}}},
     "space": {s: {"index": {"type": "flat", "space": s}, "reranker": {"type": "identity"}} for s in ("cosine", "l2", "ip")},
-    "ann_build": {str(b): {"index": {"type": "lsh", "bits": b}, "reranker": {"type": "identity"}} for b in (2, 4, 8)},
-    "ann_search": {str(t): {"index": {"type": "lsh", "tables": t}, "reranker": {"type": "identity"}} for t in (4, 12, 24)},
+    "ann_build": {str(c): {"index": {"type": "chroma", "cells": c, "ef_search": 4}, "reranker": {"type": "identity"}} for c in (8, 32, 128)},
+    "ann_search": {str(w): {"index": {"type": "chroma", "cells": 32, "ef_search": w}, "reranker": {"type": "identity"}} for w in (1, 8, 32)},
     "top_k": {str(k): {"pipeline": {"top_k": k}} for k in (3, 5, 10)},
 }
 

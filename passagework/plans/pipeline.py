@@ -46,6 +46,7 @@ for _kind, _dataset in datasets.DATASETS.items():
     registry.register("dataset", _kind, _dataset)
 for _kind in metrics.RETRIEVAL:
     registry.register("metric", _kind, lambda k=5, _k=_kind: lambda samples, hits, answers=None: metrics.retrieval_metrics(samples, hits, k, (_k,)))
+registry.register("metric", "latency", lambda: lambda timings, n: metrics.latency(timings, n))
 registry.register("metric", "context_recall", lambda: lambda samples, hits, answers=None: metrics.context_recall(samples, hits))
 for _kind in ("exact_match", "answer_contains", "token_f1", "rouge_l"):
     registry.register("metric", _kind, lambda _m=getattr(metrics, _kind): lambda samples, hits, answers: _m(samples, answers))
@@ -97,7 +98,7 @@ def _vector(kb: KnowledgeBase, index: dict, where: dict | None = None):
 def _bm25(kb: KnowledgeBase, where: dict | None = None, k1: float = 1.5, b: float = 0.75):
     def run(queries: DataFrame, k: int) -> DataFrame:
         post = kb.postings if not where else kb.postings.join(kb.chunks.where(retrieval.matches(where, kb.chunks.columns)).select("chunk_id"), "chunk_id", "left_semi")
-        return retrieval.bm25_top_k(queries, post, kb.term_stats, kb.corpus_stats, k, k1, b)
+        return retrieval.bm25_top_k(queries, post, kb.term_stats, kb.corpus_stats, k, k1, b, kb.folders)
 
     return run
 
@@ -210,10 +211,9 @@ class Pipeline:
         return answers, hits
 
     def timed(self, stage: str, df: DataFrame) -> DataFrame:
-        """df computed now and kept; its seconds go to timings."""
+        """df computed now and kept in the checkpoint folder, so that no model is asked again when an executor is lost; its seconds go to timings."""
         began = time.perf_counter()
-        df = df.persist()
-        df.count()
+        df = retrieval.kept_table(df)
         self.timings[stage] = time.perf_counter() - began
         return df
 

@@ -471,7 +471,7 @@ def kb_save_load(spark, sf):
     kb = KnowledgeBase(spark, {"kind": "fixed", "size": 1 << 20, "overlap": 0}, {"dimension": 16, "use_ngrams": False})
     kb.add(_docs(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))).save(path)
     kb = KnowledgeBase.load(spark, path)
-    hits = retrieval.bm25_top_k(_questions(spark, sf), kb.postings, kb.term_stats, kb.corpus_stats, K)
+    hits = retrieval.bm25_top_k(_questions(spark, sf), kb.postings, kb.term_stats, kb.corpus_stats, K, folders=kb.folders)
     # ties are in the order of chunk ids, strings here, so only ranks and scores are returned
     return hits.select("query_id", "rank", F.round("score", 6).alias("score"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ class KnowledgeBase:
         self.chunks: DataFrame | None = None
         self._cache: DataFrame | None = None
         self._cells: tuple | None = None
+        #: In how many folders the stored postings lie.
+        self.folders: int | None = None
         #: What vectors must have as their length, if the encoder's configuration says it.
         self.width = (encoder or {}).get("dimension")
 
@@ -79,7 +82,7 @@ class KnowledgeBase:
         return self.index()
 
     def index(self) -> KnowledgeBase:
-        self.postings = retrieval.postings(self.chunks)
+        self.postings, self.folders = retrieval.postings(self.chunks), None
         self.term_stats = retrieval.term_stats(self.postings)
         self.corpus_stats = retrieval.corpus_stats(self.chunks)
         return self
@@ -99,26 +102,73 @@ class KnowledgeBase:
         return self.chunks.agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.count("*").alias("bm25_chunks"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension"))
 
     def save(self, path: str) -> None:
-        """Four Parquet tables and a manifest; postings are sorted by term within files, so a term's row groups can be skipped."""
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.chunks = self.spark.read.parquet(f"{path}/chunks")
+        """A new version: tables in a folder of their own, and a manifest that names it, written last.
+
+        Until the manifest is complete load() gives the version before, so a write that
+        ends half-way changes nothing. Postings and term statistics lie in folders by
+        their terms' hashes, sorted by term, so a search reads the folders of its terms.
+        Older versions stay until drop_versions().
+        """
+        held = versions(self.spark, path)
+        version = f"{path}/versions/{uuid.uuid4().hex}"
+        self.chunks.write.parquet(f"{version}/chunks")
+        self.chunks = self.spark.read.parquet(f"{version}/chunks")
         self.index()
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.postings = self.spark.read.parquet(f"{path}/postings")
-        retrieval.term_stats(self.postings).write.mode("overwrite").parquet(f"{path}/term_stats")
-        self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
+        count = self.chunks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6  # about a word each
+        folders = max(retrieval.LEAST_FOLDERS, min(retrieval.MOST_FOLDERS, count // retrieval.POSTINGS_A_FOLDER))
+
+        def foldered(table: DataFrame, name: str) -> None:
+            placed = table.withColumn("folder", retrieval.folder_of(folders)).repartition("folder", F.pmod(F.hash("term"), F.lit(4)))
+            placed.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{version}/{name}")
+
+        foldered(self.postings, "postings")
+        self.postings, self.folders = self.spark.read.parquet(f"{version}/postings"), folders
+        foldered(retrieval.term_stats(self.postings), "term_stats")
+        self.corpus_stats.write.parquet(f"{version}/corpus_stats")
         if self._cells is not None:
-            ann.save(*self._cells, f"{path}/ann")
-        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}, "ann": self._cells is not None}
-        manifest["hash"] = config_hash(manifest)
-        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+            ann.save(*self._cells, f"{version}/ann")
+        manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}}
+        manifest |= {"hash": config_hash(manifest), "ann": self._cells is not None, "version": version.rpartition("/")[2], "folders": folders}
+        number = 1 + max(held, default=-1)
+        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifests/{number}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, encoder_object=None) -> KnowledgeBase:
-        manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+        """The last version whose manifest is complete."""
+        manifest = manifest_of(spark, path, max(versions(spark, path)))
         kb = cls(spark, manifest["chunker"], manifest["encoder"] | ({"object": encoder_object} if encoder_object else {}))
+        version, kb.folders = f"{path}/versions/{manifest['version']}", manifest["folders"]
         for name in TABLES:
-            setattr(kb, name, spark.read.parquet(f"{path}/{name}"))
+            setattr(kb, name, spark.read.parquet(f"{version}/{name}"))
         if manifest.get("ann"):
-            kb._cells = ann.load(spark, f"{path}/ann")
+            kb._cells = ann.load(spark, f"{version}/ann")
         return kb
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete manifests of a saved knowledge base."""
+    fs, at = _file_system(spark, f"{path}/manifests")
+    if not fs.exists(at):
+        return []
+    named = [s.getPath() for s in fs.listStatus(at) if s.getPath().getName().isdigit()]
+    return sorted(int(p.getName()) for p in named if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def manifest_of(spark: SparkSession, path: str, number: int) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifests/{number}").first()[0])
+
+
+def drop_versions(spark: SparkSession, path: str) -> None:
+    """Deletes all versions but the last complete one; tables that were loaded from them can't be read any more."""
+    last = max(versions(spark, path))
+    kept = {f"manifests/{last}", f"versions/{manifest_of(spark, path, last)['version']}"}
+    for part in ("manifests", "versions"):
+        fs, at = _file_system(spark, f"{path}/{part}")
+        for s in fs.listStatus(at):
+            if f"{part}/{s.getPath().getName()}" not in kept:
+                fs.delete(s.getPath(), True)
