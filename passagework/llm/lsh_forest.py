@@ -194,6 +194,7 @@ def forest_edges(nodes: DataFrame, percent: int, files: int) -> tuple[DataFrame,
     """
     share = percent / 100
     lost = lambda depth: math.log(max(1 - share**depth, 1e-300))
+    held = nodes
     active, edges, deeper = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")), [], []
     for depth in DEPTHS:
         circle = F.concat("signature", "signature")
@@ -204,7 +205,7 @@ def forest_edges(nodes: DataFrame, percent: int, files: int) -> tuple[DataFrame,
         leaves = regions.where(F.col("size") <= LEAF).groupBy("size", "members").agg(F.min("leaf").alias("leaf")).select("leaf")
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt")
         members = keyed.hint("merge").join(leaves.select("leaf", salts), ["leaf", "salt"]).select("leaf", "node")
-        members = members.hint("merge").join(nodes.select("node", "n", "low"), "node").select("leaf", "node", "n", "low")
+        members = members.hint("merge").join(held.select("node", "n", "low"), "node").select("leaf", "node", "n", "low")
         ordered = members.repartition("leaf").sortWithinPartitions("leaf", "n", "node")
         edges.append(cut(ordered.mapInArrow(_neighbours(percent), "a long, b long"), files))
         dense = regions.where(F.col("size") > LEAF).select("leaf", salts)
@@ -216,7 +217,9 @@ def forest_edges(nodes: DataFrame, percent: int, files: int) -> tuple[DataFrame,
             break
         crowded = cut(crowded.select("node", "tree"), files)
         deeper.append(crowded.select("node", F.lit(lost(DEPTHS[DEPTHS.index(depth) + 1]) - lost(depth)).alias("more")))
-        active = crowded.hint("merge").join(nodes.select("node", "signature"), "node")
+        # later rounds only read the sets of dense regions
+        held = cut(held.hint("merge").join(crowded.select("node").distinct(), "node", "left_semi"), files)
+        active = crowded.hint("merge").join(held.select("node", "signature"), "node")
     found = edges[0]
     for e in edges[1:]:
         found = found.unionByName(e)
