@@ -146,8 +146,8 @@ def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 _KEYED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), ("count", pa.int64()), ("blob", pa.binary())])
 _KEYED_DDL = "bucket int, part int, lang string, count long, blob binary"
-#: Kinds of rows, where a task returns several: part is -1 for keys and -2 for a language's words, else the number of the array's task.
-KEYS, LANGUAGE = -1, -2
+#: Kinds of rows, where a task returns several: part is -1 for a language's words, the number of the array's task, or -2 and less for keys of task 0 and more.
+LANGUAGE, KEYS = -1, -2
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,24 +155,32 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int):
-    """Rows of ascending keys and counts, a row for each bucket (the keys' leading bits)."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    """Rows of ascending keys and counts, a row for each bucket (the keys' leading bits): seven bytes of each key, and counts in the least width."""
+    bucket, part = (keys >> np.uint64(64 - bits)).astype(np.int64), KEYS - _task()
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
-    rows = [(int(bucket[a]), KEYS, None, b - a, keys[a:b].tobytes() + counts[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
+    rest = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]
+    rows = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            width = next(w for w in (1, 2, 4) if int(counts[a:b].max()) < 1 << (8 * w))
+            rows.append((int(bucket[a]), part, None, b - a, rest[a:b].tobytes() + counts[a:b].astype(f"<u{width}").tobytes()))
     for k in range(0, len(rows), 1024):
         yield _rows(rows[k : k + 1024])
 
 
-def _undealt(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, sums, number of rows they were in) of a bucket."""
-    keys, counts = [], []
-    for n, blob in zip(table.column("count").to_pylist(), table.column("blob").to_pylist()):
-        keys.append(np.frombuffer(blob, "<u8", n))
-        counts.append(np.frombuffer(blob, "<u4", n, 8 * n).astype(np.int64))
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+def _undealt(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sums, number of rows they were in, a task that has them) of a bucket."""
+    keys, counts, owners, first = [], [], [], np.uint64(table.column("bucket")[0].as_py() >> (bits - 8))
+    for n, part, blob in zip(*(table.column(c).to_pylist() for c in ("count", "part", "blob"))):
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :7] = np.frombuffer(blob, np.uint8, 7 * n).reshape(n, 7)
+        keys.append(whole.view("<u8").ravel() | (first << np.uint64(56)))
+        counts.append(np.frombuffer(blob, f"<u{(len(blob) - 7 * n) // n}", n, 7 * n).astype(np.int64))
+        owners.append(np.full(n, KEYS - part, np.int64))
+    found, one, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     sums = np.zeros(len(found), np.int64)
     np.add.at(sums, at, np.concatenate(counts))
-    return found, sums, np.bincount(at, minlength=len(found))
+    return found, sums, np.bincount(at, minlength=len(found)), np.concatenate(owners)[one]
 
 
 class _Gathered:
@@ -230,18 +238,23 @@ def _array_rows(counts: np.ndarray, part: int):
 
 
 def _tree_sum(arrays: DataFrame, most: int | None) -> DataFrame:
-    """One row for each block: the sums of all tasks' arrays, FAN at a time; sums above `most` count as that."""
+    """(bucket, part, count, blob, owner), one row for each block: the sums of all tasks' arrays, FAN at a time, and one more than a task in which a place isn't 0; sums above `most` count as that."""
+    schema = pa.schema([f for f in _KEYED if f.name != "lang"] + [pa.field("owner", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        size, total = table.column("count")[0].as_py(), 0
-        for blob in table.column("blob").to_pylist():
-            total = total + _decoded(blob, size)
+        size, total, owner = table.column("count")[0].as_py(), 0, 0
+        for part, blob, named in zip(*(table.column(c).to_pylist() for c in ("part", "blob", "owner"))):
+            counts = _decoded(blob, size)
+            total = total + counts
+            owner = np.maximum(owner, (counts > 0) * (part + 1) if named is None else _decoded(named, size))
         total = total if most is None else np.minimum(total, most)
-        return pa.Table.from_batches([_rows([(table.column("bucket")[0].as_py(), table.column("part")[0].as_py() // FAN, None, size, _encoded(total))])])
+        row = (table.column("bucket")[0].as_py(), table.column("part")[0].as_py() // FAN, size, _encoded(total), _encoded(owner) if most is None else None)
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     parts = (arrays.agg(F.max("part")).first()[0] or 0) + 1
+    arrays = arrays.drop("lang").withColumn("owner", F.lit(None).cast("binary"))
     while True:
-        arrays = arrays.groupBy("bucket", F.floor(F.col("part") / FAN).alias("of")).applyInArrow(run, _KEYED_DDL)
+        arrays = arrays.groupBy("bucket", F.floor(F.col("part") / FAN).alias("of")).applyInArrow(run, "bucket int, part int, count long, blob binary, owner binary")
         parts = -(-parts // FAN)
         if parts == 1:
             return arrays
@@ -320,21 +333,29 @@ def _by_slot(bits: int, words, rough, table):
     return run
 
 
+def _mark(keys: np.ndarray, owners) -> np.ndarray:
+    """Names a key together with a task."""
+    return mix(keys ^ mix(np.asarray(owners).astype(np.uint64) + np.uint64(1)))
+
+
 def _spelled(words, rough, wanted):
-    """(lang, phrase) of frequent phrases' occurrences, each once from a task's run of texts; some others that a bitmap lets through too."""
+    """(lang, phrase) of frequent phrases, from the task that was named as having each; with owners None from every task."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
     def run(batches):
-        slots, bitmap = wanted.value
-        told, late = np.zeros(len(slots), bool), np.zeros(0, np.uint64)
+        slots, owners, bitmap = wanted.value
+        me, told = _task(), np.zeros(len(slots), bool)
+        late = np.zeros(0, np.uint64)
         for langs, slab, row, piece, h in _split(batches):
             out = []
             for n, places, keys in _safe(piece, h, words.value, rough.value):
                 keys, first = np.unique(keys, return_index=True)
                 places, at = places[first], slots.find(keys)
-                fresh = np.where(at >= 0, ~told[at], False)
+                fresh = np.flatnonzero(at >= 0)
+                fresh = fresh[~told[at[fresh]] & (owners is None or owners[at[fresh]] == me)]
                 told[at[fresh]] = True
-                others = np.flatnonzero((at < 0) & _in_bitmap(bitmap, keys)) if len(bitmap) else np.zeros(0, np.int64)
+                others = np.flatnonzero(at < 0) if len(bitmap) else np.zeros(0, np.int64)
+                others = others[_in_bitmap(bitmap, _mark(keys[others], me))] if len(others) else others
                 others = others[~np.isin(keys[others], late)]
                 if len(others):
                     late = np.r_[late, keys[others]] if len(late) < FLUSH else keys[others]
@@ -349,11 +370,11 @@ def _spelled(words, rough, wanted):
 _CUTS = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("key", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("a", pa.int64()), ("l", pa.int64()), ("r", pa.int64())])
 
 
-def _cuts(wanted, counts):
+def _cuts(read):
     """A row for each phrase and cut: keys and counts of the whole and its two parts; counts of keys without a slot are null."""
 
     def run(batches):
-        slots, held = wanted.value[0], counts.value
+        slots, held = read.value
         for batch in batches:
             names, lang, k, key, left, right = batch.column(1).to_pylist(), [], [], [], [], []
             phrases = []
@@ -369,28 +390,38 @@ def _cuts(wanted, counts):
                         right.append(grams[n - c][at + c])
             columns = [np.array(x, np.uint64) for x in (key, left, right)]
             found = [slots.find(x) for x in columns]
-            read = [pa.array(np.where(s >= 0, held[s], 0), pa.int64(), mask=s < 0) for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(k, pa.int32()), *(pa.array(x.view(np.int64)) for x in columns), *read], schema=_CUTS)
+            counts = [pa.array(np.where(s >= 0, held[s], 0), pa.int64(), mask=s < 0) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrases, pa.string()), pa.array(k, pa.int32()), *(pa.array(x.view(np.int64)) for x in columns), *counts], schema=_CUTS)
 
     return run
 
 
-def _sums(least: int):
-    """(key, count) of a bucket's keys that reach the least count."""
-    schema = pa.schema([("key", pa.int64()), ("count", pa.int64())])
+_COUNTED, _COUNTED_DDL = pa.schema([(c, pa.int64()) for c in ("key", "count", "owner", "mark")]), "key long, count long, owner long, mark long"
+
+
+def _counted_rows(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts), pa.array(owners), pa.array(_mark(keys, owners).view(np.int64))], schema=_COUNTED)
+
+
+def _sums(least: int, bits: int):
+    """A bucket's keys that reach the least count, each with a task that has it."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, sums, _ = _undealt(table)
+        keys, sums, _, owners = _undealt(table, bits)
         keep = sums >= least
-        return pa.Table.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(sums[keep])], schema=schema)
+        return pa.Table.from_batches([_counted_rows(keys[keep], sums[keep], owners[keep])])
 
     return run
 
 
-def _seen(table: pa.Table) -> pa.Table:
-    """(key, count): in how many rows of tasks a bucket's keys were."""
-    keys, _, rows = _undealt(table)
-    return pa.table({"key": pa.array(keys.view(np.int64)), "count": pa.array(rows.astype(np.int64))})
+def _seen(bits: int):
+    """The same with the number of rows of tasks that a bucket's keys were in, for all of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, _, rows, owners = _undealt(table, bits)
+        return pa.Table.from_batches([_counted_rows(keys, rows.astype(np.int64), owners)])
+
+    return run
 
 
 def _bitmap(keys: DataFrame, count: int) -> np.ndarray:
@@ -452,17 +483,17 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     share = spark.sparkContext.broadcast
 
     first = cut(docs.mapInArrow(_counted_words(bits, rough_bits, min(255, least)), _KEYED_DDL))
-    by_key = lambda rows, run: rows.where(F.col("part") == KEYS).groupBy("bucket").applyInArrow(run, "key long, count long")
-    words = cut(by_key(first, _sums(least)))
+    by_key = lambda rows, run: rows.where(F.col("part") <= KEYS).groupBy("bucket").applyInArrow(run, _COUNTED_DDL)
+    words = cut(by_key(first, _sums(least, bits)))
     langs = first.where(F.col("part") == LANGUAGE).groupBy("lang").agg(F.sum("count").alias("n"))
     rough = _rough_bitmap(_tree_sum(first.where("part >= 0"), least), min(255, least), rough_bits)
     filters = share(_bitmap(words.select("key"), words.count())), share(rough)
 
-    found = cut(by_key(docs.mapInArrow(_candidates(bits, *filters), _KEYED_DDL), _seen))
+    found = cut(by_key(docs.mapInArrow(_candidates(bits, *filters), _KEYED_DDL), _seen(bits)).select("key", "count"))
     hot = _column(_most(found, SLOTS).select("key").toArrow(), "key")
     table = share(SlotTable(hot.view(np.uint64)))
     counted = cut(docs.mapInArrow(_by_slot(bits, *filters, table), _KEYED_DDL))
-    phrases = by_key(counted, _sums(least)).unionByName(_read_slots(_tree_sum(counted.where("part >= 0"), None), table, least))
+    phrases = cut(by_key(counted, _sums(least, bits)).unionByName(_read_slots(_tree_sum(counted.where("part >= 0"), None), table, least)))
     counts = cut(phrases.unionByName(words))
 
     # what is read by slot now: frequent words and phrases, the most frequent ones if they are too many
@@ -471,9 +502,26 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     slots = SlotTable(_column(kept, "key").view(np.uint64))
     by_slot = np.zeros(len(slots), np.int64)
     by_slot[slots.find(_column(kept, "key").view(np.uint64))] = _column(kept, "count")
-    wanted = share((slots, _bitmap(counts.select("key"), size) if size > len(slots) else np.zeros(0, np.uint64)))
-    spelled = cut(docs.mapInArrow(_spelled(*filters, wanted), "lang string, phrase string").distinct())
-    cuts = cut(spelled.mapInArrow(_cuts(wanted, share(by_slot)), "lang string, phrase string, k int, key long, left long, right long, a long, l long, r long"))
+    owners = np.zeros(len(slots), np.int64)
+    owners[slots.find(_column(kept, "key").view(np.uint64))] = _column(kept, "owner")
+    marks = _bitmap(phrases.select(F.col("mark").alias("key")), size) if size > len(slots) else np.zeros(0, np.uint64)
+    read = share((slots, by_slot))
+
+    def cut_up(*wanted):
+        spelled = cut(docs.mapInArrow(_spelled(*filters, share(wanted)), "lang string, phrase string").distinct())
+        return cut(spelled.mapInArrow(_cuts(read), "lang string, phrase string, k int, key long, left long, right long, a long, l long, r long"))
+
+    cuts, left = cut_up(slots, owners, marks), None
+    while True:
+        missing = cut(phrases.select("key").join(cuts.select("key"), "key", "left_anti"))
+        before, left = left, missing.count()
+        if not left:
+            break
+        if left == before:
+            raise RuntimeError(f"{left} phrases were counted but aren't found again")
+        # the texts were dealt to other tasks than when they were counted: whoever has these phrases tells them
+        late = SlotTable(_column(missing.limit(SLOTS).toArrow(), "key").view(np.uint64))
+        cuts = cuts.unionByName(cut_up(late, None, np.zeros(0, np.uint64)))
     if size > len(slots):
         known = cuts.where("a is not null and l is not null and r is not null")
         cuts = known.unionByName(_with_counts(cuts.where("a is null or l is null or r is null"), counts))
@@ -500,7 +548,7 @@ def _rough_bitmap(arrays: DataFrame, least: int, bits: int) -> np.ndarray:
 
     def run(batches):
         for batch in batches:
-            for bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+            for bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(_decoded(blob, size) >= least, bitorder="little").tobytes()], pa.binary())], names=["bucket", "blob"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
@@ -511,17 +559,17 @@ def _rough_bitmap(arrays: DataFrame, least: int, bits: int) -> np.ndarray:
 
 
 def _read_slots(arrays: DataFrame, table, least: int) -> DataFrame:
-    """(key, count) of the slots whose counts reach the least count."""
+    """The keys of slots whose counts reach the least count."""
 
     def run(batches):
         keys = table.value.keys
         for batch in batches:
-            for bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4))):
+            for bucket, size, blob, owner in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
                 counts = _decoded(blob, size)
                 at = np.flatnonzero(counts >= least)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[bucket * BLOCK + at].view(np.int64)), pa.array(counts[at])], names=["key", "count"])
+                yield _counted_rows(keys[bucket * BLOCK + at], counts[at], _decoded(owner, size)[at] - 1)
 
-    return arrays.mapInArrow(run, "key long, count long")
+    return arrays.mapInArrow(run, _COUNTED_DDL)
 
 
 def oracle_sql(least: int = 30, top: int = 2000) -> str:
