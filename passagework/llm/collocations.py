@@ -154,16 +154,16 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), _KEYED)], schema=_KEYED)
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int):
-    """Rows of ascending keys and counts, a row for each bucket (the keys' leading bits): seven bytes of each key, and counts in the least width."""
+def _dealt(keys: np.ndarray, counts: np.ndarray | None, bits: int):
+    """Rows of ascending keys and counts, if there are any, a row for each bucket (the keys' leading bits): seven bytes of each key, and counts in the least width."""
     bucket, part = (keys >> np.uint64(64 - bits)).astype(np.int64), KEYS - _task()
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
     rest = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :7]
     rows = []
     for a, b in zip(edges[:-1], edges[1:]):
         if b > a:
-            width = next(w for w in (1, 2, 4) if int(counts[a:b].max()) < 1 << (8 * w))
-            rows.append((int(bucket[a]), part, None, b - a, rest[a:b].tobytes() + counts[a:b].astype(f"<u{width}").tobytes()))
+            width = 0 if counts is None else next(w for w in (1, 2, 4) if int(counts[a:b].max()) < 1 << (8 * w))
+            rows.append((int(bucket[a]), part, None, b - a, rest[a:b].tobytes() + (counts[a:b].astype(f"<u{width}").tobytes() if width else b"")))
     for k in range(0, len(rows), 1024):
         yield _rows(rows[k : k + 1024])
 
@@ -175,7 +175,8 @@ def _undealt(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
         whole = np.zeros((n, 8), np.uint8)
         whole[:, :7] = np.frombuffer(blob, np.uint8, 7 * n).reshape(n, 7)
         keys.append(whole.view("<u8").ravel() | (first << np.uint64(56)))
-        counts.append(np.frombuffer(blob, f"<u{(len(blob) - 7 * n) // n}", n, 7 * n).astype(np.int64))
+        width = (len(blob) - 7 * n) // n
+        counts.append(np.frombuffer(blob, f"<u{width}", n, 7 * n).astype(np.int64) if width else np.zeros(n, np.int64))
         owners.append(np.full(n, KEYS - part, np.int64))
     found, one, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     sums = np.zeros(len(found), np.int64)
@@ -186,8 +187,8 @@ def _undealt(table: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
 class _Gathered:
     """Distinct keys with counts, sent when they are many."""
 
-    def __init__(self, bits: int):
-        self.bits, self.new, self.size, self.keys, self.counts = bits, [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    def __init__(self, bits: int, counted: bool = True):
+        self.bits, self.counted, self.new, self.size, self.keys, self.counts = bits, counted, [], 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def add(self, keys: np.ndarray):
         self.new.append(keys)
@@ -207,26 +208,34 @@ class _Gathered:
     def rest(self):
         self._merge()
         while len(self.keys):  # a count that passes 32 bits is sent in several rows
-            yield from _dealt(self.keys, np.minimum(self.counts, 0xFFFFFFFF), self.bits)
-            more = self.counts > 0xFFFFFFFF
+            yield from _dealt(self.keys, np.minimum(self.counts, 0xFFFFFFFF) if self.counted else None, self.bits)
+            more = self.counts > (0xFFFFFFFF if self.counted else np.iinfo(np.int64).max - 1)
             self.keys, self.counts = self.keys[more], self.counts[more] - 0xFFFFFFFF
 
 
 def _encoded(counts: np.ndarray) -> bytes:
-    """A block of an array: the few places that aren't 0, or all, in the least width that holds the largest."""
+    """A block of an array in the fewest bytes: its places that aren't 0 by number or as a bitmap, or all; in the least width that holds the largest."""
     width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max()) < 1 << (8 * w))
     at = np.flatnonzero(counts)
-    if len(at) * (2 + width) < len(counts) * width:
-        return bytes([width]) + at.astype("<u2").tobytes() + counts[at].astype(f"<u{width}").tobytes()
-    return bytes([16 + width]) + counts.astype(f"<u{width}").tobytes()
+    held = counts[at].astype(f"<u{width}").tobytes()
+    forms = {0: 2 * len(at) + len(held), 16: len(counts) * width, 32: (len(counts) + 7) // 8 + len(held)}
+    form = min(forms, key=forms.get)
+    if form == 16:
+        return bytes([16 + width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([form + width]) + (np.packbits(counts > 0).tobytes() if form else at.astype("<u2").tobytes()) + held
 
 
 def _decoded(blob: bytes, size: int) -> np.ndarray:
-    width = blob[0] & 15
-    if blob[0] & 16:
+    width, form, out = blob[0] & 15, blob[0] & 48, np.zeros(size, np.int64)
+    if form == 16:
         return np.frombuffer(blob, f"<u{width}", size, 1).astype(np.int64)
-    n, out = (len(blob) - 1) // (2 + width), np.zeros(size, np.int64)
-    out[np.frombuffer(blob, "<u2", n, 1)] = np.frombuffer(blob, f"<u{width}", n, 1 + 2 * n)
+    if form == 32:
+        bits = (size + 7) // 8
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, bits, 1), count=size))
+        out[at] = np.frombuffer(blob, f"<u{width}", len(at), 1 + bits)
+    else:
+        n = (len(blob) - 1) // (2 + width)
+        out[np.frombuffer(blob, "<u2", n, 1)] = np.frombuffer(blob, f"<u{width}", n, 1 + 2 * n)
     return out
 
 
@@ -301,7 +310,7 @@ def _counted_words(bits: int, rough_bits: int, roof: int):
 
 def _candidates(bits: int, words, rough):
     def run(batches):
-        found = _Gathered(bits)
+        found = _Gathered(bits, False)
         for _, _, _, piece, h in _split(batches):
             for _, _, keys in _safe(piece, h, words.value, rough.value):
                 yield from found.add(keys)
