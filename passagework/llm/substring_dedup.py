@@ -414,6 +414,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         parts = -(-parts // FAN)
         blocks = blocks.withColumn("part", F.pmod(F.xxhash64("blob"), F.lit(parts))).groupBy("bucket", "part").applyInArrow(_merged(length, bits), BLOB_SCHEMA)
     spans = blocks.groupBy("bucket").applyInArrow(_factors(length, bits), "key long, first long, count long")
-    marked = spans.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("spans")).select("key", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
+    # equal rows have one key and each tell its spans: a set holds them once, already in the tasks that found them
+    marked = spans.groupBy("key").agg(F.collect_set(F.struct("first", "count")).alias("spans")).select("key", F.col("spans.first").alias("first"), F.col("spans.count").alias("count"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     return keyed.join(marked, "key", "left").select("doc_id", "text", "first", "count").mapInArrow(_kept(length, with_text, pa.int64()), schema)

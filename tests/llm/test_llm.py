@@ -214,6 +214,13 @@ def test_factor_boundaries():
     assert hit.tolist() == [whole.count(w) > 1 for w in whole]
 
 
+def test_equal_rows_tell_each_span_once(spark):
+    passage = " ".join(f"w{i}" for i in range(90))
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(f"{passage} end").alias("text")).unionByName(spark.createDataFrame([(1, f"own words before {passage}")], "doc_id long, text string"))
+    got = substring_dedup.remove_repeats(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["count"]) for r in got) == [(0, 91, 91, 20_000), (1, 93, 90, 1)]
+
+
 def test_remove_repeats_in_a_tree_and_with_colliding_hashes(spark, docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SLAB_BYTES", 1500)
     monkeypatch.setattr(substring_dedup, "FAN", 4)
