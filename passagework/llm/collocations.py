@@ -1,10 +1,11 @@
 """Phrase collocations, counted by slots of a minimal perfect hash.
 
-1. One pass counts words, and counts neighbouring pairs roughly: in an array that
-   each pair adds to at a place of its hash, so that a sum below the threshold rules
-   all its pairs out.
-2. A pass names the candidates: phrases whose words are all frequent and whose pairs
-   all pass the array. No other phrase can be frequent.
+1. One pass counts words and neighbouring pairs roughly: in an array that each adds to
+   at a place of its hash, so that a sum below the threshold rules all at this place
+   out. A second pass counts the words that are left, and roughly the longer phrases
+   whose words and pairs are all left.
+2. A pass names the candidates: phrases whose words are all frequent and whose parts
+   all pass the arrays, as they do. No other phrase can be frequent.
 3. The candidates get a minimal perfect hash. A pass looks each occurrence up, compares
    the key that is stored in the slot (other phrases have slots too), and counts by
    bincount. The arrays of all tasks are summed up in a tree, in blocks of slots.
@@ -119,21 +120,23 @@ def _inside(piece: np.ndarray, n: int) -> np.ndarray:
     return piece[n - 1 :] == piece[: len(piece) - n + 1] if len(piece) >= n else np.zeros(0, bool)
 
 
-def _safe(piece: np.ndarray, h: np.ndarray, words: np.ndarray, rough: np.ndarray):
-    """(n, places, keys) of the phrases of 2 to LONGEST words that can be frequent."""
-    word = _in_bitmap(words, windows(h, 1))
-    pair, pairs = _inside(piece, 2), windows(h, 2)
-    if len(pairs):
-        pair = pair & word[1:] & word[:-1]
-        pair[pair] = _in_bitmap(rough, pairs[pair])
-    for n in range(2, LONGEST + 1):
+def _safe(piece: np.ndarray, h: np.ndarray, filters):
+    """(n, places, keys) of the words and phrases up to LONGEST words that can be frequent: they and their parts pass the filters, one for each length from 1 on."""
+    alive = np.ones(len(h), bool)
+    for n in range(1, LONGEST + 1):
         if len(h) < n:
             return
-        whole = pair[: len(pair) - n + 2].copy()
-        for k in range(1, n - 1):
-            whole &= pair[k : len(pair) - n + 2 + k]
-        at = np.flatnonzero(whole)
-        yield n, at, (pairs if n == 2 else windows(h, n))[at]
+        if n > 1:
+            alive = alive[1:] & alive[:-1]
+        if n == 2:  # longer phrases consist of pairs
+            alive &= _inside(piece, 2)
+        at = np.flatnonzero(alive)
+        keys = windows(h, n)[at]
+        if n <= len(filters):
+            passed = _in_bitmap(filters[n - 1], keys)
+            alive[at[~passed]] = False
+            at, keys = at[passed], keys[passed]
+        yield n, at, keys
 
 
 def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -278,55 +281,86 @@ def _task() -> int:
 # --- passes ----------------------------------------------------------------
 
 
-def _counted_words(bits: int, rough_bits: int, roof: int):
-    """Word counts by key, words of each language, and the array of rough pair counts, none of which passes the roof."""
+class _Rough:
+    """An array of rough counts, none of which passes the roof."""
+
+    def __init__(self, size: int, roof: int):
+        self.counts, self.roof, self.held, self.size = np.zeros(size, np.uint8), roof, [], 0
+
+    def add(self, at: np.ndarray) -> None:
+        self.held.append(at.astype(np.uint32))
+        self.size += len(at)
+        if self.size >= FLUSH:
+            self._spread()
+
+    def _spread(self) -> None:
+        at, c = np.unique(np.concatenate(self.held), return_counts=True)
+        self.counts[at] = np.minimum(self.counts[at].astype(np.int64) + c, self.roof)
+        self.held, self.size = [], 0
+
+    def rest(self):
+        if self.held:
+            self._spread()
+        yield from _array_rows(self.counts, _task())
 
-    def run(batches):
-        words, total, rough, held, size = _Gathered(bits), {}, np.zeros(1 << rough_bits, np.uint8), [], 0
 
-        def spread():
-            at, c = np.unique(np.concatenate(held), return_counts=True)
-            rough[at] = np.minimum(rough[at].astype(np.int64) + c, roof)
+def _counted_roughly(rough_bits: int, roof: int):
+    """Words of each language, and the array of rough counts of words and, behind them, of pairs."""
 
+    def run(batches):
+        total, rough, shift = {}, _Rough(2 << rough_bits, roof), np.uint64(64 - rough_bits)
         for langs, slab, row, piece, h in _split(batches):
             found, c = np.unique(row, return_counts=True)
             for k, n in zip(found.tolist(), c.tolist()):
                 total[langs[k]] = total.get(langs[k], 0) + n
-            yield from words.add(windows(h, 1))
-            held.append((windows(h, 2)[_inside(piece, 2)] >> np.uint64(64 - rough_bits)).astype(np.uint32))
-            size += len(held[-1])
-            if size >= FLUSH:
-                spread()
-                held, size = [], 0
-        if held:
-            spread()
-        yield from words.rest()
+            rough.add(windows(h, 1) >> shift)
+            rough.add((windows(h, 2)[_inside(piece, 2)] >> shift) + np.uint64(1 << rough_bits))
         if total:
             yield _rows([(0, LANGUAGE, name, n, None) for name, n in total.items()])
-        yield from _array_rows(rough, _task())
+        yield from rough.rest()
+
+    return run
+
+
+def _counted_words(bits: int, rough_bits: int, roof: int, filters):
+    """Counts by key of the words that are left, and the array of rough counts of phrases of three words and, behind them, of more."""
+
+    def run(batches):
+        words, rough, shift = _Gathered(bits), _Rough(2 << rough_bits, roof), np.uint64(64 - rough_bits)
+        for _, _, _, piece, h in _split(batches):
+            for n, _, keys in _safe(piece, h, filters.value):
+                if n == 1:
+                    yield from words.add(keys)
+                elif n > 2:
+                    rough.add((keys >> shift) + np.uint64((n > 3) << rough_bits))
+        yield from words.rest()
+        yield from rough.rest()
 
     return run
 
 
-def _candidates(bits: int, words, rough):
+def _candidates(bits: int, filters):
     def run(batches):
         found = _Gathered(bits, False)
         for _, _, _, piece, h in _split(batches):
-            for _, _, keys in _safe(piece, h, words.value, rough.value):
-                yield from found.add(keys)
+            for n, _, keys in _safe(piece, h, filters.value):
+                if n > 1:
+                    yield from found.add(keys)
         yield from found.rest()
 
     return run
 
 
-def _by_slot(bits: int, words, rough, table):
+def _by_slot(bits: int, filters, table):
     """The array of candidates' counts, and other candidates' counts by key."""
 
     def run(batches):
         slots, rest, held, size = table.value, _Gathered(bits), [], 0
         counts = np.zeros(len(slots), np.int64)
         for _, _, _, piece, h in _split(batches):
-            for _, _, keys in _safe(piece, h, words.value, rough.value):
+            for n, _, keys in _safe(piece, h, filters.value):
+                if n == 1:
+                    continue
                 at = slots.find(keys)
                 held.append(at[at >= 0])
                 size += len(held[-1])
@@ -347,7 +381,7 @@ def _mark(keys: np.ndarray, owners) -> np.ndarray:
     return mix(keys ^ mix(np.asarray(owners).astype(np.uint64) + np.uint64(1)))
 
 
-def _spelled(words, rough, wanted):
+def _spelled(filters, wanted):
     """(lang, phrase) of frequent phrases, from the task that was named as having each; with owners None from every task."""
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
@@ -357,7 +391,9 @@ def _spelled(words, rough, wanted):
         late = np.zeros(0, np.uint64)
         for langs, slab, row, piece, h in _split(batches):
             out = []
-            for n, places, keys in _safe(piece, h, words.value, rough.value):
+            for n, places, keys in _safe(piece, h, filters.value):
+                if n == 1:
+                    continue
                 keys, first = np.unique(keys, return_index=True)
                 places, at = places[first], slots.find(keys)
                 fresh = np.flatnonzero(at >= 0)
@@ -491,17 +527,19 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     bits, rough_bits = bits_for(total), max(LEAST_ROUGH, min(MOST_ROUGH, (total // BYTES_A_PLACE).bit_length()))
     share = spark.sparkContext.broadcast
 
-    first = cut(docs.mapInArrow(_counted_words(bits, rough_bits, min(255, least)), _KEYED_DDL))
+    roof = min(255, least)
+    first = cut(docs.mapInArrow(_counted_roughly(rough_bits, roof), _KEYED_DDL))
     by_key = lambda rows, run: rows.where(F.col("part") <= KEYS).groupBy("bucket").applyInArrow(run, _COUNTED_DDL)
-    words = cut(by_key(first, _sums(least, bits)))
     langs = first.where(F.col("part") == LANGUAGE).groupBy("lang").agg(F.sum("count").alias("n"))
-    rough = _rough_bitmap(_tree_sum(first.where("part >= 0"), least), min(255, least), rough_bits)
-    filters = share(_bitmap(words.select("key"), words.count())), share(rough)
+    left_words, left_pairs = _rough_bitmaps(first.where("part >= 0"), least, rough_bits)
+    second = cut(docs.mapInArrow(_counted_words(bits, rough_bits, roof, share((left_words, left_pairs))), _KEYED_DDL))
+    words = cut(by_key(second, _sums(least, bits)))
+    filters = share((_bitmap(words.select("key"), words.count()), left_pairs, *_rough_bitmaps(second.where("part >= 0"), least, rough_bits)))
 
-    found = cut(by_key(docs.mapInArrow(_candidates(bits, *filters), _KEYED_DDL), _seen(bits)).select("key", "count"))
+    found = cut(by_key(docs.mapInArrow(_candidates(bits, filters), _KEYED_DDL), _seen(bits)).select("key", "count"))
     hot = _column(_most(found, SLOTS).select("key").toArrow(), "key")
     table = share(SlotTable(hot.view(np.uint64)))
-    counted = cut(docs.mapInArrow(_by_slot(bits, *filters, table), _KEYED_DDL))
+    counted = cut(docs.mapInArrow(_by_slot(bits, filters, table), _KEYED_DDL))
     phrases = cut(by_key(counted, _sums(least, bits)).unionByName(_read_slots(_tree_sum(counted.where("part >= 0"), None), table, least)))
     counts = cut(phrases.unionByName(words))
 
@@ -517,7 +555,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     read = share((slots, by_slot))
 
     def cut_up(*wanted):
-        spelled = cut(docs.mapInArrow(_spelled(*filters, share(wanted)), "lang string, phrase string").distinct())
+        spelled = cut(docs.mapInArrow(_spelled(filters, share(wanted)), "lang string, phrase string").distinct())
         return cut(spelled.mapInArrow(_cuts(read), "lang string, phrase string, k int, key long, left long, right long, a long, l long, r long"))
 
     cuts, left = cut_up(slots, owners, marks), None
@@ -552,19 +590,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     return ranked.join(langs, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-def _rough_bitmap(arrays: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Places whose rough count reaches the least count; the bitmap is of bounded size."""
+def _rough_bitmaps(arrays: DataFrame, least: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For both halves of the sum of arrays, the places whose rough count reaches the least count; the bitmaps are of bounded size."""
+    roof, out = min(255, least), np.zeros((2 << bits) // 8, np.uint8)
 
     def run(batches):
         for batch in batches:
             for bucket, size, blob in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(_decoded(blob, size) >= least, bitorder="little").tobytes()], pa.binary())], names=["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(_decoded(blob, size) >= roof, bitorder="little").tobytes()], pa.binary())], names=["bucket", "blob"])
 
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in arrays.mapInArrow(run, "bucket int, blob binary").toLocalIterator():
+    for r in _tree_sum(arrays, least).mapInArrow(run, "bucket int, blob binary").toLocalIterator():
         at = r["bucket"] * (BLOCK // 8)
         out[at : at + len(r["blob"])] = np.frombuffer(r["blob"], np.uint8)
-    return out.view(np.uint64)
+    words = out.view(np.uint64)
+    return words[: len(words) // 2], words[len(words) // 2 :]
 
 
 def _read_slots(arrays: DataFrame, table, least: int) -> DataFrame:
