@@ -124,6 +124,7 @@ select doc_id, bucket, round(w / sqrt(sum(w * w) over (partition by doc_id)), 9)
     "bm25_term_stats": f"with {_POST[1:]} select * from ts",
     "bm25_corpus_stats": f"with {_POST[1:]} select n, round(avgdl, 6) avgdl from cs",
     "bm25_topk": f"{BM25} {_SELECT_HITS} bm",
+    "bm25_topk_blocks": f"{BM25} {_SELECT_HITS} bm",
     "hybrid_rrf": _hybrid(1.0),
     "hybrid_rrf_weighted": _hybrid(2.0),
     "transformed_maxmerge": f"""{BM25}, q2 as (select query_id, regexp_replace(question, '{REWRITTEN}', '') question from questions),{_bm25(K, 'b2', 'q2')},

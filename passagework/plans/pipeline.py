@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.operators import ann, encoding, generation, metrics, retrieval
+from passagework.operators import ann, block_max, encoding, generation, metrics, retrieval
 from passagework.plans.registry import registry
 from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
@@ -95,9 +95,13 @@ def _vector(kb: KnowledgeBase, index: dict, where: dict | None = None):
 
 
 @registry.register("retriever", "bm25")
-def _bm25(kb: KnowledgeBase, where: dict | None = None, k1: float = 1.5, b: float = 0.75):
+def _bm25(kb: KnowledgeBase, where: dict | None = None, k1: float = 1.5, b: float = 0.75, skip: bool = False):
+    """With skip, blocks of a stored knowledge base that can't reach the best k aren't scored; the hits are the same."""
+
     def run(queries: DataFrame, k: int) -> DataFrame:
         post = kb.postings if not where else kb.postings.join(kb.chunks.where(retrieval.matches(where, kb.chunks.columns)).select("chunk_id"), "chunk_id", "left_semi")
+        if skip and kb.bounds is not None:
+            return block_max.search(queries, post, kb.bounds, kb.term_stats, kb.corpus_stats, k, k1, b, kb.folders)[0]
         return retrieval.bm25_top_k(queries, post, kb.term_stats, kb.corpus_stats, k, k1, b, kb.folders)
 
     return run

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
-from passagework.operators import ann, chunking, encoding, generation, metrics, retrieval
+from passagework.operators import ann, block_max, chunking, encoding, generation, metrics, retrieval
 from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
 
@@ -154,6 +154,14 @@ def bm25_topk(spark, sf):
     return _bm25(spark, sf).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def bm25_topk_blocks(spark, sf):
+    """The same search, leaving out blocks of documents that can't be among the best."""
+    post, terms, corpus = _index(spark, sf)
+    post = retrieval.kept_table(block_max.with_blocks(post))
+    hits, _ = block_max.search(_questions(spark, sf), post, block_max.bounds(post), terms, corpus, K)
+    return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def _second_channel(held, k):
     """Documents by the number of distinct question terms they hold."""
     terms, post = held
@@ -486,5 +494,5 @@ def kb_upsert(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, ann_ivf_topk, ann_ivf_exact, ann_ivf_recall, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
+    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, ann_ivf_topk, ann_ivf_exact, ann_ivf_recall, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_topk_blocks, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
 } | {f"metric_{n}": _retrieval_metric(n) for n in metrics.RETRIEVAL}

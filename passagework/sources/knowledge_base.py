@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.operators import ann, chunking, encoding, retrieval
+from passagework.operators import ann, block_max, chunking, encoding, retrieval
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats")
 
@@ -43,6 +43,8 @@ class KnowledgeBase:
         self._cells: tuple | None = None
         #: In how many folders the stored postings lie.
         self.folders: int | None = None
+        #: The stored postings' bounds by term and block.
+        self.bounds: DataFrame | None = None
         #: What vectors must have as their length, if the encoder's configuration says it.
         self.width = (encoder or {}).get("dimension")
 
@@ -82,7 +84,7 @@ class KnowledgeBase:
         return self.index()
 
     def index(self) -> KnowledgeBase:
-        self.postings, self.folders = retrieval.postings(self.chunks), None
+        self.postings, self.folders, self.bounds = retrieval.postings(self.chunks), None, None
         self.term_stats = retrieval.term_stats(self.postings)
         self.corpus_stats = retrieval.corpus_stats(self.chunks)
         return self
@@ -107,6 +109,7 @@ class KnowledgeBase:
         Until the manifest is complete load() gives the version before, so a write that
         ends half-way changes nothing. Postings and term statistics lie in folders by
         their terms' hashes, sorted by term, so a search reads the folders of its terms.
+        Postings have the blocks of their chunks, with bounds for each term and block.
         Older versions stay until drop_versions().
         """
         held = versions(self.spark, path)
@@ -119,16 +122,18 @@ class KnowledgeBase:
 
         def foldered(table: DataFrame, name: str) -> None:
             placed = table.withColumn("folder", retrieval.folder_of(folders)).repartition("folder", F.pmod(F.hash("term"), F.lit(4)))
-            placed.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(f"{version}/{name}")
+            placed.sortWithinPartitions("folder", "term", *(c for c in table.columns if c == "block")).write.partitionBy("folder").parquet(f"{version}/{name}")
 
-        foldered(self.postings, "postings")
+        foldered(block_max.with_blocks(self.postings), "postings")
         self.postings, self.folders = self.spark.read.parquet(f"{version}/postings"), folders
+        foldered(block_max.bounds(self.postings), "bounds")
+        self.bounds = self.spark.read.parquet(f"{version}/bounds")
         foldered(retrieval.term_stats(self.postings), "term_stats")
         self.corpus_stats.write.parquet(f"{version}/corpus_stats")
         if self._cells is not None:
             ann.save(*self._cells, f"{version}/ann")
         manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}}
-        manifest |= {"hash": config_hash(manifest), "ann": self._cells is not None, "version": version.rpartition("/")[2], "folders": folders}
+        manifest |= {"hash": config_hash(manifest), "ann": self._cells is not None, "version": version.rpartition("/")[2], "folders": folders, "blocks": True}
         number = 1 + max(held, default=-1)
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/manifests/{number}")
 
@@ -140,6 +145,8 @@ class KnowledgeBase:
         version, kb.folders = f"{path}/versions/{manifest['version']}", manifest["folders"]
         for name in TABLES:
             setattr(kb, name, spark.read.parquet(f"{version}/{name}"))
+        if manifest.get("blocks"):
+            kb.bounds = spark.read.parquet(f"{version}/bounds")
         if manifest.get("ann"):
             kb._cells = ann.load(spark, f"{version}/ann")
         return kb
