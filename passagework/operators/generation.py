@@ -7,13 +7,13 @@ import re
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import citation_numbers, index_tokens, normalize, sentences, strip
+from passagework.operators.calls import Kept, said
 from passagework.operators.encoding import http_detail
 from passagework.operators.retrieval import top_k
 
@@ -112,32 +112,13 @@ class Echo:
         return self.chat([*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": text}], **options)
 
 
-def ask(llm, system: str | None = None):
-    """A column function: (answer, error) of a prompt; a failed call is an error value, not a failed job."""
-
-    @F.pandas_udf("answer string, error string")
-    def asked(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in prompts:
-            rows = []
-            for p in s:
-                try:
-                    rows.append((llm.ask(p, system=system), None))
-                except Exception as e:
-                    rows.append((None, str(e)))
-            yield pd.DataFrame(rows, columns=["answer", "error"])
-
-    return asked
-
-
 def stuff(queries: DataFrame, hits: DataFrame, llm, max_context_chars: int = 4000, system: str = SYSTEM_PROMPT, template: str = USER_TEMPLATE) -> DataFrame:
     """(query_id, text, citations, raw): the model's answer to packed contexts; no hits, no call. An Echo model stays native."""
     packed = queries.join(pack_contexts(hits, max_context_chars), "query_id", "left").withColumn("_p", prompt(F.col("context"), F.col("question"), template))
     if isinstance(llm, Echo):
         answered = packed.withColumn("raw", echo(F.col("_p"), llm.prefix)).withColumn("error", F.lit(None).cast("string"))
     else:
-        asked = ask(llm, system)
-        some = packed.where("_p is not null").withColumn("_a", asked("_p")).select("query_id", F.col("_a.answer").alias("raw"), F.col("_a.error").alias("error"))
-        answered = packed.join(some, "query_id", "left")
+        answered = said(packed, "_p", llm, system).withColumnRenamed("answer", "raw")
     none = F.array().cast(packed.schema["used"].dataType)
     text = F.when(F.col("used").isNull(), F.lit(NO_EVIDENCE_STUFF)).otherwise(strip(F.col("raw")))
     return answered.select("query_id", text.alias("text"), F.coalesce(citations(F.col("raw"), F.col("used")), none).alias("citations"), F.coalesce("raw", F.lit("")).alias("raw"), "error")
@@ -154,15 +135,14 @@ def transform_queries(queries: DataFrame, kind: str = "identity", llm=None, n: i
     if kind == "identity":
         return queries.select("query_id", F.lit(0).alias("variant"), "question")
     template = {"multi_query": MULTI_QUERY_PROMPT, "hyde": HYDE_PROMPT}[kind]
-    asked = ask(llm)
-    said = queries.withColumn("_a", asked(prompt_of(template, F.col("question"), n))["answer"])
+    asked = said(queries.select("query_id", "question", prompt_of(template, F.col("question"), n).alias("_p")), "_p", llm).withColumnRenamed("answer", "_a")
     if kind == "multi_query":
         lines = F.filter(F.transform(F.split("_a", r"\R"), strip), lambda x: x != "")
         variants = F.concat(F.array("question"), F.slice(lines, 1, n))
     else:
         variants = F.concat(F.array("question"), F.array(strip(F.col("_a")))) if keep_original else F.array(strip(F.col("_a")))
     variants = F.when(F.col("_a").isNull(), F.array("question")).otherwise(variants)
-    return said.select("query_id", F.posexplode(variants).alias("variant", "question"))
+    return asked.select("query_id", F.posexplode(variants).alias("variant", "question"))
 
 
 def prompt_of(template: str, question: Column, n: int) -> Column:
@@ -173,38 +153,41 @@ def prompt_of(template: str, question: Column, n: int) -> Column:
 # --- rerankers that call models --------------------------------------------
 
 
-def _by_query(hits: DataFrame, queries: DataFrame, score_group, k: int, source: str) -> DataFrame:
-    """One call for each query over its candidates (candidate lists are short: the retriever's k)."""
-    rows = hits.select("query_id", "rank", "chunk_id", "text", "score", "source").join(queries.select("query_id", "question"), "query_id")
+def _candidates(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, question, held): each query's candidates in their order; such lists are short (the retriever's k)."""
+    rows = hits.select("query_id", F.struct("rank", "chunk_id", "text", "score", "source").alias("c")).groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("held"))
+    return rows.join(queries.select("query_id", "question"), "query_id")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank").reset_index(drop=True)
-        order = score_group(pdf["question"].iloc[0], pdf["text"].tolist())
-        if order is None:
-            out = pdf.head(k).copy()
-        else:
-            out = pdf.iloc[[i for i, _ in order][:k]].copy()
-            out["score"], out["source"] = [float(s) for _, s in order][:k], source
-        out["rank"] = range(1, len(out) + 1)
-        return out[["query_id", "rank", "chunk_id", "text", "score", "source"]]
 
-    kind = hits.schema
-    return rows.groupBy("query_id").applyInPandas(one, f"query_id {kind['query_id'].dataType.simpleString()}, rank int, chunk_id {kind['chunk_id'].dataType.simpleString()}, text string, score double, source string")
+def _reordered(rows: DataFrame, order: Column, k: int, source: str) -> DataFrame:
+    """The first k of each query's candidates by order, an array of (place, score); where it is null they stay as they were."""
+    moved = F.transform(F.slice("order", 1, k), lambda o: F.struct(*(F.element_at("held", o["place"] + 1)[c].alias(c) for c in ("chunk_id", "text")), o["score"].alias("score"), F.lit(source).alias("source")))
+    same = F.transform(F.slice("held", 1, k), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"), c["score"].cast("double").alias("score"), c["source"].alias("source")))
+    found = rows.withColumn("order", order).select("query_id", F.posexplode(F.coalesce(moved, same)).alias("n", "c"))
+    return found.select("query_id", (F.col("n") + 1).alias("rank"), "c.chunk_id", "c.text", "c.score", "c.source")
+
+
+#: What a reranker answers for one query.
+ORDER = "array<struct<place:int,score:double>>"
 
 
 def rerank_cross_encoder(queries: DataFrame, hits: DataFrame, k: int, model_name: str, batch_size: int = 16, device: str | None = None, model=None) -> DataFrame:
     """Pairs are scored by a cross-encoder (optional dependency), best first."""
     held = {"model": model}
 
-    def score(question: str, texts: list[str]):
+    @F.pandas_udf(ORDER)
+    def ordered(questions: pd.Series, texts: pd.Series) -> pd.Series:
         if held["model"] is None:
             from sentence_transformers import CrossEncoder  # optional
 
             held["model"] = CrossEncoder(model_name, device=device)
-        s = held["model"].predict([(question, t) for t in texts], batch_size=batch_size)
-        return sorted(enumerate(map(float, s)), key=lambda p: -p[1])
+        out = []
+        for q, ts in zip(questions, texts, strict=True):
+            scores = map(float, held["model"].predict([(q, t) for t in ts], batch_size=batch_size))
+            out.append([{"place": i, "score": s} for i, s in sorted(enumerate(scores), key=lambda p: -p[1])])
+        return pd.Series(out)
 
-    return _by_query(hits, queries, score, k, "rerank:cross_encoder")
+    return _reordered(_candidates(hits, queries), ordered("question", F.col("held.text")), k, "rerank:cross_encoder")
 
 
 def api_results(payload: dict) -> list:
@@ -244,8 +227,27 @@ class HttpReranker:
         return None
 
 
-def rerank_api(queries: DataFrame, hits: DataFrame, k: int, client: HttpReranker) -> DataFrame:
-    return _by_query(hits, queries, lambda q, texts: client.order(q, texts, k), k, "rerank:api")
+class _Ordering:
+    """A rerank endpoint with the interface of a model: a JSON request in, the order as JSON out."""
+
+    def __init__(self, client: HttpReranker):
+        self.client = client
+
+    def ask(self, text: str, system: str | None = None) -> str:
+        request = json.loads(text)
+        order = self.client.order(request["question"], request["texts"], len(request["texts"]))
+        if order is None:
+            raise RuntimeError("the rerank service gave no results")
+        return json.dumps([{"place": i, "score": s} for i, s in order])
+
+
+def rerank_api(queries: DataFrame, hits: DataFrame, k: int, client: HttpReranker, calls: Kept | None = None) -> DataFrame:
+    """One request for each query; without results the order stays. With calls, answers are kept in its table."""
+    client_name = f"{client.url} {client.model} {client.max_chars}"
+    service = calls.using(_Ordering(client), client_name) if calls else _Ordering(client)
+    request = F.to_json(F.struct("question", F.col("held.text").alias("texts")))
+    rows = said(_candidates(hits, queries).withColumn("_p", request), "_p", service)
+    return _reordered(rows, F.from_json("answer", ORDER), k, "rerank:api")
 
 
 LLM_RERANK_PROMPT = 'Rate from 0 to 10 how relevant each passage is to the question. Give a JSON array only, such as [{"id": 0, "score": 8}].\n\nQuestion: {q}\n\nPassages:\n{c}'
@@ -258,15 +260,20 @@ def parse_scores(raw: str) -> dict[int, float]:
 
 def rerank_llm(queries: DataFrame, hits: DataFrame, k: int, llm, max_chars: int = 300) -> DataFrame:
     """One listwise prompt for each query; a missing id scores 0; an answer that can't be read keeps the order."""
+    line = lambda c, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), F.substring(c["text"], 1, max_chars))
+    before, between, after = re.split(r"\{q\}|\{c\}", LLM_RERANK_PROMPT)
+    text = F.concat(F.lit(before), "question", F.lit(between), F.array_join(F.transform("held", line), "\n"), F.lit(after))
+    rows = said(_candidates(hits, queries).withColumn("_p", text), "_p", llm)
+
+    @F.pandas_udf(ORDER)
+    def ordered(answers: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for a, n in zip(answers, counts, strict=True):
+            try:
+                scores = parse_scores(a)
+                out.append([{"place": i, "score": scores.get(i, 0.0)} for i in sorted(range(n), key=lambda i: -scores.get(i, 0.0))])
+            except Exception:
+                out.append(None)
+        return pd.Series(out)
 
-    def score(question: str, texts: list[str]):
-        listing = "\n".join(f"[{i}] {t[:max_chars]}" for i, t in enumerate(texts))
-        try:
-            scores = parse_scores(llm.ask(LLM_RERANK_PROMPT.replace("{q}", question).replace("{c}", listing)))
-        except Exception:
-            return None
-        return sorted(((i, scores.get(i, 0.0)) for i in range(len(texts))), key=lambda p: -p[1])
-
-    return _by_query(hits, queries, score, k, "rerank:llm")
-
-
+    return _reordered(rows, ordered("answer", F.size("held")), k, "rerank:llm")

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import nfkc_each, normalize, tokens
+from passagework.operators.calls import said
 
 RETRIEVAL = ("recall", "precision", "hit_rate", "mrr", "map", "ndcg")
 ANSWER = ("exact_match", "answer_contains", "token_f1", "rouge_l", "faithfulness", "context_recall")
@@ -162,18 +162,13 @@ def llm_judge(samples: DataFrame, hits: DataFrame, answers: DataFrame, llm, max_
     rows = _contexts(samples, hits).join(answers.select("sample_id", F.col("text").alias("pred")), "sample_id", "left")
     text = F.concat(F.lit(JUDGE_PROMPT + "\n\nQuestion: "), "question", F.lit("\n\nMaterial:\n"), F.substring("ctx", 1, max_context_chars), F.lit("\n\nReference: "), F.array_join("answers", " / "), F.lit("\n\nAnswer: "), F.coalesce("pred", F.lit("")))
 
+    asked = said(rows.select("sample_id", text.alias("_p")), "_p", llm)
+
     @F.pandas_udf("map<string,double>")
-    def judged(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in prompts:
-            out = []
-            for p in s:
-                try:
-                    out.append(parse_judgement(llm.ask(p)))
-                except Exception:
-                    out.append(None)
-            yield pd.Series(out)
-
-    return rows.select("sample_id", F.explode(judged(text)).alias("metric", "value"))
+    def judged(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda a: None if a is None else parse_judgement(a))
+
+    return asked.select("sample_id", F.explode(judged("answer")).alias("metric", "value"))
 
 
 def latency(timings: dict[str, float], n: int) -> dict[str, float]:

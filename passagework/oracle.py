@@ -148,6 +148,7 @@ p as (select * from (select *, row_number() over (partition by query_id order by
 g as (select query_id, string_agg(sent, ' ' order by r) t, list(chunk_id order by r) ids from p group by 1)
 select query_id, coalesce(t, '{NO_EVIDENCE_EXTRACTIVE}') as text, case when ids is null then '' when len(ids) = 2 and ids[1] = ids[2] then ids[1]::varchar else array_to_string(ids, ',') end citations from questions left join g using (query_id)""",
     "generate_echo": f"{BM25}, {_PACK} select query_id, case when context is null then '{NO_EVIDENCE_STUFF}' else {_strip(f'''right('【参考资料】' || chr(10) || context || chr(10) || chr(10) || '【问题】' || chr(10) || question || chr(10) || chr(10) || '【回答】', 200)''')} end as text from questions left join pk using (query_id)",
+    "calls_kept": "select doc_id, md5('> ' || right(text, 200)) answer_md5, case when text is not null then 1.0::double end calls_a_text from documents",
     "citations": """with s as (select conv_id, turn, '[' || turn % 4 || '] ' || coalesce(text, '') || ' [' || conv_id % 5 || '][' || length(text) || ']' said from conversations),
 m as (select conv_id, turn, list_transform(regexp_extract_all(said, '\\[(\\d{1,9})\\]', 1), lambda x: x::int) n from s)
 select conv_id, turn, array_to_string(list_transform(list_filter(n, lambda x, i: x between 1 and 80 and list_position(n, x) = i), lambda x: 'c' || x), ',') cited from m""",

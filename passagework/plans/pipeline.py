@@ -7,10 +7,10 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.operators import ann, block_max, encoding, generation, metrics, retrieval
+from passagework.operators import ann, block_max, calls, encoding, generation, metrics, retrieval
 from passagework.plans.registry import registry
 from passagework.sources import datasets, loaders
-from passagework.sources.knowledge_base import KnowledgeBase
+from passagework.sources.knowledge_base import KnowledgeBase, config_hash
 
 # --- components ------------------------------------------------------------
 
@@ -56,6 +56,13 @@ registry.register("llm", "echo", generation.Echo)
 registry.register("llm", "openai_compat", generation.HttpChat)
 
 
+@registry.register("llm", "kept")
+def _kept(inner: dict, path: str, concurrent: int = 8, per_second: float | None = None) -> calls.Kept:
+    """Another model whose answers are kept as Parquet below path, so that no answered prompt is asked again; what changes no answer isn't part of its name."""
+    name = config_hash({k: v for k, v in inner.items() if k not in ("api_key", "timeout", "max_retries")})
+    return calls.Kept(registry.build("llm", inner), name, path, concurrent, per_second)
+
+
 @registry.register("index", "flat")
 def _flat(space: str = "ip", path: str | None = None, collection: str | None = None) -> dict:
     return {"search": "exact", "space": space}
@@ -143,7 +150,15 @@ def _cross_encoder(model_name: str, batch_size: int = 16, device: str | None = N
     return lambda q, h, k: generation.rerank_cross_encoder(q, h, k, model_name, batch_size, device)
 
 
-registry.register("reranker", "api", lambda **kw: (lambda client: lambda q, h, k: generation.rerank_api(q, h, k, client))(generation.HttpReranker(**kw)))
+
+
+@registry.register("reranker", "api")
+def _api(llm=None, **kw):
+    """Where the pipeline's model is a kept one, the service's answers go to the same table."""
+    client, kept = generation.HttpReranker(**kw), llm if isinstance(llm, calls.Kept) else None
+    return lambda q, h, k: generation.rerank_api(q, h, k, client, kept)
+
+
 registry.register("reranker", "llm", lambda llm, max_chars=300: lambda q, h, k: generation.rerank_llm(q, h, k, llm, max_chars))
 registry.register("generator", "extractive", lambda max_sentences=2: lambda q, h: generation.extractive(q, h, max_sentences))
 registry.register("generator", "stuff", lambda llm, max_context_chars=4000, system_prompt=generation.SYSTEM_PROMPT, user_template=generation.USER_TEMPLATE: lambda q, h: generation.stuff(q, h, llm, max_context_chars, system_prompt, user_template))

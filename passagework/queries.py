@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
-from passagework.operators import ann, block_max, chunking, encoding, generation, metrics, retrieval
+from passagework.operators import ann, block_max, calls, chunking, encoding, generation, metrics, retrieval
 from passagework.sources import datasets, loaders
 from passagework.sources.knowledge_base import KnowledgeBase
 
@@ -227,6 +227,17 @@ def generate_echo(spark, sf):
     return made.select("query_id", "text")
 
 
+def calls_kept(spark, sf):
+    """Every document's text asked in two runs that share a table of calls: answers, and how many calls each text took."""
+    llm = calls.Kept(generation.Echo("> "), "echo", _folder(spark), task_prompts=4096)
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    calls.said(docs, "text", llm)
+    both = calls.said(docs, "text", llm)
+    asked = calls.read_calls(spark, llm.path).groupBy("answer").agg(F.count("*").alias("rows"))
+    texts = both.where("text is not null").select("text", "answer").distinct().groupBy("answer").agg(F.count("*").alias("texts"))
+    return both.join(asked.join(texts, "answer"), "answer", "left").select("doc_id", F.md5("answer").alias("answer_md5"), (F.col("rows") / F.col("texts")).alias("calls_a_text"))
+
+
 def citations(spark, sf):
     said = F.concat(F.lit("["), (F.col("turn") % 4).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")), F.lit(" ["), (F.col("conv_id") % 5).cast("string"), F.lit("]["), F.length("text").cast("string"), F.lit("]"))
     used = F.array(*[F.lit(f"c{k}") for k in range(1, 81)])
@@ -494,5 +505,5 @@ def kb_upsert(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, ann_ivf_topk, ann_ivf_exact, ann_ivf_recall, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_topk_blocks, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
+    for f in (text_sentences, semi_anti_join, source_jsonl, source_jsonl_filtered, source_memory, dataset_jsonl_corpus, dataset_jsonl_samples, dataset_beir_corpus, dataset_beir_samples, dataset_hotpot_corpus, dataset_hotpot_samples, dataset_squad_corpus, dataset_squad_samples, dataset_convert, kb_save_load, kb_upsert, text_normalize, text_tokens, text_index_tokens, text_char_ngrams, chunk_fixed, chunk_ids, chunk_recursive, chunk_markdown, encode_hashing, dense_topk, dense_topk_filtered, dense_topk_l2, dense_topk_cosine, ann_lsh_topk, ann_ivf_topk, ann_ivf_exact, ann_ivf_recall, bm25_postings, bm25_term_stats, bm25_corpus_stats, bm25_topk, bm25_topk_blocks, hybrid_rrf, hybrid_rrf_weighted, transformed_maxmerge, rerank_identity, rerank_lexical, metadata_filter_eq, metadata_filter_in, pack_contexts, generate_extractive, generate_echo, calls_kept, citations, metric_exact_match, metric_answer_contains, metric_token_f1, metric_rouge_l, metric_context_recall, metric_faithfulness, eval_summary, ablation_delta, dedup_documents, kb_stats)
 } | {f"metric_{n}": _retrieval_metric(n) for n in metrics.RETRIEVAL}
