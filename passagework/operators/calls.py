@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.operators.retrieval import QUERY_ROWS
+
 #: Prompts of a task (what a lost executor asks again, at most, for each of its cores), unless that makes more than MOST_TASKS of them.
 TASK_PROMPTS, MOST_TASKS = 64, 20_000
 SCHEMA = "call_key string, answer string, error string, run string"
@@ -88,6 +90,12 @@ def read_calls(spark, path: str) -> DataFrame | None:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def call_key(prompt: str, llm: Kept, system: str | None = None) -> Column:
+    """The key of a prompt's call; lengths keep the three parts apart."""
+    parts = (F.lit(llm.name), F.lit(system or ""), F.col(prompt))
+    return F.sha2(F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p))), 256)
+
+
 def said(rows: DataFrame, prompt: str, llm, system: str | None = None) -> DataFrame:
     """rows with answer and error of the prompts in a column; a null prompt is no call and has neither.
 
@@ -106,15 +114,13 @@ def said(rows: DataFrame, prompt: str, llm, system: str | None = None) -> DataFr
 
         return rows.withColumn("_said", asked(prompt)).select(*(F.col(f"`{c}`") for c in rows.columns), "_said.answer", "_said.error")
     spark, run = rows.sparkSession, uuid.uuid4().hex
-    # lengths keep the three parts apart
-    parts = (F.lit(llm.name), F.lit(system or ""), F.col(prompt))
-    key = F.sha2(F.concat(*(x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p))), 256)
-    keyed = rows.withColumn("call_key", key)
-    missing = keyed.where("call_key is not null").groupBy("call_key").agg(F.first(prompt).alias("prompt"))
-    before = read_calls(spark, llm.path)
+    keyed = rows.withColumn("call_key", call_key(prompt, llm, system))
+    asked_for, before = keyed.where("call_key is not null"), read_calls(spark, llm.path)
+    # keys alone tell what is missing; texts are only moved for those that are
+    keys = asked_for.select("call_key").distinct()
     if before is not None:
-        missing = missing.join(before.where("answer is not null").select("call_key"), "call_key", "left_anti")
-    count = missing.count()
+        keys = keys.join(before.where("answer is not null").select("call_key"), "call_key", "left_anti")
+    count = keys.count()
     if count:
         tasks = min(MOST_TASKS, -(-count // llm.task_prompts))
         share = llm.per_second / spark.sparkContext.defaultParallelism if llm.per_second else None
@@ -124,6 +130,9 @@ def said(rows: DataFrame, prompt: str, llm, system: str | None = None) -> DataFr
             for keys, pairs in asking((b["call_key"], b["prompt"]) for b in batches):
                 yield pd.DataFrame({"call_key": keys, "answer": [a for a, _ in pairs], "error": [e for _, e in pairs], "run": run})
 
+        if before is not None:
+            asked_for = asked_for.join(F.broadcast(keys) if count <= QUERY_ROWS else keys, "call_key", "left_semi")
+        missing = asked_for.groupBy("call_key").agg(F.first(prompt).alias("prompt"))
         asked = missing.repartition(tasks, "call_key").mapInPandas(answers, SCHEMA)
         asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(llm.path)
     held = read_calls(spark, llm.path)

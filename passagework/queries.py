@@ -232,10 +232,9 @@ def calls_kept(spark, sf):
     llm = calls.Kept(generation.Echo("> "), "echo", _folder(spark), task_prompts=4096)
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     calls.said(docs, "text", llm)
-    both = calls.said(docs, "text", llm)
-    asked = calls.read_calls(spark, llm.path).groupBy("answer").agg(F.count("*").alias("rows"))
-    texts = both.where("text is not null").select("text", "answer").distinct().groupBy("answer").agg(F.count("*").alias("texts"))
-    return both.join(asked.join(texts, "answer"), "answer", "left").select("doc_id", F.md5("answer").alias("answer_md5"), (F.col("rows") / F.col("texts")).alias("calls_a_text"))
+    both = calls.said(docs, "text", llm).withColumn("call_key", calls.call_key("text", llm))
+    asked = calls.read_calls(spark, llm.path).groupBy("call_key").agg(F.count("*").alias("calls"))
+    return both.join(asked, "call_key", "left").select("doc_id", F.md5("answer").alias("answer_md5"), F.col("calls").cast("double").alias("calls_a_text"))
 
 
 def citations(spark, sf):
