@@ -230,11 +230,11 @@ def generate_echo(spark, sf):
 def calls_kept(spark, sf):
     """Every document's text asked in two runs that share a table of calls: answers, and how many calls each text took."""
     llm = calls.Kept(generation.Echo("> "), "echo", _folder(spark), task_prompts=4096)
-    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    docs = _t(spark, sf, "documents").select("doc_id", "text").withColumn("of", calls.call_key("text", llm))
     calls.said(docs, "text", llm)
-    both = calls.said(docs, "text", llm).withColumn("call_key", calls.call_key("text", llm))
-    asked = calls.read_calls(spark, llm.path).groupBy("call_key").agg(F.count("*").alias("calls"))
-    return both.join(asked, "call_key", "left").select("doc_id", F.md5("answer").alias("answer_md5"), F.col("calls").cast("double").alias("calls_a_text"))
+    both = calls.said(docs, "text", llm)  # no text is moved with its answer
+    asked = calls.read_calls(spark, llm.path).groupBy(F.col("call_key").alias("of")).agg(F.count("*").alias("calls"))
+    return both.join(asked, "of", "left").select("doc_id", F.md5("answer").alias("answer_md5"), F.col("calls").cast("double").alias("calls_a_text"))
 
 
 def citations(spark, sf):
