@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of a block that are looked at together, unless one fragment has more.
+SLICE = 1 << 18
 _ESCAPED = re.compile(rb"\\.", re.DOTALL)
 _OPEN, _CLOSE = np.zeros(256, bool), np.zeros(256, bool)
 _OPEN[[ord("{"), ord("[")]] = _CLOSE[[ord("}"), ord("]")]] = True
@@ -29,14 +31,19 @@ def _fragments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _runs(batches):
-    """(file, start, file_size, bytes with their braces) of the consecutive rows of a block in each batch."""
+    """(file, start, file_size, bytes with their braces) of consecutive rows of a block, some SLICE characters at a time."""
     for batch in batches:
-        files, starts, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()
-        a = 0
-        for b in range(1, len(files) + 1):
-            if b == len(files) or (files[b], starts[b]) != (files[a], starts[a]):
-                yield files[a], starts[a], batch.column(2)[a].as_py(), "".join(v + "}" for v in values[a:b]).encode()
-                a = b
+        files, starts, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+        held, size, a = [], 0, 0
+        for b in range(len(files)):
+            value = values[b].as_py() + "}"
+            if held and (size + len(value) > SLICE or (files[b], starts[b]) != (files[a], starts[a])):
+                yield files[a], starts[a], batch.column(2)[a].as_py(), "".join(held).encode()
+                held, size, a = [], 0, b
+            held.append(value)
+            size += len(value)
+        if held:
+            yield files[a], starts[a], batch.column(2)[a].as_py(), "".join(held).encode()
 
 
 def _steps(data: bytes, quoted: int) -> tuple[np.ndarray, np.ndarray, int]:

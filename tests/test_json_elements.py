@@ -3,10 +3,11 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from passagework.sources import datasets
+from passagework.sources import datasets, json_elements
 from passagework.sources.json_elements import elements
 
 
@@ -77,3 +78,16 @@ def test_empty_values(spark, tmp_path):
         assert inner.count() == 0 and outer.count() == (k == 5)
         assert datasets.SquadDataset(spark, str(path)).samples().count() == 0
     assert outer.select(F.get_json_object("text", "$.title")).first()[0] == "t"
+
+
+def test_blocks_are_looked_at_in_slices():
+    values = [f'{{"a": "é{k}' for k in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 1500 + ["g"] * 1500), pa.array([0] * 3000), pa.array([9] * 3000), pa.array(values)], names=["file", "start", "file_size", "value"])
+    before, json_elements.SLICE = json_elements.SLICE, 1000
+    try:
+        runs = list(json_elements._runs([batch]))
+    finally:
+        json_elements.SLICE = before
+    assert max(len(data.decode()) for *_, data in runs) <= 1000
+    for file, part in (("f", values[:1500]), ("g", values[1500:])):
+        assert b"".join(data for f, _, _, data in runs if f == file).decode() == "".join(v + "}" for v in part)
