@@ -69,18 +69,20 @@ def _summary(batches):
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, size, *zero, *one), _STATES)], schema=_STATES)
 
 
-def _begins(summaries: list) -> dict[tuple[str, int], tuple[int, int]]:
-    """(file, start) to the state (string open, depth) that the block begins in."""
+def _begins(summaries: list) -> dict[tuple[str, int], tuple[int, int, int]]:
+    """(file, start) to the state (string open, depth) that the block begins in, and where its text ends if a brace follows that isn't the file's (else -1)."""
     quoted, depth, found = 0, 0, {}
     by_file = {}
     for r in sorted(summaries, key=lambda r: (r["file"], r["start"])):
         by_file.setdefault(r["file"], []).append(r)
     for file, blocks in by_file.items():
         for r in blocks:
-            found[file, r["start"]] = (quoted, depth)
+            found[file, r["start"]] = (quoted, depth, -1)
             quoted, depth = (r["end1"], depth + r["deeper1"]) if quoted else (r["end0"], depth + r["deeper0"])
-        if sum(r["size"] for r in blocks) > blocks[0]["file_size"] and not quoted:
-            depth += 1  # no brace follows what is left at a file's end
+        if sum(r["size"] for r in blocks) > blocks[0]["file_size"]:  # no brace follows what is left at a file's end
+            last = blocks[-1]
+            found[file, last["start"]] = (*found[file, last["start"]][:2], last["size"] - 1)
+            depth += not quoted
     return found
 
 
@@ -94,7 +96,11 @@ def _cut(begins, outer_depth: int, inner_depth: int | None):
     def run(batches):
         held = {}
         for file, start, _, data in _runs(batches):
-            quoted, depth, outer, inner, offset = held.get((file, start)) or (*begins.value[file, start], 0, 0, 0)
+            *begun, end = begins.value[file, start]
+            quoted, depth, outer, inner, offset = held.get((file, start)) or (*begun, 0, 0, 0)
+            data = data[:-1] if offset + len(data) > end >= 0 else data
+            if not data:
+                continue
             plain, step, quoted_after = _steps(data, quoted)
             after = depth + np.cumsum(step)
             before = after - step

@@ -91,3 +91,16 @@ def test_blocks_are_looked_at_in_slices():
     assert max(len(data.decode()) for *_, data in runs) <= 1000
     for file, part in (("f", values[:1500]), ("g", values[1500:])):
         assert b"".join(data for f, _, _, data in runs if f == file).decode() == "".join(v + "}" for v in part)
+
+
+def test_objects_over_the_border_of_files(spark, tmp_path, small_blocks):
+    folder = tmp_path / "squad.json"
+    folder.mkdir()
+    parts = ['{"data": [null']
+    for k in range(3):
+        parts += [f', {{"title": "in {k}", "paragraphs": [null', *(f', {{"context": "c{k}-{p}\nx", "qas": []}}'.replace("\n", "\\n") for p in range(40)), "]}"]
+    parts.append("]}")
+    for k in range(10):
+        (folder / f"part-{k}.txt").write_text("\n".join(parts[k * 13 : (k + 1) * 13]) + "\n", encoding="utf-8")
+    rows = datasets.SquadDataset(spark, str(folder)).corpus().orderBy("doc_ord").collect()
+    assert [(x["doc_id"], x["title"], x["text"]) for x in rows] == [(f"a{k}#{p}", f"in {k}", f"c{k}-{p}\nx") for k in range(3) for p in range(40)]
