@@ -37,6 +37,8 @@ def _unstable() -> str:
 
 
 _UNSTABLE = _unstable()
+#: Matches a character beyond U+00FF, or one up to it that NFKC changes. Single characters are a lookup in the regex engine, each range of _UNSTABLE a comparison.
+_UNUSUAL = f"[^{''.join(f'\\x{{{c:x}}}' for c in range(0x100) if unicodedata.is_normalized('NFKC', chr(c)))}]"
 
 
 def half_width(text: Column) -> Column:
@@ -53,7 +55,7 @@ def nfkc(text: Column) -> Column:
             yield s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
     plain = half_width(text)
-    return F.coalesce(composed(F.when(plain.rlike(_UNSTABLE), text)), plain)
+    return F.coalesce(composed(F.when(plain.rlike(_UNUSUAL) & plain.rlike(_UNSTABLE), text)), plain)
 
 
 def nfkc_each(texts: Column) -> Column:
