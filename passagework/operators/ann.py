@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.operators.retrieval import DIGITS, SPACES, if_small, matches, top_k
+from passagework.operators.retrieval import DIGITS, SPACES, if_small, matches, tiled_top_k, top_k
 
 #: Most rows, and bytes of vectors, of the sample that centroids and code books are fitted on.
 FIT_ROWS, FIT_BYTES = 1 << 16, 64 << 20
@@ -138,6 +138,17 @@ def _near(model, width: int, id_type: pa.DataType):
     return run
 
 
+def _visited(model, width: int):
+    """Whether a row's cell is one that a query visits."""
+
+    def among(_, q: np.ndarray, cells: pa.Array) -> np.ndarray:
+        visits = np.zeros((len(q), len(model.value.centroids)), bool)
+        np.put_along_axis(visits, model.value.order(q)[:, :width], True, axis=1)
+        return visits[:, cells.to_numpy()]
+
+    return among
+
+
 def _best(model, rescored: int, query_type: pa.DataType, id_type: pa.DataType):
     """A block of a cell against a block of queries: each query's best rows by their codes."""
     schema = pa.schema([("query_id", query_type), ("chunk_id", id_type), ("near", pa.float64())])
@@ -169,18 +180,24 @@ def _exact(space: str) -> Column:
     return dot if space == "ip" else dot / F.greatest(norm(F.col("asked")) * norm(F.col("vector")), F.lit(1e-12))
 
 
-def search(queries: DataFrame, index: DataFrame, model: Cells, k: int, width: int, rescored: int | None = None, where: dict | None = None) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, model: Cells, k: int, width: int, rescored: int | str | None = None, where: dict | None = None) -> DataFrame:
     """The best k of each query(query_id, vector) among index(chunk_id, vector, cell, code, ...): query_id, chunk_id, score, rank, source.
 
     Each query visits its `width` nearest cells, and its `rescored` best rows by their
     codes (ten for each of k unless told) get exact scores. Cells that no query visits
     aren't read where the index is stored by cell. Large cells and query sets are cut
-    into blocks, so no task holds more than a block of each. Filters come first. With
-    a width of all cells and all rows rescored the search is exact. Ties go by chunk_id.
+    into blocks, so no task holds more than a block of each. Filters come first. Ties go
+    by chunk_id. With rescored "all" every row of the visited cells gets its exact score
+    where it lies, and no code is looked at; with a width of all cells that is exact.
     """
     spark, rescored = index.sparkSession, rescored or 10 * k
     width = max(1, min(width, len(model.centroids)))
     held = spark.sparkContext.broadcast(model)
+    if rescored == "all":
+        rows = index.where(matches(where, index.columns)).select("chunk_id", "vector", "cell")
+        if width == len(model.centroids):
+            return tiled_top_k(queries, rows, k, model.space)
+        return tiled_top_k(queries.select("query_id", "vector", F.lit(0)), rows, k, model.space, among=_visited(held, width))
     kinds = [_KINDS.get(t.dataType.typeName(), (pa.string(), "string")) for t in (queries.schema["query_id"], index.schema["chunk_id"])]
     near = queries.select("query_id", "vector").mapInArrow(_near(held, width, kinds[0][0]), f"query_id {kinds[0][1]}, vector array<{queries.schema['vector'].dataType.elementType.simpleString()}>, cell int")
     tiles = max(1, -(-queries.count() // TILE_QUERIES))

@@ -93,3 +93,33 @@ def test_pipeline_changes_the_width_online(spark, tmp_path):
     pipeline.kb.save(f"{tmp_path}/kb")
     again = type(pipeline.kb).load(spark, f"{tmp_path}/kb")
     assert again._cells is not None and again.cells("cosine", 6)[0].count() == 60
+
+
+def test_all_rows_of_visited_cells_are_scored(spark):
+    """No code decides: with all cells the search is exact however many rows there are, with fewer it is exact within them."""
+    rng = np.random.default_rng(11)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(rng.standard_normal((3000, 16)).tolist())], "chunk_id long, vector array<float>")
+    queries = rows.where("chunk_id % 300 = 0").withColumnRenamed("chunk_id", "query_id")
+    model = ann.fit(rows, "cosine", 6)
+    index = ann.with_cells(rows, model).persist()
+    exact = {(r["query_id"], r["rank"]): r["chunk_id"] for r in retrieval.dense_top_k(queries, rows, 30, space="cosine").collect()}
+    found = ann.search(queries, index, model, 30, 6, rescored="all").collect()
+    assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in found} == exact
+    cell = {r["chunk_id"]: r["cell"] for r in index.collect()}
+    for r in ann.search(queries, index, model, 30, 2, rescored="all").collect():
+        q = np.array([x["vector"] for x in queries.where(f"query_id = {r['query_id']}").collect()], np.float64) if r["rank"] == 1 else None
+        assert q is None or cell[r["chunk_id"]] in model.order(q)[0, :2]
+
+
+def test_no_pair_of_the_lsh_search_is_shuffled(spark):
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(rng.standard_normal((400, 8)).tolist())], "chunk_id long, vector array<float>")
+    queries = rows.where("chunk_id % 40 = 0").withColumnRenamed("chunk_id", "query_id")
+    found = retrieval.lsh_top_k(queries, rows, 7, tables=3, bits=3, probes=1)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    q, v = retrieval.lsh_signatures(queries, "query_id", 3, 3, 7, 1).collect(), retrieval.lsh_signatures(rows, "chunk_id", 3, 3, 7).collect()
+    want = {}
+    for a in q:
+        near = sorted((-round(float(np.dot(np.array(a["vector"], np.float64), np.array(b["vector"], np.float64))), 9), b["chunk_id"]) for b in v if set(a["codes"]) & set(b["codes"]))
+        want |= {(a["query_id"], i + 1): c for i, (_, c) in enumerate(near[:7])}
+    assert {(r["query_id"], r["rank"]): r["chunk_id"] for r in found.collect()} == want
