@@ -76,10 +76,11 @@ class KnowledgeBase:
         return chunks.join(encoding.densify(sparse, "chunk_id", e["dimension"]), "chunk_id", "left").withColumn("vector", F.coalesce("vector", zero))
 
     def add(self, docs: DataFrame) -> KnowledgeBase:
-        made = self._encoded(chunking.chunk(docs, **self.chunker))
+        cut = chunking.chunk(docs, **self.chunker)
+        made = self._encoded(cut)
         if self.chunks is not None:
-            # an upsert: chunks that come again are taken from the new ones
-            made = self.chunks.join(made.select("chunk_id"), "chunk_id", "left_anti").unionByName(made, allowMissingColumns=True)
+            # an upsert: chunks that come again are taken from the new ones; their ids need no vectors
+            made = self.chunks.join(cut.select("chunk_id"), "chunk_id", "left_anti").unionByName(made, allowMissingColumns=True)
         self.chunks, self._cells = made.dropDuplicates(["chunk_id"]), None
         return self.index()
 
