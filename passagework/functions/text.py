@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -94,6 +96,48 @@ def index_tokens(text: Column, exact: bool = True) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), F.concat(found, F.filter(pairs, lambda p: p.isNotNull()))).otherwise(found)
 
 
+_TOKENS = re.compile(_TOKEN)
+_IDEOGRAPH = re.compile(f"[{CJK}]")
+#: UTF-8 bytes with blanks for all but ASCII letters, and for all but digits.
+_LETTERS, _DIGITS = (bytes(c if c < 128 and getattr(chr(c), kind)() else 32 for c in range(256)) for kind in ("isalpha", "isdigit"))
+#: Punctuation, and white space by Java's (?U)\\s, which Python's \\s isn't the same as.
+_DROPPED = re.compile(_PUNCTUATION[:-1] + "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def folded(text: str) -> str:
+    """NFKC in lower case, of one text in a task."""
+    return (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
+
+
+def term_counts(text: str, lowered: str) -> tuple[Counter, int]:
+    """How often each of index_tokens() is in a text, which is given folded too, and how many there are."""
+    if lowered.isascii() or not _IDEOGRAPH.search(lowered):
+        # runs of letters and of digits; their order says nothing here
+        coded = lowered.encode()
+        found = coded.translate(_LETTERS).decode().split() + coded.translate(_DIGITS).decode().split()
+    else:
+        found = _TOKENS.findall(lowered)
+    counts = Counter(found)
+    n = len(found) - sum(counts.pop(w, 0) for w in STOP_WORDS)
+    if not text.isascii() and _IDEOGRAPH.search(text):
+        kept = [t for t in found if t not in STOP_WORDS]
+        pairs = [a + b for a, b in itertools.pairwise(kept) if _IDEOGRAPH.match(a) and _IDEOGRAPH.match(b)]
+        counts.update(pairs)
+        n += len(pairs)
+    return counts, n
+
+
+def squeezed(lowered: str) -> str:
+    """normalize() without spaces, of a text that is given folded."""
+    return _DROPPED.sub("", lowered)
+
+
+def ngram_counts(lowered: str, n: int = 3) -> Counter:
+    """How often each of char_ngrams() is in a text that is given folded."""
+    s = squeezed(lowered)
+    return Counter([s[i : i + n] for i in range(len(s) - n + 1)] if len(s) >= n else [s] if s else [])
+
+
 def char_ngrams(text: Column, n: int = 3, exact: bool = True) -> Column:
     """Code-point windows of the normalised text without spaces; a shorter text is one window, an empty one none."""
     s = F.replace(normalize(text, exact), F.lit(" "), F.lit(""))
