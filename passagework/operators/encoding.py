@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import time
@@ -11,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.text import char_ngrams, index_tokens
+from passagework.functions.text import folded, ngram_counts, squeezed, term_counts
+from passagework.operators.retrieval import if_small, kept_table
 
 
 def bucket(feature: Column, dimension: int) -> Column:
@@ -31,16 +34,154 @@ def sign(feature: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(feature), 30, 1), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
 
 
-def features(text: Column, use_ngrams: bool = True, ngram: int = 3) -> Column:
-    return F.concat(index_tokens(text), char_ngrams(text, ngram)) if use_ngrams else index_tokens(text)
+#: Features whose hashes a task remembers.
+KNOWN = 1 << 18
 
 
-def hash_vectors(rows: DataFrame, key: str, dimension: int = 512, use_ngrams: bool = True, ngram: int = 3) -> DataFrame:
-    """Sparse unit vectors: (key, bucket, value). Features are counted for each bucket before the shuffle; empty texts have no rows."""
-    exploded = rows.select(key, F.explode(features(F.col("text"), use_ngrams, ngram)).alias("f"))
-    summed = exploded.groupBy(key, bucket(F.col("f"), dimension).alias("bucket")).agg(F.sum(sign(F.col("f"))).alias("w")).where("w <> 0")
-    norms = summed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return summed.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("value"))
+def hashed_feature(feature: str, dimension: int) -> int:
+    """The feature's bucket, md5 as an integer modulo dimension; inverted (~) where bit 8 of md5 says -1."""
+    number = int.from_bytes(hashlib.md5(feature.encode()).digest())
+    return number % dimension if number >> 8 & 1 else ~(number % dimension)
+
+
+def hash_vectors(rows: DataFrame, key: str, dimension: int = 512, use_ngrams: bool = True, ngram: int = 3, unique: bool = False) -> DataFrame:
+    """Sparse unit vectors: (key, bucket, value); empty texts have no rows, nor have keys that are null.
+
+    Features are counted text by text and each different one is hashed once in a task, as
+    long as it remembers it. Texts of one key are one, which needs a look at all keys
+    unless they are unique: only the sums of keys that come again are moved.
+    """
+    rows = rows.where(F.col(key).isNotNull()).select(key, "text")
+    again = None
+    if not unique:
+        again = kept_table(rows.groupBy(key).count().where("count > 1").select(key))
+        again = None if again.isEmpty() else if_small(again)
+    alone = _feature_sums(rows if again is None else rows.join(again, key, "left_anti"), key, dimension, use_ngrams, ngram)
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + x * x))
+    unit = alone.withColumn("norm", norm(F.col("ws"))).select(key, "norm", F.inline(F.arrays_zip("buckets", "ws")))
+    out = unit.select(key, F.col("buckets").alias("bucket"), (F.col("ws") / F.col("norm")).alias("value"))
+    if again is None:
+        return out
+    parts = _feature_sums(rows.join(again, key, "left_semi"), key, dimension, use_ngrams, ngram).select(key, F.inline(F.arrays_zip("buckets", "ws")))
+    added = parts.groupBy(key, F.col("buckets").alias("bucket")).agg(F.sum("ws").alias("w")).where("w <> 0")
+    norms = added.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return out.unionByName(added.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("value")))
+
+
+class Hashing:
+    """Sums of the signs of texts' features by bucket; what it has hashed before it remembers, so each task has its own."""
+
+    def __init__(self, dimension: int, use_ngrams: bool, ngram: int):
+        self.dimension, self.use_ngrams, self.ngram, self.known = dimension, use_ngrams, ngram, {}
+        #: Numbers of characters, 0 for those beyond the first 255, and the hashes of windows of three numbered ones, 0 where not known yet.
+        self.numbers, self.numbered, self.windows = np.zeros(0x110000, np.uint8), 0, None
+
+    def hash(self, feature: str) -> int:
+        b = self.known.get(feature)
+        if b is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            b = self.known[feature] = hashed_feature(feature, self.dimension)
+        return b
+
+    def sums(self, texts: list[str | None]) -> np.ndarray:
+        """A row for each text, a column for each bucket."""
+        lowered = [folded(t or "") for t in texts]
+        at, hashes, times = [], [], []
+        for row, (text, low) in enumerate(zip(texts, lowered)):
+            counts, _ = term_counts(text or "", low)
+            if self.use_ngrams and self.ngram != 3:
+                counts.update(ngram_counts(low, self.ngram))
+            at += [row] * len(counts)
+            hashes += map(self.hash, counts.keys())
+            times += counts.values()
+        parts = [(np.array(at, np.int64), np.array(hashes, np.int64), np.array(times, np.float64))]
+        if self.use_ngrams and self.ngram == 3:
+            parts.append(self._trigrams([squeezed(low) for low in lowered]))
+        at, hashes, times = (np.concatenate(p) for p in zip(*parts))
+        bucket = np.where(hashes < 0, ~hashes, hashes)
+        held = np.bincount(at * self.dimension + bucket, np.where(hashes < 0, -times, times), len(texts) * self.dimension)
+        return held.reshape(len(texts), self.dimension)
+
+    def _trigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, times) of each window of three characters; shorter texts are one window."""
+        short = [(row, self.hash(t)) for row, t in enumerate(texts) if 0 < len(t) < 3]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        starts = np.flatnonzero(row[:-2] == row[2:]) if len(points) > 2 else np.zeros(0, np.int64)
+        if self.numbered < 255:
+            for c in np.unique(points[self.numbers[points] == 0])[: 255 - self.numbered]:
+                self.numbered += 1
+                self.numbers[c] = self.numbered
+        if self.windows is None:
+            self.windows = np.zeros(1 << 24, np.int32)
+        n = self.numbers[points].astype(np.int32)
+        code = n[starts] << 16 | n[starts + 1] << 8 | n[starts + 2]
+        code[(n[starts] == 0) | (n[starts + 1] == 0) | (n[starts + 2] == 0)] = 0
+        found = self.windows[code]
+        joined, missing = "".join(texts), np.flatnonzero(found == 0)
+        if len(missing):
+            _, first = np.unique(code[missing], return_index=True)
+            for i in missing[first].tolist():
+                if code[i]:  # a hash of 0 or more is kept plus one, so that 0 says that it isn't known
+                    h = hashed_feature(joined[starts[i] : starts[i] + 3], self.dimension)
+                    self.windows[code[i]] = h + 1 if h >= 0 else h
+            found = self.windows[code]
+        found = np.where(found > 0, found - 1, found).astype(np.int64)
+        for i in np.flatnonzero(code == 0).tolist():
+            found[i] = self.hash(joined[starts[i] : starts[i] + 3])
+        more = np.array(short, np.int64).reshape(-1, 2)
+        at, found = np.r_[row[starts], more[:, 0]], np.r_[found, more[:, 1]]
+        return at, found, np.ones(len(at))
+
+
+#: Sums and characters, about, that a task holds at a time.
+SUMS, CHARACTERS = 1 << 20, 1 << 20
+
+
+def _slices(lengths: list[int], dimension: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of bounded number and length."""
+    lo, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > lo and ((i - lo + 1) * dimension > SUMS or held + n > CHARACTERS):
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def _feature_sums(rows: DataFrame, key: str, dimension: int, use_ngrams: bool, ngram: int) -> DataFrame:
+    """(key, buckets, ws) for each of rows(key, text): sums of its features' signs that aren't 0."""
+
+    def run(batches):
+        hashing = Hashing(dimension, use_ngrams, ngram)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _slices([len(t or "") for t in texts], dimension):
+                sums = hashing.sums(texts[lo:hi])
+                row, bucket = np.nonzero(sums)
+                ends = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)), pa.int32())
+                columns = [pa.array(bucket, pa.int32()), pa.array(sums[row, bucket].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.ListArray.from_arrays(ends, c) for c in columns)], [key, "buckets", "ws"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, buckets array<int>, ws array<long>")
+
+
+def hashed_vector(text: Column, dimension: int = 512, use_ngrams: bool = True, ngram: int = 3) -> Column:
+    """The same vector, dense, of zeros for an empty text."""
+
+    @F.pandas_udf("array<float>")
+    def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashing = Hashing(dimension, use_ngrams, ngram)
+        for s in texts:
+            made, held = [], s.tolist()
+            for lo, hi in _slices([len(t or "") for t in held], dimension):
+                sums = hashing.sums(held[lo:hi])
+                made += list((sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)).astype(np.float32))
+            yield pd.Series(made, index=s.index, dtype=object)
+
+    return vector(text)
 
 
 def densify(sparse: DataFrame, key: str, dimension: int) -> DataFrame:

@@ -1,11 +1,12 @@
 """Terms and features counted text by text, against the expressions over columns, and with ids that come again."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from passagework.functions import text as T
-from passagework.operators import retrieval
+from passagework.operators import encoding, retrieval
 
 TEXTS = ["The cat and THE dog 12ab34", None, "", "état ＡＢ１ ﬁne Ⅷ İstanbul Kelvin", "机器x学习 the 机", "豈 豈 x", "a\x1cb c \x85d", "x", "no no no no", "straße mit 12 äpfeln, 3 ölen"]
 
@@ -46,3 +47,35 @@ def test_anchors_among_few_and_many_items(spark):
         assert sorted((r["doc_id"], r["item_id"]) for r in retrieval.containing(docs, items).collect()) == want
     finally:
         retrieval.QUERY_ROWS = before
+
+
+def test_hashed_features_are_not_moved(spark):
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(8, "😀 no more"), (None, "cat")]
+    df = spark.createDataFrame(rows, "k long, text string")
+    for ngrams, n in ((True, 3), (True, 2), (False, 3)):
+        want = defaultdict(lambda: defaultdict(int))
+        for k, t in rows:
+            low = T.folded(t or "")
+            for f, times in (T.term_counts(t or "", low)[0] + (T.ngram_counts(low, n) if ngrams else Counter())).items():
+                b = encoding.hashed_feature(f, 64)
+                want[k][~b if b < 0 else b] += -times if b < 0 else times
+        want = {k: {b: w / math.sqrt(sum(x * x for x in v.values())) for b, w in v.items() if w} for k, v in want.items() if k is not None and any(v.values())}
+        got = defaultdict(dict)
+        for r in encoding.hash_vectors(df, "k", 64, ngrams, n).collect():
+            got[r["k"]][r["bucket"]] = r["value"]
+        assert got == want
+    assert "Exchange" not in encoding.hash_vectors(df.where("k < 5"), "k", 64)._jdf.queryExecution().executedPlan().toString()
+    features = spark.createDataFrame([(f"f{i}",) for i in range(40)], "f string").select("f", encoding.bucket(F.col("f"), 300).alias("b"), encoding.sign(F.col("f")).alias("s"))
+    assert all(encoding.hashed_feature(r["f"], 300) == (r["b"] if r["s"] > 0 else ~r["b"]) for r in features.collect())
+
+
+def test_more_characters_than_are_numbered():
+    texts = ["".join(chr(0x4E00 + (i * 7 + j * 3) % 900) for j in range(40)) + "ab" for i in range(30)] + ["", "a", "ab", "äbc"]
+    made = encoding.Hashing(32, True, 3)
+    got = [made.sums(texts[lo : lo + 9]) for lo in range(0, len(texts), 9)]
+    for t, row in zip(texts, (r for part in got for r in part)):
+        want = [0] * 32
+        for f, n in (T.term_counts(t, t)[0] + T.ngram_counts(t)).items():
+            b = encoding.hashed_feature(f, 32)
+            want[~b if b < 0 else b] += -n if b < 0 else n
+        assert row.tolist() == want
