@@ -71,9 +71,7 @@ class KnowledgeBase:
         e = self.encoder
         if e["type"] != "hashing":
             return chunks.join(self.encoded(chunks, "chunk_id"), "chunk_id", "left")
-        sparse = encoding.hash_vectors(chunks, "chunk_id", e["dimension"], e["use_ngrams"], e["ngram"])
-        zero = F.array_repeat(F.lit(0.0).cast("float"), e["dimension"])
-        return chunks.join(encoding.densify(sparse, "chunk_id", e["dimension"]), "chunk_id", "left").withColumn("vector", F.coalesce("vector", zero))
+        return chunks.withColumn("vector", encoding.hashed_vector(F.col("text"), e["dimension"], e["use_ngrams"], e["ngram"]))  # no text is moved with its vector
 
     def add(self, docs: DataFrame) -> KnowledgeBase:
         cut = chunking.chunk(docs, **self.chunker)
@@ -85,7 +83,7 @@ class KnowledgeBase:
         return self.index()
 
     def index(self) -> KnowledgeBase:
-        self.postings, self.folders, self.bounds = retrieval.postings(self.chunks), None, None
+        self.postings, self.folders, self.bounds = retrieval.postings(self.chunks, unique=True), None, None
         self.term_stats = retrieval.term_stats(self.postings)
         self.corpus_stats = retrieval.corpus_stats(self.chunks)
         return self
@@ -117,7 +115,8 @@ class KnowledgeBase:
         version = f"{path}/versions/{uuid.uuid4().hex}"
         self.chunks.write.parquet(f"{version}/chunks")
         self.chunks = self.spark.read.parquet(f"{version}/chunks")
-        self.index()
+        terms = retrieval.kept_table(retrieval.chunk_terms(self.chunks))  # the texts are split once
+        self.postings, corpus = retrieval.listed_terms(terms), terms.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
         count = self.chunks.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6  # about a word each
         folders = max(retrieval.LEAST_FOLDERS, min(retrieval.MOST_FOLDERS, count // retrieval.POSTINGS_A_FOLDER))
 
@@ -130,7 +129,8 @@ class KnowledgeBase:
         foldered(block_max.bounds(self.postings), "bounds")
         self.bounds = self.spark.read.parquet(f"{version}/bounds")
         foldered(retrieval.term_stats(self.postings), "term_stats")
-        self.corpus_stats.write.parquet(f"{version}/corpus_stats")
+        corpus.write.parquet(f"{version}/corpus_stats")
+        self.term_stats, self.corpus_stats = (self.spark.read.parquet(f"{version}/{name}") for name in ("term_stats", "corpus_stats"))
         if self._cells is not None:
             ann.save(*self._cells, f"{version}/ann")
         manifest = {"chunker": self.chunker, "encoder": {k: v for k, v in self.encoder.items() if k not in ("object", "cache")}}

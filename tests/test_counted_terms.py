@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework.functions import text as T
 from passagework.operators import encoding, retrieval
+from passagework.sources.knowledge_base import KnowledgeBase
 
 TEXTS = ["The cat and THE dog 12ab34", None, "", "état ＡＢ１ ﬁne Ⅷ İstanbul Kelvin", "机器x学习 the 机", "豈 豈 x", "a\x1cb c \x85d", "x", "no no no no", "straße mit 12 äpfeln, 3 ölen"]
 
@@ -79,3 +80,17 @@ def test_more_characters_than_are_numbered():
             b = encoding.hashed_feature(f, 32)
             want[~b if b < 0 else b] += -n if b < 0 else n
         assert row.tolist() == want
+
+
+def test_saving_splits_texts_once(spark, tmp_path, monkeypatch):
+    kb = KnowledgeBase(spark, {"kind": "fixed", "size": 100, "overlap": 0}, {"dimension": 16, "use_ngrams": False})
+    kb.add(spark.createDataFrame([("a", "red cat red"), ("b", "cat"), ("c", "the")], "doc_id string, text string"))
+    want = sorted(tuple(r) for r in kb.postings.collect()), tuple(kb.corpus_stats.first()), sorted(tuple(r) for r in kb.term_stats.collect())
+    assert [r["vector"] == [0.0] * 16 for r in kb.chunks.orderBy("doc_id").collect()] == [False, False, True]
+    calls = []
+    split = retrieval.chunk_terms
+    monkeypatch.setattr(retrieval, "chunk_terms", lambda *a, **k: calls.append(1) or split(*a, **k))
+    kb.save(str(tmp_path / "kb"))
+    assert len(calls) == 1
+    held = KnowledgeBase.load(spark, str(tmp_path / "kb"))
+    assert (sorted(tuple(r) for r in held.postings.select("term", "chunk_id", "tf", "dl").collect()), tuple(held.corpus_stats.first()), sorted(tuple(r) for r in held.term_stats.select("term", "df").collect())) == want
